@@ -27,8 +27,9 @@ def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, val
     ``total`` = the sum over all rows of the key."""
     v = value if not isinstance(value, str) else F.col(value)
     x = df.withColumn("_v", v.cast("long"))
+    keys = list(keys)
     per_b = x.groupBy(*keys, bucket).agg(F.sum("_v").alias("_bsum"))
-    wk = Window.partitionBy(*keys).orderBy(bucket)
+    wk = (Window.partitionBy(*keys) if keys else Window).orderBy(bucket)
     per_b = per_b.withColumn(
         "_boff", F.coalesce(F.sum("_bsum").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cols = [*keys, bucket, "_boff"]
@@ -66,3 +67,32 @@ def global_positions(df: DataFrame, order: list[str], out: str, start: int = 1,
                            F.lit(0)))
     r = r.join(F.broadcast(stats.select("_pid", "_off")), "_pid")
     return r.withColumn(out, F.col("_off") + F.col("_local") + F.lit(start)).drop("_pid", "_local", "_off")
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str,
+                 bucket_scale: float = 1000.0) -> DataFrame:
+    """Ascending average rank of ``value`` within ``keys`` (ties share the
+    mean of their positions), without a per-key window: value counts are
+    pre-aggregated, then counted below each value with the two-level prefix
+    sum over monotone value buckets."""
+    vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    vc = vc.withColumn("_vb", F.floor(F.col(value) * F.lit(bucket_scale)))
+    vc = running_before(vc, keys, "_vb", [value], "_cnt", "_less")
+    vc = vc.select(*keys, value, (F.col("_less") + (F.col("_cnt") + 1) / 2.0).alias(out))
+    return df.join(vc, [*keys, value], "left")
+
+
+def position_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """Exact quantile with linear interpolation (pandas default), from
+    range-partitioned positions; only the two neighbouring values reach the
+    driver."""
+    x = df.select(value).where(F.col(value).isNotNull())
+    n = x.count()
+    if n == 0:
+        return None
+    h = q * (n - 1)
+    lo = int(h)
+    hi = min(lo + 1, n - 1)
+    pos = global_positions(x, [value], "_p", start=0)
+    vals = {r["_p"]: r[value] for r in pos.where(F.col("_p").isin(lo, hi)).collect()}
+    return float(vals[lo] + (h - lo) * (vals[hi] - vals[lo]))

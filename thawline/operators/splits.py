@@ -13,7 +13,7 @@ def half_split(df: DataFrame, bucket_unit: str = "day", order: list[str] | None
     """Per item in time order, the first floor(n/2) rows -> 'valid', the
     rest -> 'test' (a single row goes to test). Position and item count come
     from the skew-proof two-level counter, not a per-item window."""
-    order = order or ["ts", "uid", "label"]
+    order = order or ["ts", "uid", "rating"]
     x = df.withColumn("_bkt", F.date_trunc(bucket_unit, F.col("ts")))
     x = running_before(x, ["iid"], "_bkt", order, F.lit(1), "_pos", total="_n")
     part = F.when(F.col("_pos") < F.floor(F.col("_n") / 2), F.lit("valid")).otherwise(F.lit("test"))

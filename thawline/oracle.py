@@ -123,3 +123,32 @@ h_{out} AS (SELECT *,
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def splits_ctes(name: str) -> str:
+    """samples -> splits_<name> (adds part): W3 for events, W2 for both."""
+    if name == "events":
+        warm = f"""wi_{name} AS (SELECT iid, row_number() OVER (ORDER BY {hash_key("2024", "iid")}, iid) AS r
+     FROM (SELECT DISTINCT iid FROM samples_{name} WHERE env = 1)),
+warm_{name} AS (SELECT * FROM samples_{name} WHERE env = 1 AND iid IN (SELECT iid FROM wi_{name}
+     WHERE r <= (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM wi_{name})))"""
+    else:
+        warm = f"warm_{name} AS (SELECT * FROM samples_{name} WHERE env = 1)"
+    return f"""{warm},
+mixed_{name} AS (SELECT * FROM warm_{name} UNION ALL SELECT * FROM samples_{name} WHERE env = 3),
+splits_{name} AS (SELECT *, 'train' AS part FROM samples_{name} WHERE env = 0
+  UNION ALL
+  SELECT * EXCLUDE (rn, cnt), CASE WHEN rn < cnt // 2 THEN 'valid' ELSE 'test' END AS part FROM (
+    SELECT *, row_number() OVER (PARTITION BY iid ORDER BY ts, uid, rating) - 1 AS rn,
+           count(*) OVER (PARTITION BY iid) AS cnt FROM mixed_{name}))"""
+
+
+def all_ctes(name: str) -> str:
+    return ",\n".join([base_ctes(name), samples_ctes(name), splits_ctes(name)])
+
+
+def part_sql(name: str, which: str, num: int = 0) -> str:
+    cond = f"part = '{which}'"
+    if which != "train" and num:
+        cond += f" AND env = {1 if num == 1 else 3}"
+    return f"(SELECT * FROM splits_{name} WHERE {cond})"

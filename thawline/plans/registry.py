@@ -61,3 +61,96 @@ for _name in ("events", "orders"):
     register(f"samples_{_name}", O.with_(O.base_ctes(_name), O.samples_ctes(_name))
              + f"""SELECT uid, iid, label, {O.ts_text('ts')} AS ts, title, env,
   array_to_string(his, ',') AS his, array_to_string(his_title, '|') AS his_title FROM samples_{_name}""")(_q)
+
+
+# ---------------------------------------------------------------- splits
+from . import shared  # noqa: E402
+from ..operators import cohorts, ids  # noqa: E402
+from ..sources import adapters  # noqa: E402
+
+
+for _name in ("events", "orders"):
+    def _q(spark, sf_dir, _n=_name):
+        s = shared.splits(spark, sf_dir, _n)
+        return s.select("uid", "iid", "label", ts_text("ts").alias("ts"), "env", "part")
+
+    register(f"splits_{_name}", O.with_(O.all_ctes(_name))
+             + f"SELECT uid, iid, label, {O.ts_text('ts')} AS ts, env, part FROM splits_{_name}")(_q)
+
+
+# ---------------------------------------------------------------- cohorts
+def _joined(spark, sf_dir, name):
+    inter, items, p = adapters.adapter(spark, sf_dir, name)
+    return cohorts.join_items(inter, ids.title_ids(items)), p
+
+
+@register("cold_titles_events", O.with_(O.base_ctes("events"), O.cohort_ctes("events"))
+          + "SELECT title_idx FROM cold_events")
+def q_cold_titles(spark, sf_dir):
+    data, p = _joined(spark, sf_dir, "events")
+    return cohorts.cold_titles(data, p)
+
+
+@register("cold_titles_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders"))
+          + "SELECT title_idx FROM cold_orders")
+def q_cold_titles_o(spark, sf_dir):
+    data, p = _joined(spark, sf_dir, "orders")
+    return cohorts.cold_titles(data, p)
+
+
+@register("title_ids_orders", O.with_(O.base_ctes("orders")) + "SELECT title, title_idx FROM (SELECT DISTINCT title, title_idx FROM items_orders)")
+def q_title_ids(spark, sf_dir):
+    inter, items, _ = adapters.adapter(spark, sf_dir, "orders")
+    return ids.title_ids(items).select("title", "title_idx").distinct()
+
+
+for _name in ("events", "orders"):
+    def _q(spark, sf_dir, _n=_name):
+        c = prep.cohort_rows(spark, sf_dir, _n)
+        return c.groupBy("env").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("uid").alias("n_users"),
+                                    F.countDistinct("iid").alias("n_items"))
+
+    register(f"env_counts_{_name}", O.with_(O.base_ctes(_name), O.cohort_ctes(_name))
+             + f"""SELECT env, count(*) AS n_rows, count(DISTINCT uid) AS n_users, count(DISTINCT iid) AS n_items
+FROM cohort_{_name} GROUP BY env""")(_q)
+
+
+@register("filter_items_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders"))
+          + """SELECT uid, iid, env, """ + O.ts_text("ts") + """ AS ts FROM env_orders
+WHERE iid IN (SELECT iid FROM env_orders GROUP BY iid HAVING count(*) >= 3)
+  AND iid NOT IN (SELECT iid FROM env_orders WHERE env = 0 GROUP BY iid HAVING count(*) < 3)""")
+def q_filter_items(spark, sf_dir):
+    data, p = _joined(spark, sf_dir, "orders")
+    e = cohorts.assign_env(data, cohorts.cold_titles(data, p), p)
+    return cohorts.filter_items(e, 3).select("uid", "iid", "env", ts_text("ts").alias("ts"))
+
+
+@register("filter_users_events", O.with_(O.base_ctes("events"), O.cohort_ctes("events"))
+          + """SELECT uid, iid, env, """ + O.ts_text("ts") + """ AS ts FROM env_events
+WHERE uid IN (SELECT uid FROM env_events GROUP BY uid HAVING count(*) >= 10)""")
+def q_filter_users(spark, sf_dir):
+    data, p = _joined(spark, sf_dir, "events")
+    e = cohorts.assign_env(data, cohorts.cold_titles(data, p), p)
+    return cohorts.filter_users(e, 10).select("uid", "iid", "env", ts_text("ts").alias("ts"))
+
+
+@register("dense_ids_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders"))
+          + """SELECT uid AS raw_uid, CAST(dense_rank() OVER (ORDER BY uid) AS BIGINT) AS uid
+FROM (SELECT DISTINCT uid FROM cohort_orders)""")
+def q_dense_ids(spark, sf_dir):
+    c = prep.cohort_rows(spark, sf_dir, "orders")
+    return ids.dense_id_map(c, "uid", "dense").select(F.col("uid").alias("raw_uid"), F.col("dense").alias("uid"))
+
+
+@register("fake_cold_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders", fake_cold=f"""
+wst_orders AS (SELECT iid, max(CASE WHEN env = 0 THEN 1 ELSE 0 END) AS has_train FROM env_orders
+   WHERE env IN (0, 1) GROUP BY iid),
+wrk_orders AS (SELECT iid, row_number() OVER (ORDER BY {O.hash_key('2024', 'iid')}, iid) AS r FROM wst_orders),
+fk_orders AS (SELECT iid FROM wst_orders WHERE has_train = 0
+   UNION SELECT iid FROM wrk_orders WHERE r <= (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) FROM wst_orders)),
+fake_orders AS (SELECT * EXCLUDE (env, fk), CASE WHEN fk AND env = 1 THEN 2 ELSE env END AS env FROM
+   (SELECT e.*, e.iid IN (SELECT iid FROM fk_orders) AS fk FROM env_orders e) WHERE NOT (fk AND env = 0))"""))
+          + f"SELECT uid, iid, env, {O.ts_text('ts')} AS ts FROM cohort_orders")
+def q_fake_cold(spark, sf_dir):
+    c = prep.cohort_rows(spark, sf_dir, "orders", prep.PrepOptions(fake_cold_ratio=0.2, seed=2024))
+    return c.select("uid", "iid", "env", ts_text("ts").alias("ts"))
