@@ -152,3 +152,32 @@ def part_sql(name: str, which: str, num: int = 0) -> str:
     if which != "train" and num:
         cond += f" AND env = {1 if num == 1 else 3}"
     return f"(SELECT * FROM splits_{name} WHERE {cond})"
+
+
+def templates_sql(name: str, mode: str | None) -> str:
+    """G0 (+ valid membership): latest train row per user with >= 10 train rows."""
+    tr = part_sql(name, "train")
+    va = part_sql(name, "valid")
+    cond = ""
+    if mode == "in":
+        cond = f" AND uid IN (SELECT uid FROM {va})"
+    elif mode == "out":
+        cond = f" AND uid NOT IN (SELECT uid FROM {va})"
+    return f"""(SELECT * EXCLUDE (rk, n) FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, iid ASC) AS rk,
+   count(*) OVER (PARTITION BY uid) AS n FROM {tr}) WHERE rk = 1 AND n >= 10{cond})"""
+
+
+def candidates_ctes(name: str, version: str = "v0", n: int = 80, seed: int = 2000,
+                    items_from: str | None = None, out: str = "cand") -> str:
+    mode = {"v0": None, "v1": "out", "v2": "in", "v3": "out", "v4": "in"}[version]
+    fresh = version in ("v0", "v3", "v4")
+    items_src = items_from or part_sql(name, "test")
+    off = (f"CAST(floor({hash_unit(str(seed), repr(version), 'iid')} * (SELECT count(*) FROM rk_{out})) AS BIGINT)"
+           if fresh else "CAST(0 AS BIGINT)")
+    return f"""tm_{out} AS {templates_sql(name, mode)},
+rk_{out} AS (SELECT *, row_number() OVER (ORDER BY {hash_key(str(seed), repr(version), 'uid')}, uid) - 1 AS r FROM tm_{out}),
+it_{out} AS (SELECT iid, min(title) AS title FROM {items_src} GROUP BY iid),
+sl_{out} AS (SELECT iid, title, ({off} + j) % (SELECT count(*) FROM rk_{out}) AS r
+   FROM it_{out}, range(0, LEAST({n}, (SELECT count(*) FROM rk_{out}))) t(j)),
+g_{out} AS (SELECT s.iid, s.title, t.* EXCLUDE (iid, title, r) FROM sl_{out} s JOIN rk_{out} t USING (r)),
+{out} AS (SELECT *, row_number() OVER (ORDER BY iid, uid) AS row_id FROM g_{out})"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def cohort_rows(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions
 def samples(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = PrepOptions()) -> DataFrame:
     """samples(uid, iid, label, ts, his, his_title, title, env, rating)."""
     data = cohort_rows(spark, data_dir, name, opts)
-    data = data.select("uid", "iid", "rating", "ts", "title", "env")
+    # materialisation point: the id maps and the history all read these rows
+    data = data.select("uid", "iid", "rating", "ts", "title", "env").persist(StorageLevel.MEMORY_AND_DISK)
     if opts.reencode:
         data = ids.reencode(ids.reencode(data, "iid", opts.id_start), "uid", opts.id_start)
     data = data.withColumn("label", label_from_rating("rating")).distinct()

@@ -154,3 +154,153 @@ fake_orders AS (SELECT * EXCLUDE (env, fk), CASE WHEN fk AND env = 1 THEN 2 ELSE
 def q_fake_cold(spark, sf_dir):
     c = prep.cohort_rows(spark, sf_dir, "orders", prep.PrepOptions(fake_cold_ratio=0.2, seed=2024))
     return c.select("uid", "iid", "env", ts_text("ts").alias("ts"))
+
+
+# ---------------------------------------------------------------- prompts (T-1..T-10, A11)
+from ..operators import candidates as G, calibrate as L, prompts as T  # noqa: E402
+
+
+def _ml_sql(src: str) -> str:
+    return f"(SELECT LEAST(max(len(his)), 15) FROM {src})"
+
+
+def _llm_sql(src: str) -> str:
+    ml = _ml_sql(src)
+    n = (f"(CASE WHEN len(his) > {ml} THEN {ml} ELSE len(his) - CASE WHEN his[1] = 0 THEN 1 ELSE 0 END END)")
+    pad = (f"(CASE WHEN len(his) < {ml} THEN list_concat(list_transform(range({ml} - len(his)), lambda x: CAST(0 AS BIGINT)), his)"
+           f" WHEN len(his) > {ml} THEN list_slice(his, len(his) - {ml} + 1, len(his)) ELSE his END)")
+    tl = f"(CASE WHEN {n} = 0 THEN his_title ELSE list_slice(his_title, GREATEST(len(his_title) - {n} + 1, 1), len(his_title)) END)"
+    q = f"list_transform(list_filter({tl}, lambda x: length(x) > 0), lambda x: '\"' || x || '\"')"
+    txt = f"(CASE WHEN len({q}) > 0 THEN array_to_string({q}, ', ') ELSE 'unknow' END)"
+    return f"""SELECT uid, iid, array_to_string({pad}, ',') AS his_pad, {txt} AS his_title_text,
+  '"' || title || '"' AS title_text, {n} AS interacted_num, label FROM {src}"""
+
+
+def _llm_spark(df):
+    ml = T.max_history_length(df)
+    return T.llm_sample(df, ml)
+
+
+@register("max_history_length_events", O.with_(O.all_ctes("events"))
+          + f"SELECT {_ml_sql(O.part_sql('events', 'test'))} AS max_length")
+def q_max_len(spark, sf_dir):
+    t = shared.part(spark, sf_dir, "events", "test")
+    return t.agg(F.least(F.max(F.size("his")), F.lit(15)).alias("max_length"))
+
+
+@register("llm_samples_events", O.with_(O.all_ctes("events")) + _llm_sql(O.part_sql("events", "test")))
+def q_llm_samples(spark, sf_dir):
+    s = _llm_spark(shared.part(spark, sf_dir, "events", "test"))
+    return s.withColumn("his_pad", arr_text("his_pad")).select(
+        "uid", "iid", "his_pad", "his_title_text", "title_text", F.col("interacted_num").cast("int").alias("interacted_num"), "label")
+
+
+def _prompt_sql(src: str) -> str:
+    base = "<s>" + T.DEFAULT_TEMPLATE
+    for tag in ("<uid>", "<iid>", "<DCNFeature>"):
+        base = base.replace(tag, T.PLACEHOLDER)
+    his = f"array_to_string(list_transform(range(interacted_num), lambda x: '{T.PLACEHOLDER}'), ', ')"
+    p = f"replace(replace(replace('{base}', '<his>', {his}), '<his_title>', his_title_text), '<title>', title_text)"
+    return f"SELECT uid, iid, {p} AS prompt, CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END AS answer FROM ({_llm_sql(src)})"
+
+
+@register("prompts_orders", O.with_(O.all_ctes("orders")) + _prompt_sql(O.part_sql("orders", "valid")))
+def q_prompts(spark, sf_dir):
+    s = T.render_prompt(_llm_spark(shared.part(spark, sf_dir, "orders", "valid")))
+    return s.select("uid", "iid", "prompt", T.answer_text("label").alias("answer"))
+
+
+@register("id_samples_orders", O.with_(O.all_ctes("orders"))
+          + f"SELECT uid, iid, trim(title) AS title_text, label FROM {O.part_sql('orders', 'test', 2)}")
+def q_id_samples(spark, sf_dir):
+    return T.id_sample(shared.part(spark, sf_dir, "orders", "test", 2))
+
+
+# ---------------------------------------------------------------- candidates (G0-G6), scoring
+def _cand_out(df):
+    return df.select("row_id", "uid", "iid", "title", arr_text("his").alias("his"),
+                     arr_text("his_title", "|").alias("his_title"), "label", "env")
+
+
+def _cand_sql(out: str = "cand") -> str:
+    return f"""SELECT row_id, uid, iid, title, array_to_string(his, ',') AS his,
+  array_to_string(his_title, '|') AS his_title, label, env FROM {out}"""
+
+
+def _cands(spark, sf_dir, name, version, n=80, items_part=("test", 0)):
+    train = shared.part(spark, sf_dir, name, "train")
+    items = shared.part(spark, sf_dir, name, *items_part)
+    valid = shared.part(spark, sf_dir, name, "valid")
+    return G.generate(train, items, n=n, seed=2000, version=version, valid=valid, cap=True)
+
+
+for _v in ("v0", "v1", "v2", "v3", "v4"):
+    def _q(spark, sf_dir, _v=_v):
+        return _cand_out(_cands(spark, sf_dir, "orders", _v))
+
+    register(f"candidates_{_v}_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", _v))
+             + _cand_sql())(_q)
+
+
+@register("candidates_v0_events", O.with_(O.all_ctes("events"), O.candidates_ctes("events", "v0")) + _cand_sql())
+def q_cand_events(spark, sf_dir):
+    return _cand_out(_cands(spark, sf_dir, "events", "v0"))
+
+
+@register("influence_targets_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes(
+    "orders", "v0", n=20, items_from=O.part_sql("orders", "test", 2))) + _cand_sql())
+def q_if_targets(spark, sf_dir):
+    """As v0 over the items of another test split (cold test), 20 users each."""
+    return _cand_out(_cands(spark, sf_dir, "orders", "v0", n=20, items_part=("test", 2)))
+
+
+def scored(spark, sf_dir, name="orders"):
+    """Candidates -> prompts -> scorer (mapInPandas), keyed by row_id."""
+    def build():
+        c = _cands(spark, sf_dir, name, "v0")
+        ml = T.max_history_length(c)
+        s = T.render_prompt(T.llm_sample(c, ml))
+        s = s.join(c.select("row_id", "his"), "row_id")
+        return G.score_candidates(s)
+    return shared.memo(spark, ("scored", sf_dir, name), build)
+
+
+@register("scored_candidates_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"))
+          + f"SELECT row_id, uid, iid, array_to_string(his, ',') AS his, round({O.hash_unit('7', 'row_id')}, 6) AS predicted_logit FROM cand")
+def q_scored(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return s.select("row_id", "uid", "iid", arr_text("his").alias("his"), r6("predicted_logit").alias("predicted_logit"))
+
+
+# ---------------------------------------------------------------- calibration (L1, L2)
+def _calib_ctes(name="orders") -> str:
+    tr = O.part_sql(name, "train")
+    return f"""sc AS (SELECT row_id, uid, iid, his, {O.hash_unit('7', 'row_id')} AS predicted_logit FROM cand),
+gr AS (SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 99 THEN CAST(5 AS DOUBLE) ELSE k * (CAST(5 AS DOUBLE) / 99) END AS t FROM range(100) r(k)),
+ge AS (SELECT k, t, (SELECT count(*) FROM sc WHERE predicted_logit >= t) AS n_ge FROM gr),
+st AS (SELECT (SELECT count(*) FROM sc) AS n, (SELECT avg(CAST(label AS DOUBLE)) FROM {tr}) AS p1),
+df AS (SELECT k, t, abs(p1 - n_ge / n) AS diff, p1, n_ge / n AS share FROM ge, st),
+best AS (SELECT * FROM df ORDER BY diff, k LIMIT 1)"""
+
+
+@register("calibration_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"), _calib_ctes())
+          + "SELECT k, round(t, 6) AS t, round(diff, 6) AS diff, round(p1, 6) AS p1, round(share, 6) AS share FROM best")
+def q_calibration(spark, sf_dir):
+    b = L.calibrate(scored(spark, sf_dir), shared.part(spark, sf_dir, "orders", "train"))
+    return b.select("k", r6("t").alias("t"), r6("diff").alias("diff"), r6("p1").alias("p1"), r6("share").alias("share"))
+
+
+@register("synthetic_train_rows_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"), _calib_ctes(), """
+lk AS (SELECT iid, min(title) AS title FROM samples_orders GROUP BY iid),
+lab AS (SELECT row_id, uid, iid, CAST(predicted_logit >= (SELECT t FROM best) AS INTEGER) AS label,
+   CASE WHEN len(list_filter(his, lambda x: x <> 0)) = 0 THEN [CAST(0 AS BIGINT)] ELSE list_filter(his, lambda x: x <> 0) END AS his FROM sc),
+ex AS (SELECT row_id, unnest(his) AS e, generate_subscripts(his, 1) AS pos FROM lab),
+ht AS (SELECT row_id, list(coalesce(l.title, '') ORDER BY pos) AS his_title FROM ex LEFT JOIN lk l ON l.iid = ex.e GROUP BY row_id)""")
+          + f"""SELECT lab.row_id, uid, lab.iid, label, array_to_string(his, ',') AS his, coalesce(lk.title, '') AS title,
+  array_to_string(his_title, '|') AS his_title, '2022-10-01 00:00:00.000000' AS ts, 0 AS env
+FROM lab LEFT JOIN lk USING (iid) LEFT JOIN ht USING (row_id)""")
+def q_synth_rows(spark, sf_dir):
+    lk = L.titles_lookup(shared.samples(spark, sf_dir, "orders"))
+    x = L.synthetic_training_rows(scored(spark, sf_dir), shared.part(spark, sf_dir, "orders", "train"), lk)
+    return x.select("row_id", "uid", "iid", "label", arr_text("his").alias("his"), "title",
+                    arr_text("his_title", "|").alias("his_title"), ts_text("ts").alias("ts"), "env")

@@ -35,11 +35,17 @@ def default_options(name: str) -> prep.PrepOptions:
     return prep.PrepOptions(warm_eval_sample=0.1 if name == "events" else None)
 
 
+def samples(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """prepared samples with histories, materialised."""
+    opts = default_options(name)
+    return memo(spark, ("samples", sf_dir, name), lambda: prep.samples(spark, sf_dir, name, opts))
+
+
 def splits(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """samples with ``part`` (train / valid / test), materialised."""
     opts = default_options(name)
     return memo(spark, ("splits", sf_dir, name),
-                lambda: prep.split_samples(prep.samples(spark, sf_dir, name, opts), opts))
+                lambda: prep.split_samples(samples(spark, sf_dir, name), opts))
 
 
 def part(spark: SparkSession, sf_dir: str, name: str, which: str, num: int = 0) -> DataFrame:

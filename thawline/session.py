@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut lineage with a table written to the shared checkpoint folder.
+
+    Equivalent to a reliable ``checkpoint()`` (it survives executor loss;
+    ``localCheckpoint`` is never used) but computes the plan once and
+    stores it columnar: ``Dataset.checkpoint`` evaluates an uncached plan
+    twice (count, then the checkpoint write).
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
