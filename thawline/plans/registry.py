@@ -304,3 +304,109 @@ def q_synth_rows(spark, sf_dir):
     x = L.synthetic_training_rows(scored(spark, sf_dir), shared.part(spark, sf_dir, "orders", "train"), lk)
     return x.select("row_id", "uid", "iid", "label", arr_text("his").alias("his"), "title",
                     arr_text("his_title", "|").alias("his_title"), ts_text("ts").alias("ts"), "env")
+
+
+# ---------------------------------------------------------------- selection
+from ..functions.exprs import hash_signed, hash_unit  # noqa: E402
+from ..operators import selection as I  # noqa: E402
+from ..operators.ordering import global_positions  # noqa: E402
+
+SEL_ITERS, SEL_SEED, SEL_RATIO, SEL_MIN_ITEM = 3, 13, 0.01, 5
+
+
+def influence_by_iter(spark, sf_dir):
+    """Per-iteration influence scores of the synthetic rows, derived from the
+    rows (md5(seed:iter:row_id) in [-1, 1]); parquet-cut per iteration."""
+    c = scored(spark, sf_dir).select("row_id")
+    x = c.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(SEL_ITERS - 1))).alias("iter"))
+    return x.select("iter", "row_id", hash_signed(SEL_SEED, "iter", "row_id").alias("score"))
+
+
+def _sel_sql(cumulative: bool, first_bounded: bool, n_sql: str = "(SELECT count(*) FROM cand)") -> str:
+    ctes = [f"s{k} AS (SELECT row_id, {O.hash_unit(str(SEL_SEED), str(k), 'row_id')} * 2.0 - 1.0 AS score FROM cand)"
+            for k in range(SEL_ITERS)]
+    if cumulative:
+        ctes.append("a0 AS (SELECT row_id, score * 1.0 AS score FROM s0)")
+        for k in range(1, SEL_ITERS):
+            ctes.append(f"a{k} AS (SELECT a.row_id, a.score + s.score * {float(k + 1)} AS score FROM a{k-1} a JOIN s{k} s USING (row_id))")
+        src = "a"
+    else:
+        src = "s"
+    x = f"GREATEST(1, CAST(floor({SEL_RATIO} * {n_sql}) AS BIGINT))"
+    sign = lambda c: f"(CASE WHEN {c} < 0 THEN -1 ELSE 1 END)"
+
+    def upd(k, prev):
+        return [f"""j{k} AS (SELECT p.row_id, p.state, s.score, CASE WHEN s.score < 0 THEN -1.0 ELSE s.score END AS new
+   FROM {prev} p JOIN {src}{k} s USING (row_id)),
+d{k} AS (SELECT * FROM j{k} WHERE {sign('new')} <> {sign('state')}),
+t{k} AS (SELECT row_id, new FROM d{k} ORDER BY abs(score) DESC, row_id DESC LIMIT {x}),
+st{k} AS (SELECT j.row_id, COALESCE(t.new, j.state) AS state FROM j{k} j LEFT JOIN t{k} t USING (row_id))"""]
+    if first_bounded:
+        ctes.append(f"init AS (SELECT row_id, -1.0 AS state FROM {src}0)")
+        ctes += upd(0, "init")
+    else:
+        ctes.append(f"st0 AS (SELECT row_id, CASE WHEN score < 0 THEN -1.0 ELSE score END AS state FROM {src}0)")
+    for k in range(1, SEL_ITERS):
+        ctes += upd(k, f"st{k-1}")
+    last = f"st{SEL_ITERS - 1}"
+    ctes.append(f"""gd AS (SELECT c.row_id, c.iid, s.state,
+   rank() OVER (PARTITION BY c.iid ORDER BY s.state) + (count(*) OVER (PARTITION BY c.iid, s.state) - 1) / 2.0 AS rk
+   FROM cand c JOIN {last} s USING (row_id)),
+kept AS (SELECT row_id, iid, CASE WHEN rk > {SEL_MIN_ITEM} THEN state ELSE -10000.0 END AS if_score FROM gd)""")
+    return ",\n".join(ctes)
+
+
+def _selected(spark, sf_dir, cumulative, first_bounded):
+    def build():
+        st = I.fold_states(influence_by_iter(spark, sf_dir), SEL_RATIO, first_bounded=first_bounded,
+                           cumulative=cumulative, ensemble_k=1.0)
+        syn = scored(spark, sf_dir).select("row_id", "uid", "iid")
+        return I.guard_and_select(syn, st, SEL_MIN_ITEM)
+    return shared.memo(spark, ("selected", sf_dir, cumulative, first_bounded), build)
+
+
+_SEL_BASE = [O.all_ctes("orders"), O.candidates_ctes("orders", "v0")]
+
+
+@register("selection_orders", O.with_(*_SEL_BASE, _sel_sql(False, True))
+          + "SELECT row_id, iid, round(if_score, 6) AS if_score FROM kept WHERE if_score <= 0")
+def q_selection(spark, sf_dir):
+    k = _selected(spark, sf_dir, False, True)
+    return k.select("row_id", "iid", r6("if_score").alias("if_score"))
+
+
+@register("selection_ensemble_orders", O.with_(*_SEL_BASE, _sel_sql(True, False))
+          + "SELECT row_id, iid, round(if_score, 6) AS if_score FROM kept WHERE if_score <= 0")
+def q_selection_ens(spark, sf_dir):
+    k = _selected(spark, sf_dir, True, False)
+    return k.select("row_id", "iid", r6("if_score").alias("if_score"))
+
+
+@register("delete_ratio_orders", O.with_(*_SEL_BASE, _sel_sql(False, True))
+          + """SELECT (SELECT count(*) FROM cand) AS n, (SELECT count(*) FROM kept WHERE if_score <= 0) AS kept,
+  round(((SELECT count(*) FROM cand) - (SELECT count(*) FROM kept WHERE if_score <= 0)) / (SELECT count(*) FROM cand), 6) AS delete_ratio""")
+def q_delete_ratio(spark, sf_dir):
+    d = I.delete_ratio(scored(spark, sf_dir), _selected(spark, sf_dir, False, True))
+    return d.select("n", "kept", r6("delete_ratio").alias("delete_ratio"))
+
+
+@register("top_disagreements_orders", O.with_(*_SEL_BASE, f"""
+s0 AS (SELECT row_id, {O.hash_unit(str(SEL_SEED), '0', 'row_id')} * 2.0 - 1.0 AS score FROM cand),
+s1 AS (SELECT row_id, {O.hash_unit(str(SEL_SEED), '1', 'row_id')} * 2.0 - 1.0 AS score FROM cand),
+dd AS (SELECT s1.row_id, s1.score FROM s0 JOIN s1 USING (row_id)
+   WHERE (CASE WHEN s0.score < 0 THEN -1 ELSE 1 END) <> (CASE WHEN s1.score < 0 THEN -1 ELSE 1 END))""")
+          + f"""SELECT row_id, round(score, 6) AS score FROM dd ORDER BY abs(score) DESC, row_id DESC
+LIMIT GREATEST(1, CAST(floor({SEL_RATIO} * (SELECT count(*) FROM cand)) AS BIGINT))""")
+def q_top_disagree(spark, sf_dir):
+    """The x rows with the largest |score| among rows whose sign changed
+    between two rounds (x = 1% of rows); exact, range-partitioned ranking."""
+    s = influence_by_iter(spark, sf_dir)
+    a = s.where(F.col("iter") == 0).select("row_id", F.col("score").alias("s0"))
+    b = s.where(F.col("iter") == 1).select("row_id", F.col("score").alias("score"))
+    sg = lambda c: F.when(F.col(c) < 0, -1).otherwise(1)
+    d = a.join(b, "row_id").where(sg("s0") != sg("score"))
+    n = scored(spark, sf_dir).count()
+    x = max(1, int(SEL_RATIO * n))
+    r = global_positions(d.select("row_id", "score", (-F.abs("score")).alias("_a"), (-F.col("row_id")).alias("_r")),
+                         ["_a", "_r"], "_p")
+    return r.where(F.col("_p") <= x).select("row_id", r6("score").alias("score"))
