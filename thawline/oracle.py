@@ -181,3 +181,50 @@ sl_{out} AS (SELECT iid, title, ({off} + j) % (SELECT count(*) FROM rk_{out}) AS
    FROM it_{out}, range(0, LEAST({n}, (SELECT count(*) FROM rk_{out}))) t(j)),
 g_{out} AS (SELECT s.iid, s.title, t.* EXCLUDE (iid, title, r) FROM sl_{out} s JOIN rk_{out} t USING (r)),
 {out} AS (SELECT *, row_number() OVER (ORDER BY iid, uid) AS row_id FROM g_{out})"""
+
+
+def vec_cols(prefix: str, dim: int) -> str:
+    return ", ".join(f"{prefix}{k}" for k in range(dim))
+
+
+def emb0_sql(nodes: str, dim: int, seed: int = 11, scale: float = 0.1) -> str:
+    cols = ", ".join(f"({hash_unit(str(seed), 'node', str(k))} * 2.0 - 1.0) * {scale} AS v{k}" for k in range(dim))
+    return f"(SELECT node, {cols} FROM {nodes})"
+
+
+def spmm_sql(adj: str, src: str, dim: int) -> str:
+    cols = ", ".join(f"sum(e.v{k} * a.w) AS v{k}" for k in range(dim))
+    return f"(SELECT a.dst AS node, {cols} FROM {adj} a JOIN {src} e ON e.node = a.src GROUP BY a.dst)"
+
+
+def propagate_ctes(adj: str, e0: str, out: str, layers: int, dim: int) -> str:
+    parts = [f"{out}_l0 AS (SELECT * FROM {e0})"]
+    for l in range(1, layers + 1):
+        parts.append(f"{out}_l{l} AS {spmm_sql(adj, f'{out}_l{l-1}', dim)}")
+    union = " UNION ALL ".join(f"SELECT * FROM {out}_l{l}" for l in range(layers + 1))
+    cols = ", ".join(f"sum(v{k}) * (CAST(1 AS DOUBLE) / {layers + 1}) AS v{k}" for k in range(dim))
+    parts.append(f"{out} AS (SELECT node, {cols} FROM ({union}) GROUP BY node)")
+    return ",\n".join(parts)
+
+
+def adjacency_ctes(train: str, out: str = "adj") -> str:
+    return f"""{out}_one AS (SELECT uid * 2 AS a, iid * 2 + 1 AS b, sum(CAST(label AS DOUBLE)) AS v FROM {train} WHERE label > 0 GROUP BY ALL),
+{out}_both AS (SELECT a AS src, b AS dst, v FROM {out}_one UNION ALL SELECT b AS src, a AS dst, v FROM {out}_one),
+{out}_deg AS (SELECT src, sum(v) AS d FROM {out}_both GROUP BY src),
+{out} AS (SELECT e.src, e.dst, CASE WHEN d1.d > 0 AND d2.d > 0 THEN e.v / sqrt(d1.d * d2.d) ELSE 0.0 END AS w
+   FROM {out}_both e JOIN {out}_deg d1 ON d1.src = e.src JOIN {out}_deg d2 ON d2.src = e.dst)"""
+
+
+def vec_text(prefix: str, dim: int, places: int = 6) -> str:
+    return "concat_ws(',', " + ", ".join(f"printf('%.{places}f', {prefix}{k})" for k in range(dim)) + ")"
+
+
+def sigmoid_sql(x: str) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN 1.0 / (1.0 + exp(-({x}))) ELSE exp({x}) / (1.0 + exp({x})) END)"
+
+
+def dot_sql(a: str, b: str, dim: int) -> str:
+    expr = "0.0"
+    for k in range(dim):
+        expr = f"({expr} + {a}{k} * {b}{k})"
+    return expr

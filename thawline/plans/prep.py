@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_from_rating
 from ..operators import cohorts, history, ids, splits
+from ..session import cut_lineage
 from ..sources import adapters
 
 
@@ -58,7 +58,7 @@ def samples(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = P
     """samples(uid, iid, label, ts, his, his_title, title, env, rating)."""
     data = cohort_rows(spark, data_dir, name, opts)
     # materialisation point: the id maps and the history all read these rows
-    data = data.select("uid", "iid", "rating", "ts", "title", "env").persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(data.select("uid", "iid", "rating", "ts", "title", "env"))
     if opts.reencode:
         data = ids.reencode(ids.reencode(data, "iid", opts.id_start), "uid", opts.id_start)
     data = data.withColumn("label", label_from_rating("rating")).distinct()

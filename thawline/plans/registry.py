@@ -410,3 +410,168 @@ def q_top_disagree(spark, sf_dir):
     r = global_positions(d.select("row_id", "score", (-F.abs("score")).alias("_a"), (-F.col("row_id")).alias("_r")),
                          ["_a", "_r"], "_p")
     return r.where(F.col("_p") <= x).select("row_id", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------- graph (M1-M8), influence
+from ..operators import graph as M, influence as IF  # noqa: E402
+
+DIM, LAYERS, EMB_SEED = 4, 2, 11
+
+
+def _vtext(c: str, places: int = 6):
+    return F.array_join(F.transform(F.col(c), lambda v: F.format_string(f"%.{places}f", v)), ",")
+
+
+def _g_base(spark, sf_dir, name="events"):
+    tr = shared.part(spark, sf_dir, name, "train")
+    va = shared.part(spark, sf_dir, name, "valid")
+    te = shared.part(spark, sf_dir, name, "test")
+    nodes = M.graph_nodes(tr, va, te)
+    e0 = M.hashed_embeddings(nodes, DIM, EMB_SEED)
+    return tr, va, te, M.adjacency(tr), e0
+
+
+def _g_sql_base(name="events") -> list[str]:
+    tr, va, te = O.part_sql(name, "train"), O.part_sql(name, "valid"), O.part_sql(name, "test")
+    nodes = (f"(SELECT DISTINCT node FROM (SELECT uid * 2 AS node FROM {tr} UNION ALL SELECT iid * 2 + 1 FROM {tr}"
+             f" UNION ALL SELECT uid * 2 FROM {va} UNION ALL SELECT iid * 2 + 1 FROM {va}"
+             f" UNION ALL SELECT uid * 2 FROM {te} UNION ALL SELECT iid * 2 + 1 FROM {te}))")
+    return [O.all_ctes(name), O.adjacency_ctes(tr), f"e0 AS {O.emb0_sql(nodes, DIM, EMB_SEED)}",
+            O.propagate_ctes("adj", "e0", "z", LAYERS, DIM)]
+
+
+def _z(spark, sf_dir, name="events"):
+    def build():
+        tr, va, te, adj, e0 = _g_base(spark, sf_dir, name)
+        return M.propagate(adj, e0, LAYERS, DIM)
+    return shared.memo(spark, ("z", sf_dir, name), build)
+
+
+@register("adjacency_events", O.with_(O.all_ctes("events"), O.adjacency_ctes(O.part_sql("events", "train")))
+          + "SELECT src, dst, round(w, 6) AS w FROM adj")
+def q_adjacency(spark, sf_dir):
+    return M.adjacency(shared.part(spark, sf_dir, "events", "train")).select("src", "dst", r6("w").alias("w"))
+
+
+@register("propagation_events", O.with_(*_g_sql_base()) + f"SELECT node, {O.vec_text('v', DIM)} AS vec FROM z")
+def q_propagation(spark, sf_dir):
+    return _z(spark, sf_dir).select("node", _vtext("vec").alias("vec"))
+
+
+_PAIRS_SQL = f"""pz AS (SELECT p.uid, p.iid, p.label, {O.dot_sql('u.v', 'i.v', DIM)} AS logit
+   FROM {O.part_sql('events', 'valid')} p JOIN z u ON u.node = p.uid * 2 JOIN z i ON i.node = p.iid * 2 + 1)"""
+
+
+@register("pair_scores_events", O.with_(*_g_sql_base(), _PAIRS_SQL)
+          + f"SELECT uid, iid, round(logit, 6) AS logit, round({O.sigmoid_sql('logit')}, 6) AS prob FROM pz")
+def q_pair_scores(spark, sf_dir):
+    s = M.score_pairs(shared.part(spark, sf_dir, "events", "valid").select("uid", "iid", "label"),
+                      _z(spark, sf_dir), with_sigmoid=True)
+    return s.select("uid", "iid", r6("logit").alias("logit"), r6("prob").alias("prob"))
+
+
+@register("bce_loss_events", O.with_(*_g_sql_base(), _PAIRS_SQL)
+          + "SELECT round(avg(GREATEST(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))), 6) AS bce_mean FROM pz")
+def q_bce(spark, sf_dir):
+    s = M.score_pairs(shared.part(spark, sf_dir, "events", "valid").select("uid", "iid", "label"), _z(spark, sf_dir))
+    return M.bce_loss(s).select(r6("bce_mean").alias("bce_mean"))
+
+
+def _triples(train):
+    """(uid, pos_iid, neg_iid): each positive train row with the user's
+    md5-chosen negative (one per user, a partial aggregate)."""
+    from ..functions.exprs import hash_order_key
+    neg = (train.where(F.col("label") == 0).groupBy("uid")
+           .agg(F.min_by("iid", F.struct(hash_order_key(3, "uid", "iid"), F.col("iid"))).alias("neg_iid")))
+    pos = train.where(F.col("label") == 1).select("uid", F.col("iid").alias("pos_iid"))
+    return pos.join(neg, "uid")
+
+
+@register("bpr_loss_events", O.with_(*_g_sql_base(), f"""
+tn AS (SELECT uid, arg_min(iid, ({O.hash_key('3', 'uid', 'iid')}, iid)) AS neg_iid FROM {O.part_sql('events', 'train')} WHERE label = 0 GROUP BY uid),
+tr3 AS (SELECT p.uid, p.iid AS pos_iid, n.neg_iid FROM {O.part_sql('events', 'train')} p JOIN tn n USING (uid) WHERE p.label = 1),
+bp AS (SELECT {O.dot_sql('zu.v', 'zn.v', DIM)} - {O.dot_sql('zu.v', 'zp.v', DIM)} AS d,
+   0.5 * ({' + '.join(f'eu.v{k}*eu.v{k} + ep.v{k}*ep.v{k} + en.v{k}*en.v{k}' for k in range(DIM))}) AS reg
+   FROM tr3 t JOIN z zu ON zu.node = t.uid * 2 JOIN z zp ON zp.node = t.pos_iid * 2 + 1 JOIN z zn ON zn.node = t.neg_iid * 2 + 1
+   JOIN e0 eu ON eu.node = t.uid * 2 JOIN e0 ep ON ep.node = t.pos_iid * 2 + 1 JOIN e0 en ON en.node = t.neg_iid * 2 + 1)""")
+          + "SELECT round(avg(CASE WHEN d > 0 THEN d + ln(1 + exp(-d)) ELSE ln(1 + exp(d)) END), 6) AS bpr_loss, round(sum(reg) / count(*), 6) AS reg_loss FROM bp")
+def q_bpr(spark, sf_dir):
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    b = M.bpr_loss(_triples(tr), _z(spark, sf_dir), e0)
+    return b.select(r6("bpr_loss").alias("bpr_loss"), r6("reg_loss").alias("reg_loss"))
+
+
+NCF_HIDDEN = 8
+
+
+def _ncf_sql() -> str:
+    w1, b1, w2, b2 = M.ncf_weights(DIM, NCF_HIDDEN)
+    xs = [f"u.v{k}" for k in range(DIM)] + [f"i.v{k}" for k in range(DIM)]
+    hid = []
+    for row, b in zip(w1, b1):
+        e = "0.0"
+        for x, w in zip(xs, row):
+            e = f"({e} + {x} * {float(w)!r})"
+        hid.append(f"GREATEST({e} + {float(b)!r}, 0.0)")
+    out = repr(float(b2))
+    for h, w in zip(hid, w2):
+        out = f"({out} + {h} * {float(w)!r})"
+    return (f"SELECT p.uid, p.iid, round({out}, 6) AS logit FROM {O.part_sql('events', 'valid')} p "
+            f"JOIN e0 u ON u.node = p.uid * 2 JOIN e0 i ON i.node = p.iid * 2 + 1")
+
+
+@register("ncf_scores_events", O.with_(*_g_sql_base()) + _ncf_sql())
+def q_ncf(spark, sf_dir):
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    s = M.ncf_score(va.select("uid", "iid"), e0, M.ncf_weights(DIM, NCF_HIDDEN))
+    return s.select("uid", "iid", r6("logit").alias("logit"))
+
+
+def _grad_sql(pairs: str, out: str = "gz") -> str:
+    """M11 restated: per-row coefficients scattered to both nodes, then P."""
+    uv = ", ".join(f"c * zi.v{k} AS v{k}" for k in range(DIM))
+    iv = ", ".join(f"c * zu.v{k} AS v{k}" for k in range(DIM))
+    sums = ", ".join(f"sum(v{k}) AS v{k}" for k in range(DIM))
+    return f"""{out}_t AS (SELECT p.uid * 2 AS un, p.iid * 2 + 1 AS inn,
+     ({O.sigmoid_sql(O.dot_sql('zu.v', 'zi.v', DIM))} - CAST(p.label AS DOUBLE)) / (SELECT count(*) FROM {pairs}) AS c,
+     {', '.join(f'zu.v{k} AS zu{k}, zi.v{k} AS zi{k}' for k in range(DIM))}
+   FROM {pairs} p JOIN z zu ON zu.node = p.uid * 2 JOIN z zi ON zi.node = p.iid * 2 + 1),
+{out}_s AS (SELECT node, {sums} FROM (
+   SELECT un AS node, {', '.join(f'c * zi{k} AS v{k}' for k in range(DIM))} FROM {out}_t
+   UNION ALL SELECT inn AS node, {', '.join(f'c * zu{k} AS v{k}' for k in range(DIM))} FROM {out}_t) GROUP BY node),
+{O.propagate_ctes('adj', f'{out}_s', out, LAYERS, DIM)}"""
+
+
+@register("gradient_events", O.with_(*_g_sql_base(), _grad_sql(O.part_sql("events", "train")))
+          + f"SELECT node, {O.vec_text('v', DIM, 12)} AS grad FROM gz")
+def q_gradient(spark, sf_dir):
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    m = IF.Model(adj, e0, LAYERS, DIM)
+    g = IF.gradient(m, tr.select("uid", "iid", "label"), _z(spark, sf_dir))
+    return g.select("node", _vtext("vec", 12).alias("grad"))
+
+
+@register("cg_influence_orders")
+def q_cg_influence(spark, sf_dir):
+    """C4 (M11-M14): influence of each synthetic row on the valid loss via
+    CG on (H + damp I) x = grad(valid); iterative, so rows-only check."""
+    tr = shared.part(spark, sf_dir, "orders", "train").select("uid", "iid", "label")
+    va = shared.part(spark, sf_dir, "orders", "valid").select("uid", "iid", "label")
+    syn = L.apply_threshold(scored(spark, sf_dir), L.calibrate(scored(spark, sf_dir), tr))
+    nodes = M.graph_nodes(tr, va, syn.select("uid", "iid"))
+    m = IF.Model(M.adjacency(tr), M.hashed_embeddings(nodes, DIM, EMB_SEED), 1, DIM)
+    z = m.z()
+    b = IF.gradient(m, va, z)
+    res = IF.conjugate_gradient(m, tr, b, damp=0.01, max_iter=8)
+    return IF.row_influence(m, syn, res.x, z).withColumn("cg_steps", F.lit(res.steps)) \
+        .withColumn("cg_status", F.lit(res.status))
+
+
+@register("fit_events")
+def q_fit(spark, sf_dir):
+    """M9 (re-aimed): full-batch gradient descent of the propagated model on
+    the train split, then valid logits. Iterative: rows-only check."""
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    m = IF.fit(IF.Model(adj, e0, LAYERS, DIM), tr.select("uid", "iid", "label"), epochs=3, lr=5.0)
+    s = M.score_pairs(va.select("uid", "iid", "label"), m.z(), with_sigmoid=True)
+    return s.select("uid", "iid", "label", "logit", "prob")

@@ -1,16 +1,18 @@
 """Shared, materialised intermediates of the pipelines.
 
-Several queries start from the same prepared samples. They are persisted
-(memory and disk; lineage kept, so a lost executor's blocks are recomputed)
-once per session and data directory. Ids inside them come from checkpointed
-id maps, so recomputation cannot renumber anything.
+Several queries start from the same prepared samples. They are written once
+per session and data directory as parquet tables in the shared checkpoint
+folder (``spark.checkpoint.dir``) and read back: the table survives executor
+loss, and every downstream plan starts from a small scan leaf instead of
+re-analysing the whole upstream tree (self-joins copy subtrees, so nested
+operators would otherwise grow the logical plan exponentially).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut_lineage
 from . import prep
 
 _MEMO: dict = {}
@@ -24,7 +26,7 @@ def memo(spark: SparkSession, parts: tuple, build) -> DataFrame:
     k = _key(spark, *parts)
     df = _MEMO.get(k)
     if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        df = cut_lineage(build())
         _MEMO[k] = df
     return df
 
