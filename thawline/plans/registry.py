@@ -575,3 +575,153 @@ def q_fit(spark, sf_dir):
     m = IF.fit(IF.Model(adj, e0, LAYERS, DIM), tr.select("uid", "iid", "label"), epochs=3, lr=5.0)
     s = M.score_pairs(va.select("uid", "iid", "label"), m.z(), with_sigmoid=True)
     return s.select("uid", "iid", "label", "logit", "prob")
+
+
+# ---------------------------------------------------------------- evaluation (E1-E6), metric logs
+from ..operators import metrics as E  # noqa: E402
+
+PRED_SEED = 29
+_SPLITS = [("valid", 0), ("valid", 1), ("valid", 2), ("test", 0), ("test", 1), ("test", 2)]
+
+
+def predictions(spark, sf_dir, name="orders"):
+    """Tagged union of the evaluation splits with a deterministic score."""
+    out = None
+    for p, n in _SPLITS:
+        x = shared.part(spark, sf_dir, name, p, n).select(
+            F.lit(f"{p}_{n}").alias("split"), "uid", "iid", "label",
+            hash_unit(PRED_SEED, "uid", "iid").alias("score"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _pred_sql(name="orders") -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{p}_{n}' AS split, uid, iid, label, {O.hash_unit(str(PRED_SEED), 'uid', 'iid')} AS score FROM {O.part_sql(name, p, n)}"
+        for p, n in _SPLITS)
+    return f"pred AS ({parts})"
+
+
+def _auc_sql(keys: str) -> str:
+    return f"""(SELECT {keys}, sum(label) AS n_pos, sum(1 - label) AS n_neg,
+   CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
+     (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) END AS auc
+   FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2.0 AS rk
+         FROM pred) GROUP BY {keys})"""
+
+
+@register("auc_by_split_orders", O.with_(O.all_ctes("orders"), _pred_sql())
+          + f"SELECT split, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(auc, 6) AS auc FROM {_auc_sql('split')}")
+def q_auc(spark, sf_dir):
+    a = E.auc(predictions(spark, sf_dir), ["split"])
+    return a.select("split", "n_pos", "n_neg", r6("auc").alias("auc"))
+
+
+_UAUC_CTE = f"""ua AS (SELECT *, CASE WHEN n_pos + n_neg = 1 THEN 'one_row' WHEN n_pos = 0 OR n_neg = 0 THEN 'one_class' ELSE 'ok' END AS status
+   FROM {_auc_sql('split, uid')})"""
+
+
+@register("user_auc_orders", O.with_(O.all_ctes("orders"), _pred_sql(), _UAUC_CTE)
+          + "SELECT split, uid, round(auc, 6) AS auc, status FROM ua")
+def q_user_auc(spark, sf_dir):
+    u = E.user_auc(predictions(spark, sf_dir), extra_keys=["split"])
+    return u.select("split", "uid", r6("auc").alias("auc"), "status")
+
+
+@register("uauc_orders", O.with_(O.all_ctes("orders"), _pred_sql(), _UAUC_CTE)
+          + """SELECT split, round(avg(CASE WHEN status = 'ok' THEN auc END), 6) AS uauc,
+  CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS n_users,
+  CAST(sum(CASE WHEN status = 'one_row' THEN 1 ELSE 0 END) AS BIGINT) AS n_one_row,
+  CAST(sum(CASE WHEN status = 'one_class' THEN 1 ELSE 0 END) AS BIGINT) AS n_one_class FROM ua GROUP BY split""")
+def q_uauc(spark, sf_dir):
+    s = E.user_auc_summary(E.user_auc(predictions(spark, sf_dir), extra_keys=["split"]), ["split"])
+    return s.select("split", r6("uauc").alias("uauc"), "n_users", "n_one_row", "n_one_class")
+
+
+_LL_SQL = """(SELECT split, avg(-(label * ln(LEAST(GREATEST(score, 1e-15), 1 - 1e-15))
+   + (1 - label) * ln(1 - LEAST(GREATEST(score, 1e-15), 1 - 1e-15)))) AS logloss FROM pred GROUP BY split)"""
+
+
+@register("logloss_orders", O.with_(O.all_ctes("orders"), _pred_sql()) + f"SELECT split, round(logloss, 6) AS logloss FROM {_LL_SQL}")
+def q_logloss(spark, sf_dir):
+    return E.logloss(predictions(spark, sf_dir), ["split"]).select("split", r6("logloss").alias("logloss"))
+
+
+@register("report_orders", O.with_(O.all_ctes("orders"), _pred_sql(), _UAUC_CTE)
+          + f"""SELECT a.split, round(a.auc, 6) AS auc, round(u.uauc, 6) AS uauc, round(l.logloss, 6) AS logloss
+FROM {_auc_sql('split')} a FULL JOIN (SELECT split, avg(CASE WHEN status = 'ok' THEN auc END) AS uauc FROM ua GROUP BY split) u USING (split)
+FULL JOIN {_LL_SQL} l USING (split)""")
+def q_report(spark, sf_dir):
+    r = E.report(predictions(spark, sf_dir))
+    return r.select("split", r6("auc").alias("auc"), r6("uauc").alias("uauc"), r6("logloss").alias("logloss"))
+
+
+@register("accuracy_orders", O.with_(O.all_ctes("orders"), _pred_sql())
+          + """SELECT round(avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1.0 ELSE score END) = label THEN 1.0 ELSE 0.0 END), 6) AS acc_reported,
+  round(avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1.0 ELSE 0.0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS acc FROM pred""")
+def q_accuracy(spark, sf_dir):
+    a = E.accuracy(predictions(spark, sf_dir))
+    return a.select(r6("acc_reported").alias("acc_reported"), r6("acc").alias("acc"))
+
+
+@register("dataset_loss_orders", O.with_(O.all_ctes("orders"), _pred_sql())
+          + """SELECT round(sum(GREATEST(lg, 0) - lg * label + ln(1 + exp(-abs(lg)))) / ceil(count(*) / 8192.0), 6) AS loss
+FROM (SELECT *, (score * 2.0 - 1.0) * 4.0 AS lg FROM pred)""")
+def q_dataset_loss(spark, sf_dir):
+    p = predictions(spark, sf_dir).withColumn("logit", (F.col("score") * 2.0 - 1.0) * 4.0)
+    return E.dataset_loss(p, batch=8192).select(r6("loss").alias("loss"))
+
+
+RUNS, EPOCHS, LOG_SEED = 3, 40, 37
+
+
+def metric_log(spark, sf_dir):
+    """Per (run, epoch): valid AUC of that epoch's scores (md5(seed:run:epoch:uid:iid))."""
+    def build():
+        v = shared.part(spark, sf_dir, "orders", "valid", 0).select("uid", "iid", "label")
+        x = (v.select("*", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
+              .select("*", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch")))
+        x = x.withColumn("score", hash_unit(LOG_SEED, "run", "epoch", "uid", "iid"))
+        return E.auc(x, ["run", "epoch"]).select("run", "epoch", F.col("auc").alias("valid_auc"))
+    return shared.memo(spark, ("metric_log", sf_dir), build)
+
+
+_LOG_SQL = f"""lg AS (SELECT run, epoch, auc AS valid_auc FROM (
+   SELECT run, epoch, (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) AS auc
+   FROM (SELECT *, rank() OVER (PARTITION BY run, epoch ORDER BY score) + (count(*) OVER (PARTITION BY run, epoch, score) - 1) / 2.0 AS rk
+     FROM (SELECT v.uid, v.iid, v.label, r.run, e.epoch, {O.hash_unit(str(LOG_SEED), 'r.run', 'e.epoch', 'v.uid', 'v.iid')} AS score
+       FROM {O.part_sql('orders', 'valid', 0)} v, range({RUNS}) r(run), range({EPOCHS}) e(epoch)))
+   GROUP BY run, epoch))"""
+
+
+@register("metric_log_orders", O.with_(O.all_ctes("orders"), _LOG_SQL)
+          + "SELECT CAST(run AS INTEGER) AS run, CAST(epoch AS INTEGER) AS epoch, round(valid_auc, 6) AS valid_auc FROM lg")
+def q_metric_log(spark, sf_dir):
+    return metric_log(spark, sf_dir).select("run", "epoch", r6("valid_auc").alias("valid_auc"))
+
+
+@register("early_stop_orders")
+def q_early_stop(spark, sf_dir):
+    """W11 on the metric log (patience 5, +15 once when the best <= 0.55)."""
+    return E.early_stop(metric_log(spark, sf_dir), "valid_auc", patience=5)
+
+
+@register("rolling_stats_orders", O.with_(O.all_ctes("orders"), _LOG_SQL)
+          + """SELECT CAST(run AS INTEGER) AS run, CAST(epoch AS INTEGER) AS epoch, round(valid_auc, 6) AS value,
+  round(list_sort(list(valid_auc) OVER w)[CAST(floor((len(list(valid_auc) OVER w) - 1) / 2) AS BIGINT) + 1], 6) AS median,
+  round(avg(valid_auc) OVER w, 6) AS avg, round(max(valid_auc) OVER w, 6) AS max,
+  round(avg(valid_auc) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS global_avg
+FROM lg WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def q_rolling(spark, sf_dir):
+    r = E.rolling_stats(metric_log(spark, sf_dir), value="valid_auc", key="run", step="epoch")
+    return r.select("run", "epoch", r6("valid_auc").alias("value"), r6("median").alias("median"),
+                    r6("avg").alias("avg"), r6("max").alias("max"), r6("global_avg").alias("global_avg"))
+
+
+@register("best_config_orders", O.with_(O.all_ctes("orders"), _LOG_SQL)
+          + """SELECT CAST(arg_min(run, (-m, run)) AS INTEGER) AS best_config, round(max(m), 6) AS best_valid_auc
+FROM (SELECT run, max(valid_auc) AS m FROM lg GROUP BY run)""")
+def q_best_config(spark, sf_dir):
+    per_run = metric_log(spark, sf_dir).groupBy(F.col("run").alias("config")).agg(F.max("valid_auc").alias("valid_auc"))
+    b = E.best_config(per_run, "valid_auc", "config")
+    return b.select(F.col("best_config").cast("int").alias("best_config"), r6("best_valid_auc").alias("best_valid_auc"))
