@@ -725,3 +725,247 @@ def q_best_config(spark, sf_dir):
     per_run = metric_log(spark, sf_dir).groupBy(F.col("run").alias("config")).agg(F.max("valid_auc").alias("valid_auc"))
     b = E.best_config(per_run, "valid_auc", "config")
     return b.select(F.col("best_config").cast("int").alias("best_config"), r6("best_valid_auc").alias("best_valid_auc"))
+
+
+# ---------------------------------------------------------------- sources / sinks (S1-S11), P2-P6, J2
+from ..functions.exprs import imdb_key, publication_date, two_class_prob, binarize  # noqa: E402
+from ..sources import readers as R, sinks as K  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+@register("ratings_csv_roundtrip_events", O.with_(f"inter_events AS ({O.inter_sql('events')})")
+          + "SELECT uid, iid, rating, " + O.ts_text("date_trunc('second', ts)") + " AS ts FROM inter_events")
+def q_ratings_csv(spark, sf_dir):
+    """S1 + P4: interactions written in the raw CSV shape (epoch seconds),
+    read back with a declared schema, seconds -> timestamp."""
+    path = K.write_ratings_csv(adapters.inter_events(spark, sf_dir), K.scratch_dir(spark, "ratings_csv"))
+    r = R.read_csv(spark, path, R.RATINGS)
+    return r.select(F.col("userId").alias("uid"), F.col("movieId").alias("iid"), "rating",
+                    ts_text(R.epoch_seconds_to_ts("timestamp")).alias("ts"))
+
+
+@register("reviews_jsonl_roundtrip_orders", O.with_(f"inter_orders AS ({O.inter_sql('orders')})")
+          + f"SELECT 'U' || CAST(uid AS VARCHAR) AS user_id, 'B' || CAST(iid AS VARCHAR) AS parent_asin, rating, {O.ts_text('ts')} AS ts FROM inter_orders")
+def q_reviews_jsonl(spark, sf_dir):
+    """S3 + S4: JSON lines with epoch milliseconds, explicit conversion."""
+    path = K.write_reviews_jsonl(adapters.inter_orders(spark, sf_dir), K.scratch_dir(spark, "reviews_jsonl"))
+    r = R.read_jsonl(spark, path, R.REVIEWS)
+    return r.select("user_id", "parent_asin", "rating", ts_text(R.epoch_millis_to_ts("timestamp")).alias("ts"))
+
+
+def _links_movies_basics(spark, sf_dir):
+    """Raw movie-side files derived from ``part``: links (imdb ids of 1-8
+    digits), movies, and title basics written as TSV with '\\N' nulls."""
+    p = table(spark, sf_dir, "part")
+    links = p.select(F.col("p_partkey").alias("movieId"),
+                     (F.col("p_partkey") * 4099 + F.col("p_size")).alias("imdbId"),
+                     F.col("p_partkey").alias("tmdbId"))
+    movies = p.select(F.col("p_partkey").alias("movieId"), F.col("p_name").alias("title"),
+                      F.col("p_type").alias("genres"))
+    basics = p.select(imdb_key(F.col("p_partkey") * 4099 + F.col("p_size")).alias("tconst"),
+                      F.col("p_type").alias("titleType"),
+                      F.when(F.col("p_size") % 7 == 0, F.lit("\\N"))
+                       .otherwise((F.lit(1990) + F.col("p_size") % 35).cast("string")).alias("startYear"),
+                      F.lit("\\N").alias("endYear"), F.col("p_size").cast("string").alias("runtimeMinutes"),
+                      F.col("p_brand").alias("genres"))
+    path = K.scratch_dir(spark, "basics_tsv")
+    basics.write.option("header", True).option("sep", "\t").csv(path)
+    return links, movies, R.read_tsv(spark, path)
+
+
+_BASICS_SQL = """bs AS (SELECT 'tt' || CASE WHEN length(CAST(p_partkey * 4099 + p_size AS VARCHAR)) < 7
+     THEN lpad(CAST(p_partkey * 4099 + p_size AS VARCHAR), 7, '0') ELSE CAST(p_partkey * 4099 + p_size AS VARCHAR) END AS tconst,
+   p_type AS titleType, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(1990 + p_size % 35 AS VARCHAR) END AS startYear,
+   NULL AS endYear, CAST(p_size AS VARCHAR) AS runtimeMinutes, p_brand AS genres, p_partkey AS movieId, p_name AS title, p_type AS mgenres
+   FROM part)"""
+
+
+@register("movie_items_tsv", O.with_(_BASICS_SQL)
+          + "SELECT movieId, title, mgenres AS genres, tconst, titleType, CAST(startYear AS INTEGER) AS startYear FROM bs WHERE startYear IS NOT NULL")
+def q_movie_items(spark, sf_dir):
+    """S2 + P2 + J2 + P6: links -> imdb key; links left-join basics; movies
+    left-join that with the clashing ``genres`` taken from movies; rows with
+    an unknown start year dropped, year cast to int."""
+    links, movies, basics = _links_movies_basics(spark, sf_dir)
+    lk = links.select("movieId", imdb_key("imdbId").alias("tconst"))
+    lb = lk.join(basics.select("tconst", "titleType", "startYear"), "tconst", "left")
+    m = movies.join(lb, "movieId", "left")
+    m = m.na.drop("any", subset=["startYear"])
+    return m.select("movieId", "title", movies["genres"].alias("genres"), "tconst", "titleType",
+                    F.col("startYear").cast("int").alias("startYear"))
+
+
+@register("null_profile_basics", O.with_(_BASICS_SQL)
+          + """SELECT CAST(count(*) - count(tconst) AS BIGINT) AS tconst, CAST(count(*) - count(titleType) AS BIGINT) AS titleType,
+  CAST(count(*) - count(startYear) AS BIGINT) AS startYear, CAST(count(*) - count(endYear) AS BIGINT) AS endYear,
+  CAST(count(*) - count(runtimeMinutes) AS BIGINT) AS runtimeMinutes, CAST(count(*) - count(genres) AS BIGINT) AS genres FROM bs""")
+def q_null_profile(spark, sf_dir):
+    """Null count per column in one aggregate."""
+    _, _, b = _links_movies_basics(spark, sf_dir)
+    return b.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in b.columns])
+
+
+_MONTHS = "['January','February','March','April','May','June','July','August','September','October','November','December']"
+
+
+def _details_sql() -> str:
+    d = f"({_MONTHS}[month(o_orderdate)] || ' ' || CAST(day(o_orderdate) AS VARCHAR) || ', ' || CAST(year(o_orderdate) AS VARCHAR))"
+    parse = lambda s: f"CAST(try_strptime({s}, '%B %d, %Y') AS DATE)"
+    return f"""SELECT o_orderkey, strftime(CASE o_orderkey % 6
+   WHEN 0 THEN {parse(d)} WHEN 1 THEN {parse(f'lower({d})')} WHEN 2 THEN {parse(d)}
+   WHEN 3 THEN NULL WHEN 4 THEN {parse(d)} ELSE NULL END, '%Y-%m-%d') AS publish_date FROM orders"""
+
+
+@register("publication_dates_orders", _details_sql())
+def q_publication_dates(spark, sf_dir):
+    """S3 (map column) + P3: item metadata with a details map written as JSON
+    lines, read back with a declared schema, publication date parsed."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    d = F.date_format("o_orderdate", "MMMM d, yyyy")
+    v = F.col("o_orderkey") % 6
+    details = (F.when(v == 0, F.create_map(F.lit("Publisher"), F.concat(F.lit("Press ("), d, F.lit(")"))))
+                .when(v == 1, F.create_map(F.lit("Publisher"), F.concat(F.lit("Press ("), F.lower(d), F.lit(")"))))
+                .when(v == 2, F.create_map(F.lit("Publisher"), d))
+                .when(v == 3, F.create_map(F.lit("Publisher"), F.lit("Press"), F.lit("Publication Date"), d))
+                .when(v == 4, F.create_map(F.lit("Publication Date"), d))
+                .otherwise(F.create_map(F.lit("Language"), F.lit("English"))))
+    meta = o.select(F.col("o_orderkey").cast("string").alias("parent_asin"), F.lit("t").alias("title"),
+                    details.alias("details"))
+    path = K.scratch_dir(spark, "meta_jsonl")
+    meta.write.json(path)
+    m = R.read_jsonl(spark, path, R.META)
+    return m.select(F.col("parent_asin").cast("long").alias("o_orderkey"),
+                    F.date_format(publication_date("details"), "yyyy-MM-dd").alias("publish_date"))
+
+
+_SPLIT_NAMES = [("train", 1), ("valid", 0), ("test", 0), ("valid", 1), ("valid", 2), ("test", 1), ("test", 2)]
+
+
+@register("split_files_roundtrip_events", O.with_(O.all_ctes("events"))
+          + " UNION ALL ".join(f"SELECT '{p}_{n}' AS split, uid, iid, label FROM {O.part_sql('events', p, n)}" for p, n in _SPLIT_NAMES))
+def q_split_files(spark, sf_dir):
+    """S6 + S5: the seven split outputs written partitioned by split name,
+    then read back as several paths at once."""
+    s = None
+    for p, n in _SPLIT_NAMES:
+        x = shared.part(spark, sf_dir, "events", p, n).select(F.lit(f"{p}_{n}").alias("split"), "uid", "iid", "label")
+        s = x if s is None else s.unionByName(x)
+    path = K.write_splits(s, K.scratch_dir(spark, "splits"))
+    back = R.read_parquet_many(spark, [f"{path}/split={p}_{n}" for p, n in _SPLIT_NAMES])
+    # partition column is not inside the files: re-attach from the path
+    return back.withColumn("split", F.regexp_extract(F.input_file_name(), r"split=([a-z]+_[0-9])", 1)) \
+        .select("split", "uid", "iid", "label")
+
+
+@register("influence_files_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"))
+          + f"SELECT CAST(i AS INTEGER) AS iter, count(*) AS n, CAST(0 AS BIGINT) AS n_missing FROM cand, range({SEL_ITERS}) t(i) GROUP BY i")
+def q_influence_files(spark, sf_dir):
+    """Influence scores written per iteration (partitioned by iter), read
+    back, and checked to cover every synthetic row (anti join on row_id)."""
+    path = K.write_parquet(influence_by_iter(spark, sf_dir), K.scratch_dir(spark, "influence"), ["iter"])
+    back = spark.read.parquet(path)
+    syn = scored(spark, sf_dir).select("row_id")
+    n = back.groupBy("iter").agg(F.count(F.lit(1)).alias("n"))
+    its = back.select("iter").distinct()
+    missing = []
+    for r in its.collect():
+        it = r["iter"]
+        m = syn.join(back.where(F.col("iter") == it).select("row_id"), "row_id", "left_anti").agg(
+            F.count(F.lit(1)).alias("n_missing")).withColumn("iter", F.lit(it))
+        missing.append(m)
+    mm = missing[0]
+    for m in missing[1:]:
+        mm = mm.unionByName(m)
+    return n.join(mm, "iter").select(F.col("iter").cast("int").alias("iter"), "n", "n_missing")
+
+
+@register("metrics_json_roundtrip_orders", O.with_(O.all_ctes("orders"), _pred_sql())
+          + f"SELECT e AS epoch, split, round(auc, 6) AS auc FROM {_auc_sql('split')}, (VALUES (0), (1)) t(e)")
+def q_metrics_json(spark, sf_dir):
+    """Per-epoch metric records appended as JSON lines, read back."""
+    path = K.scratch_dir(spark, "metrics_json")
+    a = E.auc(predictions(spark, sf_dir), ["split"]).select("split", "auc")
+    for e in (0, 1):
+        K.append_json(a.withColumn("epoch", F.lit(e)), path)
+    back = spark.read.schema("split string, auc double, epoch int").json(path)
+    return back.select("epoch", "split", r6("auc").alias("auc"))
+
+
+# ---------------------------------------------------------------- P10-P12, W5, A2, A3, A9, E8
+@register("two_class_scores_events", O.with_(O.all_ctes("events"))
+          + f"""SELECT uid, iid, round(p, 6) AS prob, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS pred FROM (
+  SELECT uid, iid, {O.sigmoid_sql(f"(({O.hash_unit('41', 'uid', 'iid')} * 2.0 - 1.0) * 3.0) - (({O.hash_unit('43', 'uid', 'iid')} * 2.0 - 1.0) * 3.0)")} AS p
+  FROM {O.part_sql('events', 'valid')})""")
+def q_two_class(spark, sf_dir):
+    """P10 + P12: exp(pos)/(exp(pos)+exp(neg)) from two logits, then > 0.5."""
+    v = shared.part(spark, sf_dir, "events", "valid")
+    x = v.select("uid", "iid", (hash_signed(41, "uid", "iid") * 3.0).alias("pos"),
+                 (hash_signed(43, "uid", "iid") * 3.0).alias("neg"))
+    x = x.withColumn("p", two_class_prob("pos", "neg"))
+    return x.select("uid", "iid", r6("p").alias("prob"), binarize("p").alias("pred"))
+
+
+@register("row_sample_orders", O.with_(O.all_ctes("orders"))
+          + f"SELECT uid, iid FROM {O.part_sql('orders', 'train')} WHERE {O.hash_unit('2024', 'uid', 'iid')} < 0.3")
+def q_row_sample(spark, sf_dir):
+    """Seeded 30% row sample of train (hash threshold)."""
+    from ..operators.splits import sample_rows
+    return sample_rows(shared.part(spark, sf_dir, "orders", "train"), 0.3, 2024, "uid", "iid").select("uid", "iid")
+
+
+@register("item_frequency_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders"))
+          + "SELECT iid, count(*) AS n FROM cohort_orders GROUP BY iid")
+def q_item_freq(spark, sf_dir):
+    """A2: interactions per item (descending order is a presentation choice)."""
+    return prep.cohort_rows(spark, sf_dir, "orders").groupBy("iid").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@register("monthly_counts_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders"))
+          + """SELECT m - (SELECT min(month(ts) + 12 * year(ts)) FROM joined_orders WHERE ts >= TIMESTAMP '1996-01-01') AS month,
+  count(*) AS n_all, CAST(sum(CASE WHEN cold THEN 1 ELSE 0 END) AS BIGINT) AS n_cold, CAST(sum(CASE WHEN cold THEN 0 ELSE 1 END) AS BIGINT) AS n_warm
+FROM (SELECT month(ts) + 12 * year(ts) AS m, title_idx IN (SELECT title_idx FROM cold_orders) AS cold FROM joined_orders WHERE ts >= TIMESTAMP '1996-01-01')
+GROUP BY m""")
+def q_monthly(spark, sf_dir):
+    """P5 + A3: relative month index over the time-filtered rows and counts
+    for all / cold / warm rows in one pass (cohort column)."""
+    data, p = _joined(spark, sf_dir, "orders")
+    cold = cohorts.cold_titles(data, p).withColumn("_cold", F.lit(True))
+    x = data.where(F.col("ts") >= F.lit(p.train_start).cast("timestamp_ntz"))
+    x = x.join(cold, "title_idx", "left").withColumn("_m", F.month("ts") + 12 * F.year("ts"))
+    g = x.groupBy("_m").agg(F.count(F.lit(1)).alias("n_all"),
+                            F.sum(F.when(F.col("_cold"), 1).otherwise(0)).cast("long").alias("n_cold"),
+                            F.sum(F.when(F.col("_cold"), 0).otherwise(1)).cast("long").alias("n_warm"))
+    lo = g.agg(F.min("_m").alias("_lo"))
+    return L.one_row_join(g, lo).select((F.col("_m") - F.col("_lo")).alias("month"), "n_all", "n_cold", "n_warm")
+
+
+@register("dataset_summary_events", O.with_(O.all_ctes("events"))
+          + """SELECT part, count(*) AS n_rows, max(uid) + 1 AS n_users, max(iid) + 1 AS n_items,
+  round(count(*) / ((max(uid) + 1) * (max(iid) + 1)), 6) AS density FROM splits_events GROUP BY part""")
+def q_summary(spark, sf_dir):
+    """Rows per split, users = 1 + max(uid), items = 1 + max(iid), density."""
+    s = shared.splits(spark, sf_dir, "events")
+    g = s.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), (F.max("uid") + 1).alias("n_users"),
+                              (F.max("iid") + 1).alias("n_items"))
+    return g.withColumn("density", r6(F.col("n_rows") / (F.col("n_users") * F.col("n_items"))))
+
+
+@register("mixed_eval_orders", O.with_(O.all_ctes("orders"), f"""
+src AS (SELECT 'warm' AS source, uid, iid, 2.0 AS w FROM {O.part_sql('orders', 'valid', 1)}
+   UNION ALL SELECT 'cold' AS source, uid, iid, 1.0 AS w FROM {O.part_sql('orders', 'valid', 2)}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {O.hash_key('5', 'uid', 'iid')}, uid, iid) AS r FROM src)""")
+          + "SELECT source, uid, iid, row_number() OVER (ORDER BY (r - 0.5) / w, source, uid, iid) AS mix_pos FROM rk")
+def q_mixed(spark, sf_dir):
+    """Ratio mixing of several sources (warm:cold = 2:1) as a weighted
+    round-robin order over all rows (nothing dropped); per-source ranks and
+    the final order come from range-partitioned positions."""
+    from ..functions.exprs import hash_order_key
+    srcs = [("warm", shared.part(spark, sf_dir, "orders", "valid", 1), 2.0),
+            ("cold", shared.part(spark, sf_dir, "orders", "valid", 2), 1.0)]
+    out = None
+    for name, df, w in srcs:
+        x = df.select(F.lit(name).alias("source"), "uid", "iid", hash_order_key(5, "uid", "iid").alias("_h"))
+        x = global_positions(x, ["_h", "uid", "iid"], "_r").withColumn("_k", (F.col("_r") - 0.5) / w)
+        out = x if out is None else out.unionByName(x)
+    out = global_positions(out, ["_k", "source", "uid", "iid"], "mix_pos")
+    return out.select("source", "uid", "iid", "mix_pos")
