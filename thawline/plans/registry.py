@@ -700,10 +700,24 @@ def q_metric_log(spark, sf_dir):
     return metric_log(spark, sf_dir).select("run", "epoch", r6("valid_auc").alias("valid_auc"))
 
 
-@register("early_stop_orders")
+@register("early_stop_orders", O.with_(O.all_ctes("orders"), _LOG_SQL, """
+x1 AS (SELECT run, epoch, valid_auc, max(valid_auc) OVER (PARTITION BY run ORDER BY epoch
+     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM lg),
+x2 AS (SELECT *, max(CASE WHEN pb IS NULL OR valid_auc > pb THEN epoch END) OVER w AS li,
+     max(valid_auc) OVER w AS best FROM x1 WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING)),
+x3 AS (SELECT *, epoch - li AS cnt FROM x2),
+f1 AS (SELECT run, min(epoch) AS fe FROM x3 WHERE cnt >= 5 GROUP BY run),
+fb AS (SELECT f1.run, f1.fe, x3.best AS fbst FROM f1 JOIN x3 ON x3.run = f1.run AND x3.epoch = f1.fe),
+e2 AS (SELECT x3.run, min(x3.epoch) AS se FROM x3 JOIN fb ON fb.run = x3.run WHERE x3.cnt >= 20 AND x3.epoch > fb.fe GROUP BY x3.run),
+stp AS (SELECT fb.run, CASE WHEN fbst > 0.55 THEN fe ELSE se END AS stop_epoch FROM fb LEFT JOIN e2 USING (run))""")
+          + """SELECT CAST(l.run AS INTEGER) AS run, CAST(COALESCE(stp.stop_epoch, l.last) AS INTEGER) AS stop_epoch,
+  stp.stop_epoch IS NOT NULL AS stopped, round(l.best, 6) AS best_metric
+FROM (SELECT run, max(epoch) AS last, max(valid_auc) AS best FROM lg GROUP BY run) l LEFT JOIN stp USING (run)""")
 def q_early_stop(spark, sf_dir):
     """W11 on the metric log (patience 5, +15 once when the best <= 0.55)."""
-    return E.early_stop(metric_log(spark, sf_dir), "valid_auc", patience=5)
+    s = E.early_stop(metric_log(spark, sf_dir), "valid_auc", patience=5)
+    return s.select("run", F.col("stop_epoch").cast("int").alias("stop_epoch"), "stopped",
+                    r6("best_metric").alias("best_metric"))
 
 
 @register("rolling_stats_orders", O.with_(O.all_ctes("orders"), _LOG_SQL)
@@ -969,3 +983,25 @@ def q_mixed(spark, sf_dir):
         out = x if out is None else out.unionByName(x)
     out = global_positions(out, ["_k", "source", "uid", "iid"], "mix_pos")
     return out.select("source", "uid", "iid", "mix_pos")
+
+
+# ---------------------------------------------------------------- streaming (S10 consumer)
+@register("metric_log_stream_orders", O.with_(O.all_ctes("orders"), _LOG_SQL)
+          + """SELECT CAST(run AS INTEGER) AS run, round(max(valid_auc), 6) AS best_metric,
+  CAST(arg_min(epoch, (-valid_auc, epoch)) AS INTEGER) AS best_epoch, CAST(max(epoch) AS INTEGER) AS last_epoch,
+  count(*) AS n_epochs FROM lg GROUP BY run""")
+def q_metric_stream(spark, sf_dir):
+    """The metric log appended as JSON lines in epoch batches (S10), followed
+    by a Structured Streaming aggregation (best so far per run)."""
+    import uuid
+
+    from ..streaming.metric_log import follow
+    log = metric_log(spark, sf_dir)
+    path = K.scratch_dir(spark, "metric_stream")
+    for lo in range(0, EPOCHS, 10):   # training appends in batches of epochs
+        K.append_json(log.where((F.col("epoch") >= lo) & (F.col("epoch") < lo + 10))
+                      .select(F.col("run").cast("int").alias("run"), F.col("epoch").cast("int").alias("epoch"),
+                              "valid_auc"), path)
+    name = f"metric_stream_{uuid.uuid4().hex[:8]}"
+    out = follow(spark, path, K.scratch_dir(spark, "metric_stream_ckpt"), name)
+    return out.select("run", r6("best_metric").alias("best_metric"), "best_epoch", "last_epoch", "n_epochs")
