@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import running_before
 
 ORDER = ["ts", "iid", "rating"]  # total order per user after the distinct
@@ -36,7 +37,8 @@ def rolling_history(df: DataFrame, max_len: int = 15, bucket_unit: str = "day",
     x = df.withColumn("_bkt", F.date_trunc(bucket_unit, F.col("ts")))
     x = running_before(x, ["uid"], "_bkt", order, (F.col("label") == 1), "_c")
     title = F.col("title") if with_titles else F.lit(None).cast("string")
-    x = x.withColumn("_t", title)
+    # three consumers below (bucket starts, positives, own rows): cut once
+    x = cut_lineage(x.withColumn("_t", title))
 
     # carry: for each (uid, bucket) the last max_len positives before the bucket
     b = x.groupBy("uid", "_bkt").agg(F.min("_c").alias("_c0"))

@@ -44,11 +44,16 @@ def history_slice(spark: SparkSession, data_dir: str, name: str = "events", max_
 
 def cohort_rows(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = PrepOptions()) -> DataFrame:
     """Rows with env after the cold rule and the activity filters (raw ids)."""
-    inter, items, p = adapters.adapter(spark, data_dir, name)
-    items = ids.title_ids(items)
+    p = adapters.profile_for(name, data_dir)
+    # materialisation points: the adapter output feeds items, title ids, the
+    # cold rule and the env join; the env rows feed both activity filters
+    inter = cut_lineage(adapters.interactions(spark, data_dir, name))
+    # the cold rule only needs a title grouping key: the title itself serves
+    # (D3's dense title ids are a separate operator, ``ids.title_ids``)
+    items = adapters.items_for(inter, p).withColumn("title_idx", F.col("title"))
     data = cohorts.join_items(inter, items)
     cold = cohorts.cold_titles(data, p)
-    data = cohorts.assign_env(data, cold, p)
+    data = cut_lineage(cohorts.assign_env(data, cold, p))
     if opts.fake_cold_ratio:
         data = cohorts.apply_fake_cold(data, cohorts.fake_cold_items(data, opts.fake_cold_ratio, opts.seed))
     return cohorts.activity_filter(data, p.user_min, p.item_min, p.filter_order)

@@ -56,7 +56,8 @@ def _samples_out(df: DataFrame) -> DataFrame:
 
 for _name in ("events", "orders"):
     def _q(spark: SparkSession, sf_dir: str, _n=_name) -> DataFrame:
-        return _samples_out(prep.samples(spark, sf_dir, _n))
+        from . import shared as _shared
+        return _samples_out(_shared.samples(spark, sf_dir, _n))
 
     register(f"samples_{_name}", O.with_(O.base_ctes(_name), O.samples_ctes(_name))
              + f"""SELECT uid, iid, label, {O.ts_text('ts')} AS ts, title, env,
