@@ -10,7 +10,7 @@ items x n, which is the feature; nothing else grows with a product.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_order_key, hash_unit
@@ -57,20 +57,26 @@ def generate(train: DataFrame, test: DataFrame, n: int = 80, seed: int = 2000,
     if u_count < n and not cap:
         raise ValueError(f"cannot sample {n} of {u_count} warm users without replacement")
     k = min(n, u_count)
-    items = target_items(test)
+    items = global_positions(target_items(test), ["iid"], "_ipos", start=0)
     if fresh:
         off = F.floor(hash_unit(seed, F.lit(version), "iid") * F.lit(u_count)).cast("long")
     else:
         off = F.lit(0).cast("long")
-    slots = items.select("iid", "title", off.alias("_off"),
+    slots = items.select("iid", "title", "_ipos", off.alias("_off"),
                          F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
-    slots = slots.select("iid", "title", ((F.col("_off") + F.col("_j")) % F.lit(u_count)).alias("_r"))
+    slots = slots.select("iid", "title", "_ipos", ((F.col("_off") + F.col("_j")) % F.lit(u_count)).alias("_r"))
     tmpl = ranked.drop("iid", "title")
     out = slots.join(tmpl, "_r").drop("_r")
-    return out.transform(add_row_id)
+    # row_id = dense rank of (iid, uid): every item has exactly k users, so it
+    # is item position * k + the user's rank inside the item (a window over a
+    # group of exactly k rows; no global sort of the candidate rows)
+    w = Window.partitionBy("iid").orderBy("uid")
+    out = out.withColumn("row_id", F.col("_ipos") * k + F.row_number().over(w))
+    return out.drop("_ipos")
 
 
 def add_row_id(df: DataFrame) -> DataFrame:
+    """Dense rank of (iid, uid) for an arbitrary candidate table."""
     return global_positions(df, ["iid", "uid"], "row_id", start=1)
 
 

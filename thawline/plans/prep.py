@@ -38,7 +38,7 @@ def history_slice(spark: SparkSession, data_dir: str, name: str = "events", max_
     """Minimum slice: adapter -> label -> distinct -> W1 (no cohort rules)."""
     inter = adapters.interactions(spark, data_dir, name)
     items = adapters.items_for(inter, adapters.profile_for(name, data_dir)).select("iid", "title")
-    x = labelled(inter).join(items, "iid", "left")
+    x = cut_lineage(labelled(inter).join(items, "iid", "left"))
     return history.rolling_history(x, max_len=max_len)
 
 
