@@ -174,7 +174,7 @@ def _llm_sql(src: str) -> str:
     q = f"list_transform(list_filter({tl}, lambda x: length(x) > 0), lambda x: '\"' || x || '\"')"
     txt = f"(CASE WHEN len({q}) > 0 THEN array_to_string({q}, ', ') ELSE 'unknow' END)"
     return f"""SELECT uid, iid, array_to_string({pad}, ',') AS his_pad, {txt} AS his_title_text,
-  '"' || title || '"' AS title_text, {n} AS interacted_num, label FROM {src}"""
+  '"' || title || '"' AS title_text, CAST({n} AS INTEGER) AS interacted_num, label FROM {src}"""
 
 
 def _llm_spark(df):
@@ -183,7 +183,7 @@ def _llm_spark(df):
 
 
 @register("max_history_length_events", O.with_(O.all_ctes("events"))
-          + f"SELECT {_ml_sql(O.part_sql('events', 'test'))} AS max_length")
+          + f"SELECT CAST({_ml_sql(O.part_sql('events', 'test'))} AS INTEGER) AS max_length")
 def q_max_len(spark, sf_dir):
     t = shared.part(spark, sf_dir, "events", "test")
     return t.agg(F.least(F.max(F.size("his")), F.lit(15)).alias("max_length"))
@@ -938,7 +938,7 @@ def q_item_freq(spark, sf_dir):
 
 
 @register("monthly_counts_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders"))
-          + """SELECT m - (SELECT min(month(ts) + 12 * year(ts)) FROM joined_orders WHERE ts >= TIMESTAMP '1996-01-01') AS month,
+          + """SELECT CAST(m - (SELECT min(month(ts) + 12 * year(ts)) FROM joined_orders WHERE ts >= TIMESTAMP '1996-01-01') AS INTEGER) AS month,
   count(*) AS n_all, CAST(sum(CASE WHEN cold THEN 1 ELSE 0 END) AS BIGINT) AS n_cold, CAST(sum(CASE WHEN cold THEN 0 ELSE 1 END) AS BIGINT) AS n_warm
 FROM (SELECT month(ts) + 12 * year(ts) AS m, title_idx IN (SELECT title_idx FROM cold_orders) AS cold FROM joined_orders WHERE ts >= TIMESTAMP '1996-01-01')
 GROUP BY m""")
