@@ -141,3 +141,21 @@ def ncf_score(pairs: DataFrame, emb: DataFrame, weights) -> DataFrame:
            for row, b in zip(w1, b1)]
     out = sum((h * F.lit(float(w)) for h, w in zip(hid, w2)), F.lit(float(b2)))
     return g.withColumn("logit", out).drop("zu", "zi", "_x")
+
+
+def fit_ncf(pairs: DataFrame, emb: DataFrame, hidden: int = 64, max_iter: int = 50, seed: int = 5):
+    """M10 (re-aimed): the neural pair scorer fitted with MLlib's multilayer
+    perceptron over assembled [user vector, item vector] features; returns
+    (model, scored pairs with ``prob``)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    g = gather(pairs, emb)
+    dim2 = 2 * len(g.select("zu").first()["zu"])
+    x = g.withColumn("features", array_to_vector(F.concat("zu", "zi"))).withColumn(
+        "y", F.col("label").cast("double"))
+    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[dim2, hidden, 2],
+                                         maxIter=max_iter, seed=seed)
+    model = mlp.fit(x)
+    out = model.transform(x).withColumn("prob", vector_to_array("probability")[1])
+    return model, out.select("uid", "iid", "label", "prob")

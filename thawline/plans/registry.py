@@ -1008,3 +1008,43 @@ def q_metric_stream(spark, sf_dir):
     name = f"metric_stream_{uuid.uuid4().hex[:8]}"
     out = follow(spark, path, K.scratch_dir(spark, "metric_stream_ckpt"), name)
     return out.select("run", r6("best_metric").alias("best_metric"), "best_epoch", "last_epoch", "n_epochs")
+
+
+# ---------------------------------------------------------------- C4-C6, M10
+from . import iterate as C  # noqa: E402
+
+
+@register("iterated_selection_orders")
+def q_iterated(spark, sf_dir):
+    """C5 with two rounds (round 0 keeps all; round 1 selects by influence);
+    iterative, so rows-only check."""
+    tr = shared.part(spark, sf_dir, "orders", "train")
+    va = shared.part(spark, sf_dir, "orders", "valid")
+    evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
+    syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
+    opts = C.IterOptions(rounds=2, dim=4, layers=1, epochs=2, cg_max_iter=3)
+    return C.iterated_selection(tr, va, evals, syn, opts, K.scratch_dir(spark, "influence_rounds"))
+
+
+@register("ensemble_inference_orders")
+def q_ensemble(spark, sf_dir):
+    """Cumulative fold of the per-iteration scores, selection, one fit, report."""
+    tr = shared.part(spark, sf_dir, "orders", "train").select("uid", "iid", "label")
+    evals = {"valid_0": shared.part(spark, sf_dir, "orders", "valid"),
+             "test_0": shared.part(spark, sf_dir, "orders", "test")}
+    syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
+    nodes = M.graph_nodes(tr, syn.select("uid", "iid"), *[e.select("uid", "iid") for e in evals.values()])
+    opts = C.IterOptions(dim=4, layers=1, epochs=2)
+    return C.ensemble_inference(syn, influence_by_iter(spark, sf_dir), tr, nodes, evals, opts)
+
+
+@register("ncf_fit_events")
+def q_ncf_fit(spark, sf_dir):
+    """M10 (re-aimed): MLlib perceptron on [user, item] vectors of the train
+    split, scored on valid; iterative fit, rows-only check."""
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    model, _ = M.fit_ncf(tr.select("uid", "iid", "label"), e0, hidden=16, max_iter=20)
+    g = M.gather(va.select("uid", "iid", "label"), e0)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    x = g.withColumn("features", array_to_vector(F.concat("zu", "zi")))
+    return model.transform(x).select("uid", "iid", "label", vector_to_array("probability")[1].alias("prob"))
