@@ -1048,3 +1048,37 @@ def q_ncf_fit(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector, vector_to_array
     x = g.withColumn("features", array_to_vector(F.concat("zu", "zi")))
     return model.transform(x).select("uid", "iid", "label", vector_to_array("probability")[1].alias("prob"))
+
+
+def _hvp_sql(pairs: str, damp: float = 0.01) -> str:
+    """M12 restated: D = P v; per-row h and c; scatter; P; + damp v."""
+    dv = ", ".join(f"dv{k}" for k in range(DIM))
+    uvec = ", ".join(f"h * zi{k} + c * di{k} AS v{k}" for k in range(DIM))
+    ivec = ", ".join(f"h * zu{k} + c * du{k} AS v{k}" for k in range(DIM))
+    sums = ", ".join(f"sum(v{k}) AS v{k}" for k in range(DIM))
+    dot_dz = " + ".join(f"du{k} * zi{k}" for k in range(DIM))
+    dot_zd = " + ".join(f"zu{k} * di{k}" for k in range(DIM))
+    return f"""vv AS {O.emb0_sql("(SELECT node FROM e0)", DIM, 17, 1.0)},
+{O.propagate_ctes('adj', 'vv', 'dd', LAYERS, DIM)},
+ht AS (SELECT p.uid * 2 AS un, p.iid * 2 + 1 AS inn, CAST(p.label AS DOUBLE) AS y,
+     {', '.join(f'zu.v{k} AS zu{k}, zi.v{k} AS zi{k}, du.v{k} AS du{k}, di.v{k} AS di{k}' for k in range(DIM))},
+     {O.sigmoid_sql(O.dot_sql('zu.v', 'zi.v', DIM))} AS sig
+   FROM {pairs} p JOIN z zu ON zu.node = p.uid * 2 JOIN z zi ON zi.node = p.iid * 2 + 1
+   JOIN dd du ON du.node = p.uid * 2 JOIN dd di ON di.node = p.iid * 2 + 1),
+ht2 AS (SELECT *, sig * (1 - sig) * (({dot_dz}) + ({dot_zd})) / (SELECT count(*) FROM {pairs}) AS h,
+     (sig - y) / (SELECT count(*) FROM {pairs}) AS c FROM ht),
+hs AS (SELECT node, {sums} FROM (SELECT un AS node, {uvec} FROM ht2 UNION ALL SELECT inn AS node, {ivec} FROM ht2) GROUP BY node),
+{O.propagate_ctes('adj', 'hs', 'ph', LAYERS, DIM)},
+hv AS (SELECT COALESCE(a.node, b.node) AS node, {', '.join(f'COALESCE(a.v{k}, 0.0) * 1.0 + COALESCE(b.v{k}, 0.0) * {damp} AS v{k}' for k in range(DIM))}
+   FROM ph a FULL JOIN vv b ON a.node = b.node)"""
+
+
+@register("hvp_events", O.with_(*_g_sql_base(), _hvp_sql(O.part_sql("events", "train")))
+          + f"SELECT node, {O.vec_text('v', DIM, 12)} AS hv FROM hv")
+def q_hvp(spark, sf_dir):
+    """(H + damp I) v of the mean train BCE, v = md5 vector (seed 17)."""
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    v = M.hashed_embeddings(e0.select("node"), DIM, 17, 1.0)
+    m = IF.Model(adj, e0, LAYERS, DIM)
+    hv = IF.hvp(m, tr.select("uid", "iid", "label"), v, 0.01, _z(spark, sf_dir))
+    return hv.select("node", _vtext("vec", 12).alias("hv"))
