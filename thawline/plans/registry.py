@@ -882,17 +882,10 @@ def q_influence_files(spark, sf_dir):
     path = K.write_parquet(influence_by_iter(spark, sf_dir), K.scratch_dir(spark, "influence"), ["iter"])
     back = spark.read.parquet(path)
     syn = scored(spark, sf_dir).select("row_id")
+    n_syn = syn.count()
+    covered = back.join(syn, "row_id", "left_semi").groupBy("iter").agg(F.countDistinct("row_id").alias("_c"))
     n = back.groupBy("iter").agg(F.count(F.lit(1)).alias("n"))
-    its = back.select("iter").distinct()
-    missing = []
-    for r in its.collect():
-        it = r["iter"]
-        m = syn.join(back.where(F.col("iter") == it).select("row_id"), "row_id", "left_anti").agg(
-            F.count(F.lit(1)).alias("n_missing")).withColumn("iter", F.lit(it))
-        missing.append(m)
-    mm = missing[0]
-    for m in missing[1:]:
-        mm = mm.unionByName(m)
+    mm = covered.select("iter", (F.lit(n_syn) - F.col("_c")).alias("n_missing"))
     return n.join(mm, "iter").select(F.col("iter").cast("int").alias("iter"), "n", "n_missing")
 
 
