@@ -62,15 +62,15 @@ def answer_text(label, mode: str = "v2") -> Column:
     return F.when(F.col(label) == 1, F.lit(pos)).otherwise(F.lit(neg))
 
 
-def llm_sample(df: DataFrame, max_length: int) -> DataFrame:
+def llm_sample(df: DataFrame, max_length: int, keep: tuple = ()) -> DataFrame:
     """T-10 (LLM form) with T-2..T-5: uid, his_pad, his_title text, iid,
-    quoted title, InteractedNum, label."""
+    quoted title, InteractedNum, label (+ row_id and ``keep`` columns)."""
     n = interacted_num("his", max_length)
     return df.select(
         "uid", pad_history("his", max_length).alias("his_pad"),
         title_list_text(last_titles("his_title", n)).alias("his_title_text"),
         "iid", F.concat(F.lit('"'), F.col("title"), F.lit('"')).alias("title_text"),
-        n.alias("interacted_num"), "label", *[c for c in ("row_id",) if c in df.columns])
+        n.alias("interacted_num"), "label", *[c for c in ("row_id",) if c in df.columns], *keep)
 
 
 def id_sample(df: DataFrame) -> DataFrame:

@@ -262,8 +262,7 @@ def scored(spark, sf_dir, name="orders"):
     def build():
         c = _cands(spark, sf_dir, name, "v0")
         ml = T.max_history_length(c)
-        s = T.render_prompt(T.llm_sample(c, ml))
-        s = s.join(c.select("row_id", "his"), "row_id")
+        s = T.render_prompt(T.llm_sample(c, ml, keep=("his",)))
         return G.score_candidates(s)
     return shared.memo(spark, ("scored", sf_dir, name), build)
 
@@ -410,9 +409,10 @@ def q_top_disagree(spark, sf_dir):
     d = a.join(b, "row_id").where(sg("s0") != sg("score"))
     n = scored(spark, sf_dir).count()
     x = max(1, int(SEL_RATIO * n))
-    r = global_positions(d.select("row_id", "score", (-F.abs("score")).alias("_a"), (-F.col("row_id")).alias("_r")),
-                         ["_a", "_r"], "_p")
-    return r.where(F.col("_p") <= x).select("row_id", r6("score").alias("score"))
+    from ..operators.ordering import top_rows
+    r = top_rows(d.select("row_id", "score", (-F.abs("score")).alias("_a"), (-F.col("row_id")).alias("_r")),
+                 ["_a", "_r"], x)
+    return r.select("row_id", r6("score").alias("score"))
 
 
 # ---------------------------------------------------------------- graph (M1-M8), influence
