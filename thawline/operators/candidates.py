@@ -65,14 +65,15 @@ def generate(train: DataFrame, test: DataFrame, n: int = 80, seed: int = 2000,
     slots = items.select("iid", "title", "_ipos", off.alias("_off"),
                          F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
     slots = slots.select("iid", "title", "_ipos", ((F.col("_off") + F.col("_j")) % F.lit(u_count)).alias("_r"))
-    tmpl = ranked.drop("iid", "title")
-    out = slots.join(tmpl, "_r").drop("_r")
     # row_id = dense rank of (iid, uid): every item has exactly k users, so it
     # is item position * k + the user's rank inside the item (a window over a
-    # group of exactly k rows; no global sort of the candidate rows)
+    # group of exactly k rows; no global sort). Numbered on narrow rows first,
+    # the wide template columns (histories) are attached afterwards.
+    narrow = slots.join(ranked.select("_r", "uid"), "_r")
     w = Window.partitionBy("iid").orderBy("uid")
-    out = out.withColumn("row_id", F.col("_ipos") * k + F.row_number().over(w))
-    return out.drop("_ipos")
+    narrow = narrow.withColumn("row_id", F.col("_ipos") * k + F.row_number().over(w)).drop("_ipos")
+    tmpl = ranked.drop("iid", "title", "uid")
+    return narrow.join(tmpl, "_r").drop("_r")
 
 
 def add_row_id(df: DataFrame) -> DataFrame:
