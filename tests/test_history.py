@@ -72,3 +72,33 @@ def test_random_users_many_buckets(spark):
     got_h = {(r.uid, r.iid, r.ts): list(r.his) for r in rolling_history(_frame(spark, rows), bucket_unit="hour").collect()}
     got_y = {(r.uid, r.iid, r.ts): list(r.his) for r in rolling_history(_frame(spark, rows), bucket_unit="year").collect()}
     assert got_h == got_y == {k: v[0] for k, v in exp.items()}
+
+
+def test_hot_user_and_partition_invariance(spark):
+    """One user holds a third of all rows; results equal the restatement for
+    any partitioning / input order, and no (user, day) group exceeds one
+    day of that user's rows."""
+    rnd = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, seen = [], set()
+    for k in range(900):                       # hot user 0 over 60 days
+        ts = t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 60))
+        i = rnd.randint(1, 300)
+        if (0, i, ts) not in seen:
+            seen.add((0, i, ts))
+            rows.append((0, i, rnd.randint(1, 5), ts, rnd.randint(0, 1)))
+    for u in range(1, 60):
+        for k in range(30):
+            ts = t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 60))
+            i = rnd.randint(1, 300)
+            if (u, i, ts) not in seen:
+                seen.add((u, i, ts))
+                rows.append((u, i, rnd.randint(1, 5), ts, rnd.randint(0, 1)))
+    exp = {k: v[0] for k, v in reference_history(rows).items()}
+    base = _frame(spark, rows)
+    for variant in (base.repartition(1), base.repartition(13), base.orderBy(F.rand(5))):
+        got = {(r.uid, r.iid, r.ts): list(r.his) for r in rolling_history(variant).collect()}
+        assert got == exp
+    per_day = base.groupBy("uid", F.date_trunc("day", "ts").alias("d")).count()
+    hot_max_day = per_day.where(F.col("uid") == 0).agg(F.max("count")).first()[0]
+    assert hot_max_day < 0.1 * sum(1 for r in rows if r[0] == 0)
