@@ -35,7 +35,7 @@ def rolling_history(df: DataFrame, max_len: int = 15, bucket_unit: str = "day",
     """
     order = order or ORDER
     x = df.withColumn("_bkt", F.date_trunc(bucket_unit, F.col("ts")))
-    x = running_before(x, ["uid"], "_bkt", order, (F.col("label") == 1), "_c")
+    x = running_before(x, ["uid"], "_bkt", order, (F.col("label") == 1), "_c", bucket_stats=True)
     title = F.col("title") if with_titles else F.lit(None).cast("string")
     # three consumers below (bucket starts, positives, own rows): cut once
     x = cut_lineage(x.withColumn("_t", title))
@@ -45,7 +45,10 @@ def rolling_history(df: DataFrame, max_len: int = 15, bucket_unit: str = "day",
     need = (b.where(F.col("_c0") > 0)
               .select("uid", "_bkt", F.explode(F.sequence(F.greatest(F.col("_c0") - max_len, F.lit(0)),
                                                           F.col("_c0") - 1)).alias("_c")))
-    pos = x.where(F.col("label") == 1).select("uid", "_c", "iid", "_t")
+    # a later bucket can only need the last max_len positives of an earlier
+    # bucket, so at most max_len positives per bucket enter the shuffle
+    pos = (x.where((F.col("label") == 1) & (F.col("_c") >= F.col("_boff") + F.col("_bsum") - max_len))
+             .select("uid", "_c", "iid", "_t"))
     carry = need.join(pos, ["uid", "_c"]).select(
         "uid", "_bkt", "_c", "iid", "_t", F.lit(1).alias("label"), F.lit(True).alias("_carry"))
 
@@ -60,4 +63,4 @@ def rolling_history(df: DataFrame, max_len: int = 15, bucket_unit: str = "day",
     if with_titles:
         ht = F.transform("_h", lambda s: F.coalesce(s["_t"], F.lit("")))
         out = out.withColumn("his_title", F.when(pad, F.concat(F.array(F.lit("")), ht)).otherwise(ht))
-    return out.withColumnRenamed("_c", "n_pos_before").drop("_bkt", "_t", "_h", "_carry")
+    return out.withColumnRenamed("_c", "n_pos_before").drop("_bkt", "_t", "_h", "_carry", "_boff", "_bsum")

@@ -21,10 +21,11 @@ from ..session import cut_lineage
 
 
 def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, value,
-                   out: str, total: str | None = None) -> DataFrame:
+                   out: str, total: str | None = None, bucket_stats: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` that come
     strictly before the row in the order (bucket, *order). Optionally also
-    ``total`` = the sum over all rows of the key."""
+    ``total`` = the sum over all rows of the key, and (``bucket_stats``)
+    ``_boff`` / ``_bsum`` = the sum before the row's bucket / inside it."""
     v = value if not isinstance(value, str) else F.col(value)
     x = df.withColumn("_v", v.cast("long"))
     keys = list(keys)
@@ -32,7 +33,7 @@ def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, val
     wk = (Window.partitionBy(*keys) if keys else Window).orderBy(bucket)
     per_b = per_b.withColumn(
         "_boff", F.coalesce(F.sum("_bsum").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cols = [*keys, bucket, "_boff"]
+    cols = [*keys, bucket, "_boff"] + (["_bsum"] if bucket_stats else [])
     if total:
         per_b = per_b.withColumn(total, F.sum("_bsum").over(Window.partitionBy(*keys)))
         cols.append(total)
@@ -40,7 +41,7 @@ def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, val
     wl = Window.partitionBy(*keys, bucket).orderBy(*order)
     x = x.withColumn(out, F.col("_boff") + F.coalesce(
         F.sum("_v").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return x.drop("_v", "_boff")
+    return x.drop("_v") if bucket_stats else x.drop("_v", "_boff")
 
 
 def global_positions(df: DataFrame, order: list[str], out: str, start: int = 1,
