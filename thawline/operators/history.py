@@ -11,8 +11,9 @@ on c, at most ``max_len`` entries, never a whole per-user list.
 
 Skew: the counter and the frame are computed per (uid, time bucket). The
 positives a bucket needs from earlier buckets ("carry", at most max_len per
-bucket) are fetched by an equi-join on (uid, c), so a hot user is spread over
-as many tasks as it has buckets.
+bucket) are fetched by an equi-join on (uid, c); only the last max_len
+positives of each bucket take part in it. A hot user is spread over as many
+tasks as it has buckets.
 """
 
 from __future__ import annotations
