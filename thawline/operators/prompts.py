@@ -78,15 +78,28 @@ def id_sample(df: DataFrame) -> DataFrame:
     return df.select("uid", "iid", F.trim(F.col("title")).alias("title_text"), "label")
 
 
-def render_prompt(sample: DataFrame, template: str = DEFAULT_TEMPLATE, placeholder: str = PLACEHOLDER) -> DataFrame:
+def choose_template(templates: list[str], mode: str = "generate", seed: int = 0,
+                    key: str = "row_id") -> Column:
+    """T-7: the first template when generating; when training, a template
+    drawn per row from md5(seed:key) (the deterministic stand-in for a
+    random choice per batch)."""
+    if mode == "generate" or len(templates) == 1:
+        return F.lit(templates[0])
+    from ..functions.exprs import hash_unit
+    idx = F.least(F.floor(hash_unit(seed, key) * len(templates)), F.lit(len(templates) - 1)).cast("int")
+    return F.element_at(F.array(*[F.lit(t) for t in templates]), idx + 1)
+
+
+def render_prompt(sample: DataFrame, template=DEFAULT_TEMPLATE, placeholder: str = PLACEHOLDER) -> DataFrame:
     """T-6: '<s>' + template; <uid>/<iid>/<DCNFeature> -> placeholder;
     <his> -> placeholder x InteractedNum joined by ', '; <his_title> and
-    <title> filled. Chained native ``replace``; no Python per row."""
-    base = "<s>" + template
+    <title> filled. Chained native ``replace``; no Python per row.
+    ``template`` is a string or a Column (e.g. ``choose_template``)."""
+    base = F.concat(F.lit("<s>"), template if isinstance(template, Column) else F.lit(template))
     for tag in ("<uid>", "<iid>", "<DCNFeature>"):
-        base = base.replace(tag, placeholder)
+        base = F.replace(base, F.lit(tag), F.lit(placeholder))
     his = F.array_join(F.array_repeat(F.lit(placeholder), F.col("interacted_num").cast("int")), ", ")
-    p = F.replace(F.lit(base), F.lit("<his>"), his)
+    p = F.replace(base, F.lit("<his>"), his)
     p = F.replace(p, F.lit("<his_title>"), F.col("his_title_text"))
     p = F.replace(p, F.lit("<title>"), F.col("title_text"))
     return sample.withColumn("prompt", p)
