@@ -1,4 +1,4 @@
-"""Shared pieces of the document operators: inputs, stored tables, spans."""
+"""Shared pieces of the document operators: inputs and stored tables."""
 
 from __future__ import annotations
 
@@ -52,27 +52,3 @@ def squeezed(text: Column) -> Column:
     replacement.
     """
     return F.regexp_replace(text, r"[\t-\r][ \t-\r]*| [ \t-\r]+", " ")
-
-
-def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches.
-
-    Native: matches are fenced by U+E000, the text is split at the fences
-    and the odd pieces are the matches; offsets are running lengths in code
-    points, end exclusive. A U+E000 of the text itself is first replaced by
-    U+E001, which no pattern here matches and which is as long.
-    """
-    fence = ""
-    clean = F.translate(text, fence, "")
-    parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{fence}$1{fence}"), fence)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"),
-                    F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value")))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"),
-                        F.when(acc["hit"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(none)

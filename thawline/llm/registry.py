@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, token_counts, topk
+from . import exact_dedup, packing, pii, quality, secrets, simhash, token_counts, topk
 from .common import documents, shared_path
 
 
@@ -27,12 +27,29 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.report(docs, pii.fit(docs))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.quality_scores(docs, rules)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new ledger for each call: every blob is unseen."""
+    return secrets.report(secrets.secret_scan(documents(spark, sf_dir), shared_path(spark, "ledger")))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_topk_search, op8_simhash_dedup)}
+    op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_topk_search, op5_pii, op6_quality_classifier,
+    op7_secret_scan, op8_simhash_dedup)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
