@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
+from . import byte_bpe, exact_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
 from .common import documents, shared_path
 
 
@@ -47,13 +47,18 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(documents(spark, sf_dir))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.report(byte_bpe.encode(documents(spark, sf_dir), ranks))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("removed")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_topk_search, op5_pii, op6_quality_classifier,
-    op7_secret_scan, op8_simhash_dedup, op10_suffix_dedup)}
+    op7_secret_scan, op8_simhash_dedup, op9_byte_bpe, op10_suffix_dedup)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
