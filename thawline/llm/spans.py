@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FENCE, STAND_IN = "", ""
+FENCE, STAND_IN = chr(0xE000), chr(0xE001)
 SPAN = "struct<start:int,end:int,value:string>"
 
 
