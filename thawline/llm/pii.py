@@ -142,11 +142,9 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str = "text", precision: float = PRECISION) -> Model:
     """Trees and calibrated thresholds from the candidates of all documents."""
-    text = text_of(text_col)
-    found = candidates(docs.select(F.col(text_col)), [], text)
-    held = F.pmod(F.xxhash64(F.size("__base"), F.size("__more"), "c.start", "c.end", "c.length", "c.digits"), F.lit(5)) == 0
-    rows = found.select("__base", "__more", F.explode("__more").alias("c"))
-    counted = stored(rows.groupBy(held.alias("held"), "c.kind", "c.positive", *[f"c.{f}" for f in FEATURES])
+    texts = docs.select(text_of(text_col).alias("text")).withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
+    rows = candidates(texts, ["held"], F.col("text")).select("held", F.explode("__more").alias("c"))
+    counted = stored(rows.groupBy("held", "c.kind", "c.positive", *[f"c.{f}" for f in FEATURES])
                      .agg(F.count("*").alias("weight")), "candidate-counts")
     labels = {r["positive"] for r in counted.filter("not held").select("positive").distinct().collect()}
     if labels != {True, False}:
