@@ -18,7 +18,9 @@ from thawline.llm.common import documents, stored  # noqa: E402
 @pytest.fixture(scope="module")
 def stages(spark):
     """The documents before each stage and the result."""
-    docs = [documents(spark, SF01).withColumn("__text", F.lit("extra")).withColumn("row", F.lit(1))]
+    table = documents(spark, SF01)
+    near = table.filter("n_chars > 12000").withColumn("doc_id", F.col("doc_id") + 10 ** 6).withColumn("text", F.concat("text", F.lit(" changed")))
+    docs = [table.unionByName(near).withColumn("__text", F.lit("extra")).withColumn("row", F.lit(1))]
     for name, stage in corpus_pipeline.STAGES:
         docs.append(stored(stage(spark, docs[-1], SF01), name.replace(" ", "")))
     return docs
