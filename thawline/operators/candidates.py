@@ -2,10 +2,13 @@
 
 Sampling "n users per item without replacement" is expressed without a
 cross join: warm users are numbered 0..U-1 in md5(seed:uid) order; item i
-gets slots j = 0..n-1 and the user numbered (offset_i + j) mod U, an
-equi-join on the number. n distinct users per item whenever n <= U.
-Shared-sample variants use offset 0 for every item. Output size is
-items x n, which is the feature; nothing else grows with a product.
+walks its own permutation of 0..p-1, slot j -> (a_i * j + b_i) mod p with p the
+smallest prime from U on and a_i, b_i drawn from md5, skips the numbers from U
+on (fewer than p - U of them), and takes the users numbered by its first n, an
+equi-join on the number. Two items share about n * n / U users, as independent
+samples do. Shared-sample variants take the numbers 0..n-1 for every item.
+Fewer than n warm users raise. Output size is items x n, which is the
+feature; nothing else grows with a product.
 """
 
 from __future__ import annotations
@@ -39,9 +42,16 @@ def _users_in(df: DataFrame, valid: DataFrame | None, mode: str | None) -> DataF
     return df.join(v, "uid", "left_semi" if mode == "in" else "left_anti")
 
 
+def next_prime(n: int) -> int:
+    """The smallest prime >= n (and >= 2)."""
+    c = max(2, n)
+    while any(c % d == 0 for d in range(2, int(c ** 0.5) + 1)):
+        c += 1
+    return c
+
+
 def generate(train: DataFrame, test: DataFrame, n: int = 80, seed: int = 2000,
-             version: str = "v0", valid: DataFrame | None = None, min_rows: int = 10,
-             cap: bool = False) -> DataFrame:
+             version: str = "v0", valid: DataFrame | None = None, min_rows: int = 10) -> DataFrame:
     """Synthetic rows: every template column kept, iid/title overwritten.
 
     v0 fresh sample per item (all warm users); v1 one shared sample, users
@@ -54,24 +64,31 @@ def generate(train: DataFrame, test: DataFrame, n: int = 80, seed: int = 2000,
     ranked = global_positions(users.withColumn("_h", hash_order_key(seed, F.lit(version), "uid")),
                               ["_h", "uid"], "_r", start=0).drop("_h")
     u_count = ranked.count()
-    if u_count < n and not cap:
+    if u_count < n:
         raise ValueError(f"cannot sample {n} of {u_count} warm users without replacement")
-    k = min(n, u_count)
     items = global_positions(target_items(test), ["iid"], "_ipos", start=0)
+    p = next_prime(u_count) if fresh else n
     if fresh:
-        off = F.floor(hash_unit(seed, F.lit(version), "iid") * F.lit(u_count)).cast("long")
+        a = F.lit(1) + F.floor(hash_unit(seed, F.lit(version), F.lit("a"), "iid") * F.lit(p - 1)).cast("long")
+        b = F.floor(hash_unit(seed, F.lit(version), F.lit("b"), "iid") * F.lit(p)).cast("long")
+        a, b = a % p, b % p
+        a = F.when(a == 0, F.lit(1)).otherwise(a)
     else:
-        off = F.lit(0).cast("long")
-    slots = items.select("iid", "title", "_ipos", off.alias("_off"),
-                         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
-    slots = slots.select("iid", "title", "_ipos", ((F.col("_off") + F.col("_j")) % F.lit(u_count)).alias("_r"))
-    # row_id = dense rank of (iid, uid): every item has exactly k users, so it
-    # is item position * k + the user's rank inside the item (a window over a
-    # group of exactly k rows; no global sort). Numbered on narrow rows first,
+        a, b = F.lit(1).cast("long"), F.lit(0).cast("long")
+    extra = p - u_count if fresh else 0
+    slots = items.select("iid", "title", "_ipos", a.alias("_a"), b.alias("_b"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1 + extra).cast("long"))).alias("_j"))
+    slots = slots.select("iid", "title", "_ipos", "_j", ((F.col("_a") * F.col("_j") + F.col("_b")) % F.lit(p)).alias("_r")).where(F.col("_r") < u_count)
+    # the first n numbers of an item's walk (a window over at most n + p - U rows)
+    walk = Window.partitionBy("iid").orderBy("_j")
+    slots = slots.withColumn("_k", F.row_number().over(walk)).where(F.col("_k") <= n).drop("_j", "_k")
+    # row_id = dense rank of (iid, uid): every item has exactly n users, so it
+    # is item position * n + the user's rank inside the item (a window over a
+    # group of exactly n rows; no global sort). Numbered on narrow rows first,
     # the wide template columns (histories) are attached afterwards.
     narrow = slots.join(ranked.select("_r", "uid"), "_r")
     w = Window.partitionBy("iid").orderBy("uid")
-    narrow = narrow.withColumn("row_id", F.col("_ipos") * k + F.row_number().over(w)).drop("_ipos")
+    narrow = narrow.withColumn("row_id", F.col("_ipos") * n + F.row_number().over(w)).drop("_ipos")
     tmpl = ranked.drop("iid", "title", "uid")
     return narrow.join(tmpl, "_r").drop("_r")
 

@@ -9,11 +9,12 @@ Plan: c = number of positives strictly before the row. Positive number j
 with counter c is the positives with c in [c-max_len, c-1] — a RANGE frame
 on c, at most ``max_len`` entries, never a whole per-user list.
 
-Skew: the counter and the frame are computed per (uid, time bucket). The
-positives a bucket needs from earlier buckets ("carry", at most max_len per
-bucket) are fetched by an equi-join on (uid, c); only the last max_len
-positives of each bucket take part in it. A hot user is spread over as many
-tasks as it has buckets.
+Skew: the counter and the frame are computed per (uid, range partition of
+(uid, ts, ...)). The positives a range needs from earlier ranges ("carry", at
+most max_len per range) are fetched by an equi-join on (uid, c); only the last
+max_len positives of each user and range take part in it. A hot user is
+spread over as many tasks as its share of the rows. Rows with a null ts come
+last in their user's order.
 """
 
 from __future__ import annotations
@@ -22,40 +23,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordering import running_before
+from .ordering import RANGE, running_before
 
 ORDER = ["ts", "iid", "rating"]  # total order per user after the distinct
 
 
-def rolling_history(df: DataFrame, max_len: int = 15, bucket_unit: str = "day",
+def rolling_history(df: DataFrame, max_len: int = 15,
                     order: list[str] | None = None, with_titles: bool = True) -> DataFrame:
     """Add ``his`` (array<long>), ``his_title`` (array<string>) and ``n_pos_before``.
 
-    ``df`` needs uid, iid, label, ts (+ rating / title). ``bucket_unit`` is a
-    ``date_trunc`` unit splitting each user's timeline.
+    ``df`` needs uid, iid, label, ts (+ rating / title).
     """
     order = order or ORDER
-    x = df.withColumn("_bkt", F.date_trunc(bucket_unit, F.col("ts")))
-    x = running_before(x, ["uid"], "_bkt", order, (F.col("label") == 1), "_c", bucket_stats=True)
+    x = running_before(df, ["uid"], order, (F.col("label") == 1), "_c", range_stats=True)
     title = F.col("title") if with_titles else F.lit(None).cast("string")
-    # three consumers below (bucket starts, positives, own rows): cut once
+    # three consumers below (range starts, positives, own rows): cut once
     x = cut_lineage(x.withColumn("_t", title))
 
-    # carry: for each (uid, bucket) the last max_len positives before the bucket
-    b = x.groupBy("uid", "_bkt").agg(F.min("_c").alias("_c0"))
+    # carry: for each (uid, range) the last max_len positives before the range
+    b = x.groupBy("uid", RANGE).agg(F.min("_c").alias("_c0"))
     need = (b.where(F.col("_c0") > 0)
-              .select("uid", "_bkt", F.explode(F.sequence(F.greatest(F.col("_c0") - max_len, F.lit(0)),
+              .select("uid", RANGE, F.explode(F.sequence(F.greatest(F.col("_c0") - max_len, F.lit(0)),
                                                           F.col("_c0") - 1)).alias("_c")))
-    # a later bucket can only need the last max_len positives of an earlier
-    # bucket, so at most max_len positives per bucket enter the shuffle
+    # a later range can only need the last max_len positives of an earlier
+    # one, so at most max_len positives per user and range enter the shuffle
     pos = (x.where((F.col("label") == 1) & (F.col("_c") >= F.col("_boff") + F.col("_bsum") - max_len))
              .select("uid", "_c", "iid", "_t"))
     carry = need.join(pos, ["uid", "_c"]).select(
-        "uid", "_bkt", "_c", "iid", "_t", F.lit(1).alias("label"), F.lit(True).alias("_carry"))
+        "uid", RANGE, "_c", "iid", "_t", F.lit(1).alias("label"), F.lit(True).alias("_carry"))
 
     own = x.withColumn("_carry", F.lit(False))
     u = own.unionByName(carry, allowMissingColumns=True)
-    w = Window.partitionBy("uid", "_bkt").orderBy("_c").rangeBetween(-max_len, -1)
+    w = Window.partitionBy("uid", RANGE).orderBy("_c").rangeBetween(-max_len, -1)
     hist = F.collect_list(F.when(F.col("label") == 1, F.struct(F.col("iid"), F.col("_t")))).over(w)
     u = u.withColumn("_h", hist).where(~F.col("_carry"))
     pad = F.col("_c") <= max_len - 1
@@ -64,4 +63,4 @@ def rolling_history(df: DataFrame, max_len: int = 15, bucket_unit: str = "day",
     if with_titles:
         ht = F.transform("_h", lambda s: F.coalesce(s["_t"], F.lit("")))
         out = out.withColumn("his_title", F.when(pad, F.concat(F.array(F.lit("")), ht)).otherwise(ht))
-    return out.withColumnRenamed("_c", "n_pos_before").drop("_bkt", "_t", "_h", "_carry", "_boff", "_bsum")
+    return out.withColumnRenamed("_c", "n_pos_before").drop(RANGE, "_t", "_h", "_carry", "_boff", "_bsum")

@@ -1,6 +1,6 @@
 """E1-E8 evaluation metrics and W10-W12 metric-log operators.
 
-Ranks come from pre-aggregated score counts and bucketed prefix sums
+Ranks come from pre-aggregated score counts and prefix sums over range partitions
 (``ordering``), never from a single-task global window over rows.
 """
 
@@ -15,26 +15,25 @@ from .ordering import running_before
 EPS = 1e-15  # fixed value: probability clipping of the log loss
 
 
-def _score_counts(df: DataFrame, keys: list[str], score: str, label: str, scale: float) -> DataFrame:
+def _score_counts(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Per (keys, score): positives, negatives, negatives strictly below."""
     c = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("_p"),
                                      F.sum((1 - F.col(label)).cast("long")).alias("_n"))
-    c = c.withColumn("_vb", F.floor(F.col(score) * F.lit(scale)))
-    return running_before(c, keys, "_vb", [score], "_n", "_nb").drop("_vb")
+    return running_before(c, keys, [score], "_n", "_nb")
 
 
-def auc(df: DataFrame, keys: list[str] | None = None, score: str = "score", label: str = "label",
-        scale: float = 1000.0) -> DataFrame:
+def auc(df: DataFrame, keys: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
     """ROC AUC with ties counted 1/2 (Mann-Whitney), per ``keys``:
     sum over scores of pos_s * (neg_below_s + neg_s / 2) / (P * N).
-    Null when a group has one class."""
+    Null when a group has one class, or a row without a score (null or NaN)."""
     keys = keys or []
-    c = _score_counts(df, keys, score, label, scale)
+    c = _score_counts(df, keys, score, label)
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     g = c.groupBy(*keys).agg(
         F.sum(F.col("_p") * (F.col("_nb") + F.col("_n") / 2.0)).alias("_num"),
-        F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+        F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.min(known).alias("_known"))
     return g.select(*keys, "n_pos", "n_neg",
-                    F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
+                    F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & F.col("_known"),
                            F.col("_num") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
@@ -122,10 +121,11 @@ def early_stop(log: DataFrame, metric: str = "valid_auc", patience: int = 20, lo
     w = Window.partitionBy(run).orderBy(epoch)
     x = log.withColumn("_prev_best", F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.withColumn("_impr", F.col("_prev_best").isNull() | (F.col(metric) > F.col("_prev_best")))
-    x = x.withColumn("_last_impr", F.max(F.when(F.col("_impr"), F.col(epoch))).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("_best", F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("_cnt", F.col(epoch) - F.col("_last_impr"))
+    # epochs count as rows of the log, so a gap in their numbers is no stale epoch
+    x = x.withColumn("_at", F.row_number().over(w))
+    x = x.withColumn("_last_at", F.max(F.when(F.col("_impr"), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_cnt", F.col("_at") - F.col("_last_at"))
     # first time the counter reaches the base patience; if the best is low
     # then, the stop moves to the first epoch whose counter reaches patience+extra
     first = x.where(F.col("_cnt") >= patience).groupBy(run).agg(

@@ -2,10 +2,12 @@
 
 A per-key window (``partitionBy(key).orderBy(...)``) sends every row of a
 key to one task; a key with a third of all rows then serialises the job.
-The helpers here split each key's timeline into buckets (a truncated time or
-any monotone coarse key), aggregate per (key, bucket) with map-side combine,
-take prefix sums over the small bucket table, and finish with a window over
-(key, bucket) only. The result equals the plain per-key window.
+The helpers here range-partition the rows by (key, order), so a hot key
+spans as many partitions as its share of the rows, aggregate per (key, range
+partition) with map-side combine, take prefix sums over that small table (at
+most one row per key and partition), and finish with a window over (key,
+range partition) only. The result equals the plain per-key window, whatever
+the values look like; nulls order last and null keys are a key.
 
 ``global_positions`` numbers rows in a total order without a single-partition
 window: range partitioning, a per-partition counter, and offsets from a
@@ -20,28 +22,47 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def running_before(df: DataFrame, keys: list[str], bucket: str, order: list, value,
-                   out: str, total: str | None = None, bucket_stats: bool = False) -> DataFrame:
+RANGE = "_range"
+
+
+def ordered(order: list) -> list:
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+
+
+def by_range(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` as a stored table with ``_range``, the number of its range
+    partition by (keys, order): ascending in the order within a key. Stored,
+    because ranges come from a sample and must not be drawn twice."""
+    return cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *ordered(order))
+                       .withColumn(RANGE, F.spark_partition_id()))
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[str], value,
+                   out: str, total: str | None = None, range_stats: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` that come
-    strictly before the row in the order (bucket, *order). Optionally also
-    ``total`` = the sum over all rows of the key, and (``bucket_stats``)
-    ``_boff`` / ``_bsum`` = the sum before the row's bucket / inside it."""
+    strictly before the row in ``order``. Optionally also ``total`` = the sum
+    over all rows of the key, and (``range_stats``) ``_boff`` / ``_bsum`` =
+    the sum before the row's range partition / inside it, with ``_range``."""
     v = value if not isinstance(value, str) else F.col(value)
-    x = df.withColumn("_v", v.cast("long"))
+    x = by_range(df.withColumn("_v", v.cast("long")), keys, order)
     keys = list(keys)
-    per_b = x.groupBy(*keys, bucket).agg(F.sum("_v").alias("_bsum"))
-    wk = (Window.partitionBy(*keys) if keys else Window).orderBy(bucket)
-    per_b = per_b.withColumn(
+    per_r = x.groupBy(*keys, RANGE).agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("_bsum"))
+    # at most one row per key and partition
+    wk = (Window.partitionBy(*keys) if keys else Window).orderBy(RANGE)
+    per_r = per_r.withColumn(
         "_boff", F.coalesce(F.sum("_bsum").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cols = [*keys, bucket, "_boff"] + (["_bsum"] if bucket_stats else [])
     if total:
-        per_b = per_b.withColumn(total, F.sum("_bsum").over(Window.partitionBy(*keys)))
-        cols.append(total)
-    x = x.join(per_b.select(*cols), on=[*keys, bucket])
-    wl = Window.partitionBy(*keys, bucket).orderBy(*order)
+        per_r = per_r.withColumn(total, F.sum("_bsum").over(Window.partitionBy(*keys)))
+    side = per_r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(RANGE).alias("_kr"),
+                        "_boff", "_bsum", *([total] if total else []))
+    same = F.col(RANGE) == F.col("_kr")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    x = x.join(side, same).drop("_kr", *[f"_k{i}" for i in range(len(keys))])
+    wl = Window.partitionBy(*keys, RANGE).orderBy(*ordered(order))
     x = x.withColumn(out, F.col("_boff") + F.coalesce(
         F.sum("_v").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return x.drop("_v") if bucket_stats else x.drop("_v", "_boff")
+    return x.drop("_v") if range_stats else x.drop("_v", "_boff", "_bsum", RANGE)
 
 
 def global_positions(df: DataFrame, order: list[str], out: str, start: int = 1,
@@ -71,43 +92,34 @@ def global_positions(df: DataFrame, order: list[str], out: str, start: int = 1,
     return r.withColumn(out, F.col("_off") + F.col("_local") + F.lit(start)).drop("_pid", "_local", "_off")
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str,
-                 bucket_scale: float = 1000.0) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Ascending average rank of ``value`` within ``keys`` (ties share the
     mean of their positions), without a per-key window: value counts are
-    pre-aggregated, then counted below each value with the two-level prefix
-    sum over monotone value buckets."""
-    vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    vc = vc.withColumn("_vb", F.floor(F.col(value) * F.lit(bucket_scale)))
-    vc = running_before(vc, keys, "_vb", [value], "_cnt", "_less")
+    pre-aggregated, then counted below each value by range partitions. A null
+    value has a null rank."""
+    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    vc = running_before(vc, [*keys], [value], "_cnt", "_less")
     vc = vc.select(*keys, value, (F.col("_less") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(vc, [*keys, value], "left")
 
 
 def position_quantile(df: DataFrame, value: str, q: float) -> float | None:
-    """Exact quantile with linear interpolation (pandas default), from
-    range-partitioned positions; only the two neighbouring values reach the
-    driver."""
-    x = df.select(value).where(F.col(value).isNotNull())
-    n = x.count()
-    if n == 0:
+    """Exact quantile with linear interpolation (pandas default). Positions
+    are those of the distinct values, so a value that most rows share is one
+    row; only the two neighbouring values reach the driver."""
+    vc = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    vc = running_before(vc, [], [value], "_cnt", "_less", total="_n")
+    h = F.lit(q) * (F.col("_n") - 1)
+    lo, hi = F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1)
+    holds = lambda k: (F.col("_less") <= k) & (k < F.col("_less") + F.col("_cnt"))
+    ends = vc.agg(F.max(F.when(holds(lo), F.col(value))).alias("lo"), F.max(F.when(holds(hi), F.col(value))).alias("hi"),
+                  F.max(h - lo).alias("part")).first()
+    if ends["lo"] is None:
         return None
-    h = q * (n - 1)
-    lo = int(h)
-    hi = min(lo + 1, n - 1)
-    pos = global_positions(x, [value], "_p", start=0)
-    vals = {r["_p"]: r[value] for r in pos.where(F.col("_p").isin(lo, hi)).collect()}
-    return float(vals[lo] + (h - lo) * (vals[hi] - vals[lo]))
-
-
-# Above this many rows a top-x is taken by range-partitioned positions; at or
-# below it by Spark's TakeOrderedAndProject (each task keeps at most x rows,
-# the final merge sees at most x per partition) - a proven bound either way.
-TOP_LIMIT_MAX = 200_000
+    return float(ends["lo"] + ends["part"] * (ends["hi"] - ends["lo"]))
 
 
 def top_rows(df: DataFrame, order: list[str], x: int) -> DataFrame:
-    """The first ``x`` rows of ``df`` in ``order`` (a total order), exact."""
-    if x <= TOP_LIMIT_MAX:
-        return df.orderBy(*order).limit(x)
+    """The first ``x`` rows of ``df`` in ``order`` (a total order), exact, by
+    range positions: no task sees more than its range."""
     return global_positions(df, order, "_top_pos").where(F.col("_top_pos") <= x).drop("_top_pos")

@@ -9,15 +9,14 @@ from ..functions.exprs import hash_order_key, hash_unit
 from .ordering import global_positions, running_before
 
 
-def half_split(df: DataFrame, bucket_unit: str = "day", order: list[str] | None = None) -> DataFrame:
+def half_split(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Per item in time order, the first floor(n/2) rows -> 'valid', the
     rest -> 'test' (a single row goes to test). Position and item count come
-    from the skew-proof two-level counter, not a per-item window."""
+    from the range-partitioned counter, not a per-item window."""
     order = order or ["ts", "uid", "rating"]
-    x = df.withColumn("_bkt", F.date_trunc(bucket_unit, F.col("ts")))
-    x = running_before(x, ["iid"], "_bkt", order, F.lit(1), "_pos", total="_n")
+    x = running_before(df, ["iid"], order, F.lit(1), "_pos", total="_n")
     part = F.when(F.col("_pos") < F.floor(F.col("_n") / 2), F.lit("valid")).otherwise(F.lit("test"))
-    return x.withColumn("part", part).drop("_bkt", "_pos", "_n")
+    return x.withColumn("part", part).drop("_pos", "_n")
 
 
 def sample_items(df: DataFrame, p: float, seed: int = 2024, key: str = "iid") -> DataFrame:
@@ -33,3 +32,10 @@ def sample_items(df: DataFrame, p: float, seed: int = 2024, key: str = "iid") ->
 def sample_rows(df: DataFrame, frac: float, seed: int, *key_cols: str) -> DataFrame:
     """Seeded row sampling by a hash threshold (expected fraction)."""
     return df.where(hash_unit(seed, *key_cols) < frac)
+
+
+def sample_exact(df: DataFrame, n: int, seed: int, *key_cols: str) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), first in md5(seed:keys) order;
+    rows with equal keys are told apart by their range position."""
+    h = df.withColumn("_h", hash_order_key(seed, *key_cols))
+    return global_positions(h, ["_h", *key_cols], "_r").where(F.col("_r") <= n).drop("_h", "_r")

@@ -42,12 +42,8 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE o_orderdate >= {_publish(ORDERS, 'l_partkey')}"""
 
 
-def profile(name: str, sf_small: bool = False) -> Profile:
-    from dataclasses import replace
-    p = EVENTS if name == "events" else ORDERS
-    if name == "events" and sf_small:
-        p = replace(p, user_min=3, item_min=3)
-    return p
+def profile(name: str) -> Profile:
+    return EVENTS if name == "events" else ORDERS
 
 
 def items_sql(name: str) -> str:
@@ -65,9 +61,9 @@ items_{name} AS (SELECT i.*, t.title_idx FROM items0_{name} i JOIN
     FROM (SELECT DISTINCT title FROM items0_{name})) t USING (title))"""
 
 
-def cohort_ctes(name: str, sf_small: bool = False, fake_cold: str | None = None) -> str:
+def cohort_ctes(name: str, fake_cold: str | None = None) -> str:
     """... -> cohort_<name>(uid, iid, rating, ts, title, title_idx, publish_time, env)."""
-    p = profile(name, sf_small)
+    p = profile(name)
     pub = "min(publish_time)" if p.publish_rule == "min" else "max(publish_time)"
     ev_end = f" AND ts <= TIMESTAMP '{p.eval_end}'" if p.eval_end else ""
     joined = f"""joined_{name} AS (SELECT x.uid, x.iid, x.rating, x.ts, i.title, i.title_idx, i.publish_time
@@ -96,9 +92,9 @@ env_{name} AS (SELECT * FROM (SELECT j.*, CASE
     return f"{joined},\n{step1},\n{step2}"
 
 
-def samples_ctes(name: str, sf_small: bool = False, max_len: int = 15) -> str:
+def samples_ctes(name: str, max_len: int = 15) -> str:
     """... -> samples_<name>(uid, iid, rating, ts, title, env, label, c, his, his_title)."""
-    return f"""{cohort_ctes(name, sf_small)},
+    return f"""{cohort_ctes(name)},
 ids_i_{name} AS (SELECT iid, CAST(dense_rank() OVER (ORDER BY iid) AS BIGINT) AS niid FROM (SELECT DISTINCT iid FROM cohort_{name})),
 ids_u_{name} AS (SELECT uid, CAST(dense_rank() OVER (ORDER BY uid) AS BIGINT) AS nuid FROM (SELECT DISTINCT uid FROM cohort_{name})),
 re_{name} AS (SELECT DISTINCT u.nuid AS uid, i.niid AS iid, c.rating, c.ts, c.title, c.env,
@@ -172,13 +168,23 @@ def candidates_ctes(name: str, version: str = "v0", n: int = 80, seed: int = 200
     mode = {"v0": None, "v1": "out", "v2": "in", "v3": "out", "v4": "in"}[version]
     fresh = version in ("v0", "v3", "v4")
     items_src = items_from or part_sql(name, "test")
-    off = (f"CAST(floor({hash_unit(str(seed), repr(version), 'iid')} * (SELECT count(*) FROM rk_{out})) AS BIGINT)"
-           if fresh else "CAST(0 AS BIGINT)")
+    # fresh samples: a walk (a*j + b) mod p per item, p the smallest prime >= U
+    draw = lambda letter, size: f"CAST(floor({hash_unit(str(seed), repr(version), repr(letter), 'iid')} * ({size})) AS BIGINT)"
+    if fresh:
+        walk = f"""nu_{out} AS (SELECT count(*) AS u FROM rk_{out}),
+pc_{out} AS (SELECT unnest(range(greatest(u, 2), u + 400)) AS c FROM nu_{out}),
+pr_{out} AS (SELECT min(c) AS p FROM pc_{out} WHERE c NOT IN (
+   SELECT c FROM pc_{out}, (SELECT unnest(range(2, 3000)) AS d) WHERE d * d <= c AND c % d = 0)),
+ab_{out} AS (SELECT iid, title, p, u, greatest(1, (1 + {draw('a', 'p - 1')}) % p) AS a, {draw('b', 'p')} % p AS b
+   FROM it_{out}, pr_{out}, nu_{out}),
+wk_{out} AS (SELECT iid, title, j, (a * j + b) % p AS r, u FROM (SELECT *, unnest(range(0, {n} + p - u)) AS j FROM ab_{out})),
+sl_{out} AS (SELECT iid, title, r FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY j) AS k FROM wk_{out} WHERE r < u) WHERE k <= {n}),"""
+    else:
+        walk = f"sl_{out} AS (SELECT iid, title, j AS r FROM it_{out}, range(0, {n}) t(j)),"
     return f"""tm_{out} AS {templates_sql(name, mode)},
 rk_{out} AS (SELECT *, row_number() OVER (ORDER BY {hash_key(str(seed), repr(version), 'uid')}, uid) - 1 AS r FROM tm_{out}),
 it_{out} AS (SELECT iid, min(title) AS title FROM {items_src} GROUP BY iid),
-sl_{out} AS (SELECT iid, title, ({off} + j) % (SELECT count(*) FROM rk_{out}) AS r
-   FROM it_{out}, range(0, LEAST({n}, (SELECT count(*) FROM rk_{out}))) t(j)),
+{walk}
 g_{out} AS (SELECT s.iid, s.title, t.* EXCLUDE (iid, title, r) FROM sl_{out} s JOIN rk_{out} t USING (r)),
 {out} AS (SELECT *, row_number() OVER (ORDER BY iid, uid) AS row_id FROM g_{out})"""
 

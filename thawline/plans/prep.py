@@ -25,7 +25,6 @@ class PrepOptions:
     fake_cold_ratio: float | None = None    # W4 fake-cold hold-out (env 2)
     seed: int = 2024
     max_len: int = 15
-    bucket_unit: str = "day"
 
 
 def labelled(inter: DataFrame) -> DataFrame:
@@ -37,14 +36,14 @@ def labelled(inter: DataFrame) -> DataFrame:
 def history_slice(spark: SparkSession, data_dir: str, name: str = "events", max_len: int = 15) -> DataFrame:
     """Minimum slice: adapter -> label -> distinct -> W1 (no cohort rules)."""
     inter = adapters.interactions(spark, data_dir, name)
-    items = adapters.items_for(inter, adapters.profile_for(name, data_dir)).select("iid", "title")
+    items = adapters.items_for(inter, adapters.PROFILES[name]).select("iid", "title")
     x = cut_lineage(labelled(inter).join(items, "iid", "left"))
     return history.rolling_history(x, max_len=max_len)
 
 
 def cohort_rows(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = PrepOptions()) -> DataFrame:
     """Rows with env after the cold rule and the activity filters (raw ids)."""
-    p = adapters.profile_for(name, data_dir)
+    p = adapters.PROFILES[name]
     # materialisation points: the adapter output feeds items, title ids, the
     # cold rule and the env join; the env rows feed both activity filters
     inter = cut_lineage(adapters.interactions(spark, data_dir, name))
@@ -67,7 +66,7 @@ def samples(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = P
     if opts.reencode:
         data = ids.reencode(ids.reencode(data, "iid", opts.id_start), "uid", opts.id_start)
     data = data.withColumn("label", label_from_rating("rating")).distinct()
-    return history.rolling_history(data, max_len=opts.max_len, bucket_unit=opts.bucket_unit)
+    return history.rolling_history(data, max_len=opts.max_len)
 
 
 def split_samples(s: DataFrame, opts: PrepOptions = PrepOptions()) -> DataFrame:
@@ -79,7 +78,7 @@ def split_samples(s: DataFrame, opts: PrepOptions = PrepOptions()) -> DataFrame:
     if opts.warm_eval_sample:
         warm = splits.sample_items(warm, opts.warm_eval_sample, opts.seed)
     mixed = warm.unionByName(s.where(F.col("env") == cohorts.ENV_COLD_TEST))
-    return train.unionByName(splits.half_split(mixed, opts.bucket_unit))
+    return train.unionByName(splits.half_split(mixed))
 
 
 def split_view(s: DataFrame, part: str, num: int) -> DataFrame:

@@ -233,7 +233,7 @@ def _cands(spark, sf_dir, name, version, n=80, items_part=("test", 0)):
         train = shared.part(spark, sf_dir, name, "train")
         items = shared.part(spark, sf_dir, name, *items_part)
         valid = shared.part(spark, sf_dir, name, "valid")
-        return G.generate(train, items, n=n, seed=2000, version=version, valid=valid, cap=True)
+        return G.generate(train, items, n=n, seed=2000, version=version, valid=valid)
     return shared.memo(spark, ("cands", sf_dir, name, version, n, items_part), build)
 
 

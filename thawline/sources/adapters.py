@@ -13,7 +13,7 @@ dates and thresholds the preparation pipeline uses for that shape.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +39,13 @@ class Profile:
 
 # Fixed values of the adapters (FIXTURES.md section 3): dates, steps, thresholds.
 EVENTS = Profile("events", "2024-01-01", 7, 30, "2024-01-19", "2024-01-03",
-                 "2024-01-19", None, "min", 10, 10, "items_users")
+                 "2024-01-19", None, "min", 3, 3, "items_users")
 ORDERS = Profile("orders", "1995-01-01", 37, 2400, "2000-07-01", "1996-01-01",
                  "2000-08-01", None, "any", 5, 3, "users_items")
 
 PROFILES = {"events": EVENTS, "orders": ORDERS}
 
 
-def profile_for(name: str, data_dir: str) -> Profile:
-    """Profile with thresholds scaled down for the tiniest fixture scale."""
-    p = PROFILES[name]
-    if name == "events" and data_dir.rstrip("/").endswith("sf0.001"):
-        p = replace(p, user_min=3, item_min=3)
-    return p
-
-
 def _publish_expr(iid: Column, p: Profile) -> Column:
     days = (((iid / 2).cast("bigint") * p.publish_step) % p.publish_mod).cast("int")
     return F.date_add(F.lit(dt.date.fromisoformat(p.base_date)), days)
@@ -105,5 +97,5 @@ def interactions(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def adapter(spark: SparkSession, data_dir: str, name: str):
     """(interactions, items, profile) for one adapter."""
     inter = interactions(spark, data_dir, name)
-    p = profile_for(name, data_dir)
+    p = PROFILES[name]
     return inter, items_for(inter, p), p
