@@ -2,10 +2,11 @@
 
 Sampling "n users per item without replacement" is expressed without a
 cross join: warm users are numbered 0..U-1 in md5(seed:uid) order; item i
-walks its own permutation of 0..p-1, slot j -> (a_i * j + b_i) mod p with p the
-smallest prime from U on and a_i, b_i drawn from md5, skips the numbers from U
-on (fewer than p - U of them), and takes the users numbered by its first n, an
-equi-join on the number. Two items share about n * n / U users, as independent
+walks its own permutation of 0..p-1, slot j -> (a_i * (j + b_i)^3 + c_i) mod p,
+with a_i, b_i, c_i drawn from md5 and p the smallest prime from U on that leaves 2
+when divided by 3 (cubes are then a permutation), skips the numbers from U on
+(p - U of them at most), and takes the users numbered by its first n, an equi-join
+on the number. Two items share about n * n / U users, as independent
 samples do. Shared-sample variants take the numbers 0..n-1 for every item.
 Fewer than n warm users raise. Output size is items x n, which is the
 feature; nothing else grows with a product.
@@ -42,11 +43,13 @@ def _users_in(df: DataFrame, valid: DataFrame | None, mode: str | None) -> DataF
     return df.join(v, "uid", "left_semi" if mode == "in" else "left_anti")
 
 
-def next_prime(n: int) -> int:
-    """The smallest prime >= n (and >= 2)."""
+def cubing_prime(n: int) -> int:
+    """The smallest prime >= n whose remainder by 3 is 2; products of two numbers below it fit 64 bits."""
     c = max(2, n)
-    while any(c % d == 0 for d in range(2, int(c ** 0.5) + 1)):
+    while c % 3 != 2 or any(c % d == 0 for d in range(2, int(c ** 0.5) + 1)):
         c += 1
+    if c >= 1 << 31:
+        raise ValueError("more warm users than the walk's arithmetic holds")
     return c
 
 
@@ -67,18 +70,17 @@ def generate(train: DataFrame, test: DataFrame, n: int = 80, seed: int = 2000,
     if u_count < n:
         raise ValueError(f"cannot sample {n} of {u_count} warm users without replacement")
     items = global_positions(target_items(test), ["iid"], "_ipos", start=0)
-    p = next_prime(u_count) if fresh else n
     if fresh:
-        a = F.lit(1) + F.floor(hash_unit(seed, F.lit(version), F.lit("a"), "iid") * F.lit(p - 1)).cast("long")
-        b = F.floor(hash_unit(seed, F.lit(version), F.lit("b"), "iid") * F.lit(p)).cast("long")
-        a, b = a % p, b % p
-        a = F.when(a == 0, F.lit(1)).otherwise(a)
+        p = cubing_prime(u_count)
+        draw = lambda letter: F.floor(hash_unit(seed, F.lit(version), F.lit(letter), "iid") * F.lit(p)).cast("long") % p
+        y = (F.col("_j") + F.col("_b")) % p
+        number = (F.greatest(F.col("_a"), F.lit(1)) * ((y * y % p) * y % p) + F.col("_c")) % p
+        drawn = [draw("a").alias("_a"), draw("b").alias("_b"), draw("c").alias("_c")]
     else:
-        a, b = F.lit(1).cast("long"), F.lit(0).cast("long")
-    extra = p - u_count if fresh else 0
-    slots = items.select("iid", "title", "_ipos", a.alias("_a"), b.alias("_b"),
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1 + extra).cast("long"))).alias("_j"))
-    slots = slots.select("iid", "title", "_ipos", "_j", ((F.col("_a") * F.col("_j") + F.col("_b")) % F.lit(p)).alias("_r")).where(F.col("_r") < u_count)
+        p, number, drawn = u_count, F.col("_j"), []
+    slots = items.select("iid", "title", "_ipos", *drawn,
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1 + p - u_count).cast("long"))).alias("_j"))
+    slots = slots.select("iid", "title", "_ipos", "_j", number.alias("_r")).where(F.col("_r") < u_count)
     # the first n numbers of an item's walk (a window over at most n + p - U rows)
     walk = Window.partitionBy("iid").orderBy("_j")
     slots = slots.withColumn("_k", F.row_number().over(walk)).where(F.col("_k") <= n).drop("_j", "_k")

@@ -168,16 +168,16 @@ def candidates_ctes(name: str, version: str = "v0", n: int = 80, seed: int = 200
     mode = {"v0": None, "v1": "out", "v2": "in", "v3": "out", "v4": "in"}[version]
     fresh = version in ("v0", "v3", "v4")
     items_src = items_from or part_sql(name, "test")
-    # fresh samples: a walk (a*j + b) mod p per item, p the smallest prime >= U
-    draw = lambda letter, size: f"CAST(floor({hash_unit(str(seed), repr(version), repr(letter), 'iid')} * ({size})) AS BIGINT)"
+    # fresh samples: a walk a * (j + b)^3 + c modulo the smallest prime >= U that leaves 2 by 3
+    draw = lambda letter: f"CAST(floor({hash_unit(str(seed), repr(version), repr(letter), 'iid')} * p) AS BIGINT) % p"
     if fresh:
         walk = f"""nu_{out} AS (SELECT count(*) AS u FROM rk_{out}),
-pc_{out} AS (SELECT unnest(range(greatest(u, 2), u + 400)) AS c FROM nu_{out}),
-pr_{out} AS (SELECT min(c) AS p FROM pc_{out} WHERE c NOT IN (
+pc_{out} AS (SELECT unnest(range(greatest(u, 2), u + 800)) AS c FROM nu_{out}),
+pr_{out} AS (SELECT min(c) AS p FROM pc_{out} WHERE c % 3 = 2 AND c NOT IN (
    SELECT c FROM pc_{out}, (SELECT unnest(range(2, 3000)) AS d) WHERE d * d <= c AND c % d = 0)),
-ab_{out} AS (SELECT iid, title, p, u, greatest(1, (1 + {draw('a', 'p - 1')}) % p) AS a, {draw('b', 'p')} % p AS b
-   FROM it_{out}, pr_{out}, nu_{out}),
-wk_{out} AS (SELECT iid, title, j, (a * j + b) % p AS r, u FROM (SELECT *, unnest(range(0, {n} + p - u)) AS j FROM ab_{out})),
+ab_{out} AS (SELECT iid, title, p, u, greatest(1, {draw('a')}) AS a, {draw('b')} AS b, {draw('c')} AS c FROM it_{out}, pr_{out}, nu_{out}),
+wj_{out} AS (SELECT *, (j + b) % p AS y FROM (SELECT *, unnest(range(0, {n} + p - u)) AS j FROM ab_{out})),
+wk_{out} AS (SELECT iid, title, j, u, (a * ((y * y % p) * y % p) + c) % p AS r FROM wj_{out}),
 sl_{out} AS (SELECT iid, title, r FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY j) AS k FROM wk_{out} WHERE r < u) WHERE k <= {n}),"""
     else:
         walk = f"sl_{out} AS (SELECT iid, title, j AS r FROM it_{out}, range(0, {n}) t(j)),"
