@@ -12,18 +12,15 @@ times; here only suffixes that can have a partner are sorted:
 2. Anchors with a hash that occurs once leave. A context that occurs twice
    under the same anchor is repeated as a whole; its rows need no text.
 3. What is left are contexts that occur once beside others with the same
-   anchor: the ends of repeated regions. One row per distinct context fetches its
-   bytes. In blocks of anchors a task merge-sorts the suffixes that start
-   at the anchors; runs of the sorted order with a common prefix of 200 are
-   the anchors' groups, range minima of the neighbours' common extensions
-   give every pair's extension to the right, hashes the one to the left.
-   Where both together reach 400, the bytes from the left end to the right
-   end are repeated.
-4. Groups over ``PAIRS`` contexts classify the windows instead: for
-   each distance from the anchor, suffix ranks with enough common prefix and the
-   hash of the left part name the window's class. Groups over ``GROUP``
-   contexts never meet in a task: their windows are counted by a partial
-   aggregate over a digest of their bytes.
+   anchor: the ends of repeated regions. One row per distinct context fetches
+   its bytes, and blocks of anchors go to tasks. A task merge-sorts the
+   suffixes that start at its anchors by hash comparisons; the common
+   extensions of neighbours in the sorted order tell, for each distance of a
+   window from its anchor, which suffixes share the part from the anchor, and
+   hashes which share the part before it. The farthest repeated windows to
+   either side bound the bytes that repeat around the anchor.
+4. Anchors with over ``GROUP`` such contexts never meet in a task: their
+   windows are counted by a partial aggregate over a digest of their bytes.
 
 Equal contexts are recognised by two independent 64-bit hashes together
 (the anchor's and the context's); everything decided in step 3 is verified
@@ -48,13 +45,12 @@ from .common import stored, text_of
 from .suffix_sort import Hashes, sorted_suffixes
 
 SPAN = 400
-PAIRS = 96
 GROUP = 20_000
 BLOCK_ROWS = 12_000
 #: Bytes hashed at once in a task; longer texts go piece by piece.
 CHUNK = 1 << 20
-#: Rows of a side that may be broadcast (about 40 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Anchor hashes that may be broadcast (eight bytes each); beyond it their join shuffles.
+BROADCAST_ROWS = 3_000_000
 ANCHORS = "doc_id long, digest long, pos int, lf int, rt int, h long, c long"
 
 
@@ -154,10 +150,7 @@ def anchors(rows: DataFrame, span: int = SPAN, chunk: int = CHUNK) -> DataFrame:
     return rows.withColumn("body", F.col("body").cast("binary")).mapInArrow(_find(span, chunk), ANCHORS)
 
 
-def _ends(span: int, pairs: int):
-    gram = span // 2
-    out_type = ["doc_id", "digest", "from", "to"]
-
+def _ends(span: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # rows that repeat an id and a text bring the same bytes again
         rows = rows.drop_duplicates(["known", "doc_id", "digest", "pos"]).reset_index(drop=True)
@@ -168,85 +161,51 @@ def _ends(span: int, pairs: int):
         lf, rt = rows["lf"].to_numpy().astype(np.int64), rows["rt"].to_numpy().astype(np.int64)
         at = start + lf
         order, lcp = sorted_suffixes(hashes, at, rt)
-        cuts = np.append(np.flatnonzero(lcp < gram), len(order))
-        left, right = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
-        many = rows["n"].to_numpy() > 1
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            members = order[i:j]
-            if j - i < 2 or many[members].all():
-                continue
-            (_by_pairs if j - i <= pairs else _by_windows)(hashes, at, lf, members, lcp[i:j], span, left, right)
-        found = (left + right >= span) & ~many
-        _verify(bodies, rows, order, lcp, found, left, right, span)
+        left, right, left_of, right_of = _windows(hashes, at, lf, order, lcp, span)
+        found = (right > 0) & (rows["n"].to_numpy() == 1)
+        for k in np.flatnonzero(found).tolist():
+            for o, other in ((left[k], left_of[k]), (span - right[k], right_of[k])):
+                mine, its = lf[k] - o, lf[other] - o
+                if bodies[k][mine:mine + span] != bodies[other][its:its + span]:
+                    _slowly(bodies, lf, rows["h"].to_numpy(), k, left, right, found, span)
+                    break
         pos = rows["pos"].to_numpy().astype(np.int64)
         out = rows.loc[found, ["doc_id", "digest"]].copy()
         out["doc_id"] = out["doc_id"].astype("Int64").where(rows.loc[found, "known"])
         out["from"], out["to"] = (pos - left)[found], (pos + right)[found]
-        return out[out_type]
+        return out[["doc_id", "digest", "from", "to"]]
     return run
 
 
-def _by_pairs(hashes, at, lf, members, lcp, span, left, right) -> None:
-    m = len(members)
-    i, j = np.triu_indices(m, 1)
-    # extension to the right of a pair: the least of the neighbours' between them
-    reach = np.empty((m, m), dtype=np.int64)
-    for d in range(m - 1):
-        reach[d, d + 1:] = np.minimum.accumulate(lcp[d + 1:])
-    r = reach[i, j]
-    a, b = members[i], members[j]
-    most = np.minimum(lf[a], lf[b])
-    near = r + most >= span
-    a, b, r, most = a[near], b[near], r[near], most[near]
-    l = hashes.common_left(at[a], at[b], most)  # noqa: E741
-    good = l + r >= span
-    for x in (a[good], b[good]):
-        np.maximum.at(left, x, l[good])
-        np.maximum.at(right, x, r[good])
-
-
-def _by_windows(hashes, at, lf, members, lcp, span, left, right) -> None:
+def _windows(hashes, at, lf, order, lcp, span):
+    """Reach of each row's repeated windows to the left and right of its anchor, and a partner for both.
+
+    For each distance of a window's start from the anchor, the part from the
+    anchor is named by the suffix's class (neighbours whose common extension is
+    long enough), the part before it by its hash.
+    """
+    left, right = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+    left_of, right_of = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
     for o in range(span - span // 2 + 1):
-        rank = np.cumsum(lcp < span - o)  # class of the part from the anchor
-        able = lf[members] >= o
-        if able.sum() < 2:
+        # a suffix too short for its part shares no class: no neighbour extends that far
+        near = lcp >= span - o
+        shares = near | np.append(near[1:], False)
+        pick = np.flatnonzero(shares & (lf[order] >= o))
+        if len(pick) < 2:
             continue
-        part = hashes.of(at[members[able]] - o, o)
-        key = np.stack([rank[able].astype(np.uint64), part])
-        _, inverse, counts = np.unique(key, axis=1, return_inverse=True, return_counts=True)
-        # suffixes shorter than the window's rest stand alone in their class
-        twice = members[able][(counts > 1)[inverse.ravel()]]
-        np.maximum.at(left, twice, o)
-        np.maximum.at(right, twice, span - o)
-
-
-def _verify(bodies, rows, order, lcp, found, left, right, span) -> None:
-    """Each found stretch's windows at both ends are looked up among the group's bytes."""
-    if not found.any():
-        return
-    h, lf = rows["h"].to_numpy(), rows["lf"].to_numpy()
-    seen: dict = {}
-    ends = {}
-    for k in np.flatnonzero(found).tolist():
-        first, last = lf[k] - left[k], lf[k] + right[k] - span
-        ends[k] = (bodies[k][first:first + span], bodies[k][last:last + span], int(left[k]), int(span - right[k]))
-        for text, o in ((ends[k][0], ends[k][2]), (ends[k][1], ends[k][3])):
-            seen[h[k], o, text] = 0
-    offsets: dict = {}
-    for key, o, _ in seen:
-        offsets.setdefault(key, set()).add(o)
-    for k in range(len(rows)):
-        for o in offsets.get(h[k], ()):
-            if lf[k] >= o:
-                key = (h[k], o, bodies[k][lf[k] - o:lf[k] - o + span])
-                if key in seen:
-                    seen[key] += 1
-    for k, (a, b, o1, o2) in ends.items():
-        if seen[h[k], o1, a] < 2 or seen[h[k], o2, b] < 2:
-            _slowly(bodies, h, lf, k, left, right, found, span)
-
-
-def _slowly(bodies, h, lf, k, left, right, found, span) -> None:
+        rank, rows = np.cumsum(~near)[pick], order[pick]
+        key = hashes.of(at[rows] - o, o) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64)
+        place = np.argsort(key, kind="stable")
+        key, rows = key[place], rows[place]
+        twin = np.flatnonzero(key[1:] == key[:-1])
+        for x, y in ((rows[twin], rows[twin + 1]), (rows[twin + 1], rows[twin])):
+            left[x], left_of[x] = o, y  # distances ascend: the last is the farthest
+            new = right[x] == 0
+            right[x[new]], right_of[x[new]] = span - o, y[new]
+    return left, right, left_of, right_of
+
+
+def _slowly(bodies, lf, h, k, left, right, found, span) -> None:
     """Two hashes met by accident: this row again, from the bytes."""
     left[k] = right[k] = 0
     mine = bodies[k]
@@ -258,42 +217,38 @@ def _slowly(bodies, h, lf, k, left, right, found, span) -> None:
         l = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: E741
         if l + r >= span:
             left[k], right[k] = max(left[k], l), max(right[k], r)
-    found[k] = left[k] + right[k] >= span
+    found[k] = right[k] > 0
 
 
 def _same(a: str, b: str) -> Column:
     return F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.digest = {b}.digest")
 
 
-def _bounded(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
-def repeated_intervals(rows: DataFrame, span: int = SPAN, pairs: int = PAIRS, group: int = GROUP, chunk: int = CHUNK,
+def repeated_intervals(rows: DataFrame, span: int = SPAN, group: int = GROUP, chunk: int = CHUNK,
                        block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, digest, from, to): byte intervals of (doc_id, digest, body) whose union is what repeats."""
     found = stored(anchors(rows, span, chunk), "anchors")
     twice = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-twice")
-    held = stored(found.join(_bounded(twice, twice.count(), 8 * broadcast_rows), "h", "left_semi"), "anchors-held")
+    held = stored(found.join(F.broadcast(twice) if twice.count() <= broadcast_rows else twice, "h", "left_semi"), "anchors-held")
     one = F.min(F.struct("doc_id", "digest", "pos", "lf", "rt"))
     kinds = stored(held.groupBy("h", "c").agg(F.count("*").alias("n"), one.alias("one")), "contexts")
     whole = kinds.filter(F.expr(f"n > 1 and one.lf + one.rt >= {span}")).select("h", "c")
-    done = held.join(_bounded(whole, whole.count(), broadcast_rows), ["h", "c"], "left_semi").select(
+    done = held.join(whole, ["h", "c"], "left_semi").select(
         "doc_id", "digest", (F.col("pos") - F.col("lf")).cast("long").alias("from"), (F.col("pos") + F.col("rt")).cast("long").alias("to"))
     mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("h", "kinds"), "mixed")
-    open_ = stored(kinds.join(_bounded(mixed, mixed.count(), broadcast_rows), "h").select("h", "c", "n", "kinds", "one.*"), "open")
+    open_ = stored(kinds.join(mixed, "h").select("h", "c", "n", "kinds", "one.*"), "open")
     open_count = open_.count()
     wanted = open_.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("h", "n", "kinds", "pos", "lf", "rt")).alias("places"))
     cut = F.transform("places", lambda p: F.struct(p["h"].alias("h"), p["n"].alias("n"), p["kinds"].alias("kinds"), p["pos"].alias("pos"), p["lf"].alias("lf"),
                                                    p["rt"].alias("rt"), F.substring(F.col("bytes"), p["pos"] - p["lf"] + 1, p["lf"] + p["rt"]).alias("body")))
     texts = (rows.select("doc_id", "digest", F.col("body").cast("binary").alias("bytes")).alias("r")
-             .join(_bounded(wanted, open_count, broadcast_rows).alias("w"), _same("r", "w")))
+             .join(wanted.alias("w"), _same("r", "w")))
     fetched = stored(texts.select("r.doc_id", "r.digest", F.explode(cut).alias("p")).select(
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "digest", "p.*"), "context-bytes")
     few = fetched.filter(F.col("kinds") <= group)
     blocks = max(1, -(-open_count // block_rows))
     ends = (few.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"))
-            .applyInPandas(_ends(span, pairs), "doc_id long, digest long, `from` long, `to` long"))
+            .applyInPandas(_ends(span), "doc_id long, digest long, `from` long, `to` long"))
     crowd = fetched.filter(F.col("kinds") > group)
     reach = F.sequence(F.greatest(F.lit(0), F.lit(span) - F.col("rt")), F.col("lf"))
     windows = (crowd.filter(F.col("lf") + F.col("rt") >= span).select("*", F.explode(reach).alias("o"))
@@ -326,7 +281,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = stored(found.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("all"))
                   .select("doc_id", "digest", _merged(F.col("all")).alias("runs")), "runs")
     joined = (rows.select("doc_id", "digest", F.col("body").cast("binary").alias("bytes")).alias("r")
-              .join(_bounded(runs, runs.count(), limits.get("broadcast_rows", BROADCAST_ROWS)).alias("s"), _same("r", "s"), "left")
+              .join(runs.alias("s"), _same("r", "s"), "left")
               .select("r.doc_id", "r.bytes", F.coalesce("s.runs", F.array().cast("array<struct<from:bigint,to:bigint>>")).alias("runs")))
     n = F.octet_length("bytes").cast("long")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("runs", lambda r: r["to"]))

@@ -58,14 +58,12 @@ class Hashes:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def common_left(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """The same to the left of a and b (exclusive)."""
-        low, high = np.zeros(len(a), dtype=np.int64), most.astype(np.int64)
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = self.of(a - mid, mid) == self.of(b - mid, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+    def heads(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The first eight bytes of suffixes as numbers that sort like them; all suffixes have eight."""
+        out = np.zeros(len(start), dtype=np.uint64)
+        for k in range(8):
+            out = (out << np.uint64(8)) | self.data[start + k].astype(np.uint64)
+        return out
 
     def less(self, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
         """Whether suffix a (length la) sorts before b; a proper prefix sorts first."""
@@ -80,6 +78,14 @@ def merge_sort(hashes: Hashes, start: np.ndarray, length: np.ndarray) -> np.ndar
     """Stable order of the suffixes data[start:start + length]."""
     n = len(start)
     order = np.arange(n)
+    heads = hashes.heads(start, length) if n and length.min() >= 8 else np.zeros(n, dtype=np.uint64)
+
+    def before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = heads[a] < heads[b]
+        tied = np.flatnonzero(heads[a] == heads[b])
+        x, y = a[tied], b[tied]
+        out[tied] = hashes.less(start[x], length[x], start[y], length[y])
+        return out
     width = 1
     while width < n:
         run = np.arange(n) // width  # of the place
@@ -94,11 +100,11 @@ def merge_sort(hashes: Hashes, start: np.ndarray, length: np.ndarray) -> np.ndar
             mid = (low[open_] + high[open_]) >> 1
             a, b = mine[open_], order[mid]
             # elements of the left run go before equal ones of the right run
-            b_first = hashes.less(start[b], length[b], start[a], length[a])
-            a_first = hashes.less(start[a], length[a], start[b], length[b])
-            before = np.where(right[open_], ~a_first, b_first)
-            low[open_] = np.where(before, mid + 1, low[open_])
-            high[open_] = np.where(before, high[open_], mid)
+            from_right = right[open_]
+            swapped = before(np.where(from_right, a, b), np.where(from_right, b, a))
+            ahead = np.where(from_right, ~swapped, swapped)
+            low[open_] = np.where(ahead, mid + 1, low[open_])
+            high[open_] = np.where(ahead, high[open_], mid)
         place = (run & ~1) * width + (np.arange(n) - run * width) + (low - low0)
         merged = np.empty(n, dtype=order.dtype)
         merged[place] = order
