@@ -21,6 +21,30 @@ def test_tsv_null_marker(spark, tmp_path):
     assert df[1].startYear is None and df[1].runtimeMinutes is None
 
 
+def test_tsv_in_the_public_layout_is_read_by_name(spark, tmp_path):
+    p = tmp_path / "title.basics.tsv"
+    p.write_text("tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\tendYear\truntimeMinutes\tgenres\n"
+                 "tt0000001\tshort\tCarmencita\tCarmencita\t0\t1894\t\\N\t1\tDocumentary,Short\n"
+                 'tt0000002\tmovie\t"Quoted start\tit "is" so\t0\t\\N\t\\N\t\\N\tDrama\n'
+                 "tt0000003\tmovie\tnext\tnext\t0\t1999\t\\N\t90\tDrama\n")
+    rows = R.read_tsv(spark, str(p)).orderBy("tconst").collect()
+    assert [(r.tconst, r.titleType, r.startYear, r.endYear, r.runtimeMinutes, r.genres) for r in rows] == [
+        ("tt0000001", "short", "1894", None, "1", "Documentary,Short"), ("tt0000002", "movie", None, None, None, "Drama"), ("tt0000003", "movie", "1999", None, "90", "Drama")]
+    q = tmp_path / "shuffled.tsv"
+    q.write_text("genres\tx\tstartYear\ttconst\tendYear\ttitleType\truntimeMinutes\nDrama\t?\t2001\ttt1\t\\N\tmovie\t80\n")
+    r = R.read_tsv(spark, str(q)).first()
+    assert (r.tconst, r.titleType, r.startYear, r.endYear, r.runtimeMinutes, r.genres) == ("tt1", "movie", "2001", None, "80", "Drama")
+    with pytest.raises(ValueError):
+        R.read_tsv(spark, str(q), R.MOVIES)
+
+
+def test_csv_with_quotes_and_separators(spark, tmp_path):
+    p = tmp_path / "movies.csv"
+    p.write_text('movieId,title,genres\n1,"Great ""Cats"", The (1998)",Musical\n2,Plain (2000),Drama\n3,"A, B",\n')
+    rows = R.read_csv(spark, str(p), R.MOVIES).orderBy("movieId").collect()
+    assert [tuple(r) for r in rows] == [(1, 'Great "Cats", The (1998)', "Musical"), (2, "Plain (2000)", "Drama"), (3, "A, B", None)]
+
+
 def test_epoch_conversions(spark):
     df = spark.createDataFrame([(1700000000, 1700000000123)], "s long, ms long")
     r = df.select(R.epoch_seconds_to_ts("s").alias("a"), R.epoch_millis_to_ts("ms").alias("b")).first()

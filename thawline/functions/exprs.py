@@ -57,6 +57,21 @@ def two_class_prob(pos, neg) -> Column:
     return sigmoid(col(pos) - col(neg))
 
 
+def vocabulary_prob(logits, pos: int, neg: int) -> Column:
+    """P10 with the vocabulary option: the two answers' probabilities after a
+    softmax over all ``logits`` (an array) go through the two-class form."""
+    x = col(logits)
+    top = F.array_max(x)
+    total = F.aggregate(F.transform(x, lambda v: F.exp(v - top)), F.lit(0.0), lambda acc, v: acc + v)
+    share = lambda k: F.exp(F.element_at(x, k + 1) - top) / total
+    return sigmoid(share(pos) - share(neg))
+
+
+def raw_logit(logits, pos: int) -> Column:
+    """P10, second mode: the positive answer's logit as it is."""
+    return F.element_at(col(logits), pos + 1)
+
+
 def bce_with_logits(logit, label) -> Column:
     """max(s,0) - s*y + log1p(exp(-|s|)) (M6)."""
     s, y = col(logit), col(label).cast("double")

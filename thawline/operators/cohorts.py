@@ -57,6 +57,20 @@ def assign_env(data: DataFrame, cold: DataFrame, p: Profile) -> DataFrame:
     return flagged.withColumn("env", env).where(F.col("env").isNotNull()).drop("_cold")
 
 
+def assign_env_by_month(data: DataFrame, cold: DataFrame, start: str, end: str, months: int = 12) -> DataFrame:
+    """The month-window split: rows of the closed range [start, end]; the last
+    ``months`` calendar months that occur are the test window. Cold titles: 3 in
+    the window, gone before it; the others: 1 in the window, 0 before it."""
+    from .calibrate import one_row_join
+    x = data.where((F.col("ts") >= _ts(start)) & (F.col("ts") <= _ts(end)))
+    x = x.withColumn("_m", F.month("ts") + 12 * F.year("ts"))
+    x = one_row_join(x, x.agg(F.max("_m").alias("_last")))
+    x = x.join(cold.withColumn("_cold", F.lit(True)), "title_idx", "left")
+    is_cold, in_test = F.coalesce(F.col("_cold"), F.lit(False)), F.col("_m") > F.col("_last") - months
+    env = (F.when(is_cold & in_test, ENV_COLD_TEST).when(~is_cold & in_test, ENV_WARM_TEST).when(~is_cold, ENV_TRAIN))
+    return x.withColumn("env", env).where(F.col("env").isNotNull()).drop("_cold", "_m", "_last")
+
+
 def fake_cold_items(data: DataFrame, ratio: float, seed: int = 2024) -> DataFrame:
     """W4 + D6: warm items held out as "fake cold": items seen only in the
     evaluation range, united with a seeded ``floor(ratio * n)`` sample of all

@@ -50,18 +50,18 @@ def spmm(edges: DataFrame, vecs: DataFrame, dim: int) -> DataFrame:
 
 
 def propagate(edges: DataFrame, emb: DataFrame, layers: int, dim: int) -> DataFrame:
-    """M2: mean of E_0, A E_0, ..., A^L E_0 (nodes without edges keep E_0/(L+1))."""
-    terms = [emb]
+    """M2: mean of E_0, A E_0, ..., A^L E_0 (nodes without edges keep E_0/(L+1)).
+
+    Horner's form E_0 + A (E_0 + A (...)): one product and one aggregate per
+    layer, the sum with E_0 inside the aggregate."""
     cur = emb
     for _ in range(layers):
-        cur = spmm(edges, cur, dim)
-        terms.append(cur)
-    u = terms[0]
-    for t in terms[1:]:
-        u = u.unionByName(t)
-    g = u.groupBy("node").agg(*vec_sum("vec", dim))
+        moved = edges.join(cur.withColumnRenamed("node", "src"), "src").select(
+            F.col("dst").alias("node"), F.transform("vec", lambda v: v * F.col("w")).alias("vec"))
+        g = emb.select("node", "vec").unionByName(moved).groupBy("node").agg(*vec_sum("vec", dim))
+        cur = g.select("node", F.array(*[F.col(f"_s{k}") for k in range(dim)]).alias("vec"))
     inv = 1.0 / (layers + 1)
-    return g.select("node", F.array(*[F.col(f"_s{k}") * inv for k in range(dim)]).alias("vec"))
+    return cur.select("node", F.transform("vec", lambda v: v * inv).alias("vec"))
 
 
 def hashed_embeddings(nodes: DataFrame, dim: int, seed: int = 11, scale: float = 0.1) -> DataFrame:
@@ -94,6 +94,12 @@ def score_pairs(pairs: DataFrame, z: DataFrame, with_sigmoid: bool = False) -> D
     return g.drop("zu", "zi")
 
 
+def what_if_scores(edges: DataFrame, emb: DataFrame, pairs: DataFrame, layers: int, dim: int) -> DataFrame:
+    """M4: sigmoid scores of ``pairs`` when the graph were ``edges``
+    (``adjacency`` of other interactions), embeddings unchanged."""
+    return score_pairs(pairs, propagate(edges, emb, layers, dim), with_sigmoid=True)
+
+
 def bce_loss(scored: DataFrame, reduction: str = "mean") -> DataFrame:
     """M6: BCE with logits over a scored pair table."""
     agg = F.avg if reduction == "mean" else F.sum

@@ -78,6 +78,17 @@ def id_sample(df: DataFrame) -> DataFrame:
     return df.select("uid", "iid", F.trim(F.col("title")).alias("title_text"), "label")
 
 
+def influence_sample(df: DataFrame, max_length: int | None = None) -> DataFrame:
+    """T-10 (influence form): both answers of a pair (labels 1 and 0) with
+    their influences and the pair's weight; with histories when ``max_length``
+    is given, else ids and the stripped title."""
+    own = [F.lit(1).alias("label"), F.lit(1).alias("pos_label"), F.lit(0).alias("neg_label"), "pos_if", "neg_if", "dpo_weight"]
+    if max_length is None:
+        return df.select("uid", "iid", F.trim(F.col("title")).alias("title_text"), *own)
+    base = llm_sample(df.withColumn("label", F.lit(1)), max_length, keep=("pos_if", "neg_if", "dpo_weight"))
+    return base.select(*[c for c in base.columns if c not in ("label", "pos_if", "neg_if", "dpo_weight")], *own)
+
+
 def choose_template(templates: list[str], mode: str = "generate", seed: int = 0,
                     key: str = "row_id") -> Column:
     """T-7: the first template when generating; when training, a template

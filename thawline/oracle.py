@@ -61,20 +61,25 @@ items_{name} AS (SELECT i.*, t.title_idx FROM items0_{name} i JOIN
     FROM (SELECT DISTINCT title FROM items0_{name})) t USING (title))"""
 
 
-def cohort_ctes(name: str, fake_cold: str | None = None) -> str:
+def cohort_ctes(name: str, fake_cold: str | None = None, env: str | None = None, eval_end: str | None = None,
+                item_filter: str | None = None) -> str:
     """... -> cohort_<name>(uid, iid, rating, ts, title, title_idx, publish_time, env)."""
     p = profile(name)
     pub = "min(publish_time)" if p.publish_rule == "min" else "max(publish_time)"
-    ev_end = f" AND ts <= TIMESTAMP '{p.eval_end}'" if p.eval_end else ""
-    joined = f"""joined_{name} AS (SELECT x.uid, x.iid, x.rating, x.ts, i.title, i.title_idx, i.publish_time
-   FROM inter_{name} x LEFT JOIN items_{name} i USING (iid)),
-cold_{name} AS (SELECT title_idx FROM joined_{name} WHERE title_idx IS NOT NULL GROUP BY title_idx
-   HAVING CAST({pub} AS TIMESTAMP) >= TIMESTAMP '{p.cold_cutoff}' AND min(ts) >= TIMESTAMP '{p.cold_cutoff}'),
-env_{name} AS (SELECT * FROM (SELECT j.*, CASE
+    end = eval_end or p.eval_end
+    ev_end = f" AND ts <= TIMESTAMP '{end}'" if end else ""
+    # items without metadata: their rows are incomplete and go
+    join = f"JOIN (SELECT * FROM items_{name} WHERE {item_filter}) i USING (iid)" if item_filter else f"LEFT JOIN items_{name} i USING (iid)"
+    default_env = f"""env_{name} AS (SELECT * FROM (SELECT j.*, CASE
      WHEN c.title_idx IS NOT NULL AND ts >= TIMESTAMP '{p.eval_start}'{ev_end} THEN 3
      WHEN c.title_idx IS NULL AND ts >= TIMESTAMP '{p.train_start}' AND ts < TIMESTAMP '{p.eval_start}' THEN 0
      WHEN c.title_idx IS NULL AND ts >= TIMESTAMP '{p.eval_start}'{ev_end} THEN 1 END AS env
    FROM joined_{name} j LEFT JOIN cold_{name} c USING (title_idx)) WHERE env IS NOT NULL)"""
+    joined = f"""joined_{name} AS (SELECT x.uid, x.iid, x.rating, x.ts, i.title, i.title_idx, i.publish_time
+   FROM inter_{name} x {join}),
+cold_{name} AS (SELECT title_idx FROM joined_{name} WHERE title_idx IS NOT NULL GROUP BY title_idx
+   HAVING CAST({pub} AS TIMESTAMP) >= TIMESTAMP '{p.cold_cutoff}' AND min(ts) >= TIMESTAMP '{p.cold_cutoff}'),
+{env or default_env}"""
     src = f"env_{name}"
     if fake_cold:
         joined += "," + fake_cold
@@ -92,9 +97,29 @@ env_{name} AS (SELECT * FROM (SELECT j.*, CASE
     return f"{joined},\n{step1},\n{step2}"
 
 
-def samples_ctes(name: str, max_len: int = 15) -> str:
+def fake_cold_ctes(name: str, ratio: float = 0.2, seed: int = 2024) -> str:
+    """W4 + D6: env_<name> -> fake_<name>."""
+    return f"""wst_{name} AS (SELECT iid, max(CASE WHEN env = 0 THEN 1 ELSE 0 END) AS has_train FROM env_{name}
+   WHERE env IN (0, 1) GROUP BY iid),
+wrk_{name} AS (SELECT iid, row_number() OVER (ORDER BY {hash_key(str(seed), 'iid')}, iid) AS r FROM wst_{name}),
+fk_{name} AS (SELECT iid FROM wst_{name} WHERE has_train = 0
+   UNION SELECT iid FROM wrk_{name} WHERE r <= (SELECT CAST(floor(count(*) * {ratio}) AS BIGINT) FROM wst_{name})),
+fake_{name} AS (SELECT * EXCLUDE (env, fk), CASE WHEN fk AND env = 1 THEN 2 ELSE env END AS env FROM
+   (SELECT e.*, e.iid IN (SELECT iid FROM fk_{name}) AS fk FROM env_{name} e) WHERE NOT (fk AND env = 0))"""
+
+
+def month_env(name: str, start: str, end: str, months: int = 12) -> str:
+    return f"""rng_{name} AS (SELECT *, month(ts) + 12 * year(ts) AS mm FROM joined_{name}
+   WHERE ts BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end}'),
+env_{name} AS (SELECT * EXCLUDE (mm, late, cold), CASE WHEN cold AND late THEN 3 WHEN late THEN 1 ELSE 0 END AS env
+   FROM (SELECT *, mm > (SELECT max(mm) FROM rng_{name}) - {months} AS late,
+                coalesce(title_idx IN (SELECT title_idx FROM cold_{name}), false) AS cold FROM rng_{name})
+   WHERE late OR NOT cold)"""
+
+
+def samples_ctes(name: str, max_len: int = 15, cohorts: str | None = None) -> str:
     """... -> samples_<name>(uid, iid, rating, ts, title, env, label, c, his, his_title)."""
-    return f"""{cohort_ctes(name)},
+    return f"""{cohorts or cohort_ctes(name)},
 ids_i_{name} AS (SELECT iid, CAST(dense_rank() OVER (ORDER BY iid) AS BIGINT) AS niid FROM (SELECT DISTINCT iid FROM cohort_{name})),
 ids_u_{name} AS (SELECT uid, CAST(dense_rank() OVER (ORDER BY uid) AS BIGINT) AS nuid FROM (SELECT DISTINCT uid FROM cohort_{name})),
 re_{name} AS (SELECT DISTINCT u.nuid AS uid, i.niid AS iid, c.rating, c.ts, c.title, c.env,

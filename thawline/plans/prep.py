@@ -6,7 +6,7 @@ filters -> dense ids -> label + distinct -> rolling history -> splits.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,10 @@ class PrepOptions:
     id_start: int = 1
     warm_eval_sample: float | None = None   # W3 under-sampling of warm eval items
     fake_cold_ratio: float | None = None    # W4 fake-cold hold-out (env 2)
+    date_range: tuple[str, str] | None = None  # closed range of a month-window split
+    test_months: int = 12           # its test window: the last months of the range
+    eval_end: str | None = None     # closed end of the evaluation range
+    drop_incomplete: bool = False   # P6: rows with any null after the item join
     seed: int = 2024
     max_len: int = 15
 
@@ -41,18 +45,29 @@ def history_slice(spark: SparkSession, data_dir: str, name: str = "events", max_
     return history.rolling_history(x, max_len=max_len)
 
 
-def cohort_rows(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = PrepOptions()) -> DataFrame:
-    """Rows with env after the cold rule and the activity filters (raw ids)."""
+def cohort_rows(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = PrepOptions(), keep_items=None) -> DataFrame:
+    """Rows with env after the cold rule and the activity filters (raw ids).
+    ``keep_items`` is a condition on the item table (items without metadata
+    leave their rows unmatched)."""
     p = adapters.PROFILES[name]
+    if opts.eval_end:
+        p = replace(p, eval_end=opts.eval_end)
     # materialisation points: the adapter output feeds items, title ids, the
     # cold rule and the env join; the env rows feed both activity filters
     inter = cut_lineage(adapters.interactions(spark, data_dir, name))
     # the cold rule only needs a title grouping key: the title itself serves
     # (D3's dense title ids are a separate operator, ``ids.title_ids``)
     items = adapters.items_for(inter, p).withColumn("title_idx", F.col("title"))
+    if keep_items is not None:
+        items = items.where(keep_items)
     data = cohorts.join_items(inter, items)
+    if opts.drop_incomplete:
+        data = data.na.drop("any")
     cold = cohorts.cold_titles(data, p)
-    data = cut_lineage(cohorts.assign_env(data, cold, p))
+    if opts.date_range:
+        data = cut_lineage(cohorts.assign_env_by_month(data, cold, *opts.date_range, opts.test_months))
+    else:
+        data = cut_lineage(cohorts.assign_env(data, cold, p))
     if opts.fake_cold_ratio:
         data = cohorts.apply_fake_cold(data, cohorts.fake_cold_items(data, opts.fake_cold_ratio, opts.seed))
     return cohorts.activity_filter(data, p.user_min, p.item_min, p.filter_order)

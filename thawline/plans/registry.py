@@ -143,14 +143,7 @@ def q_dense_ids(spark, sf_dir):
     return ids.dense_id_map(c, "uid", "dense").select(F.col("uid").alias("raw_uid"), F.col("dense").alias("uid"))
 
 
-@register("fake_cold_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders", fake_cold=f"""
-wst_orders AS (SELECT iid, max(CASE WHEN env = 0 THEN 1 ELSE 0 END) AS has_train FROM env_orders
-   WHERE env IN (0, 1) GROUP BY iid),
-wrk_orders AS (SELECT iid, row_number() OVER (ORDER BY {O.hash_key('2024', 'iid')}, iid) AS r FROM wst_orders),
-fk_orders AS (SELECT iid FROM wst_orders WHERE has_train = 0
-   UNION SELECT iid FROM wrk_orders WHERE r <= (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) FROM wst_orders)),
-fake_orders AS (SELECT * EXCLUDE (env, fk), CASE WHEN fk AND env = 1 THEN 2 ELSE env END AS env FROM
-   (SELECT e.*, e.iid IN (SELECT iid FROM fk_orders) AS fk FROM env_orders e) WHERE NOT (fk AND env = 0))"""))
+@register("fake_cold_orders", O.with_(O.base_ctes("orders"), O.cohort_ctes("orders", fake_cold=O.fake_cold_ctes("orders")))
           + f"SELECT uid, iid, env, {O.ts_text('ts')} AS ts FROM cohort_orders")
 def q_fake_cold(spark, sf_dir):
     c = prep.cohort_rows(spark, sf_dir, "orders", prep.PrepOptions(fake_cold_ratio=0.2, seed=2024))
@@ -799,14 +792,17 @@ def _links_movies_basics(spark, sf_dir):
                      F.col("p_partkey").alias("tmdbId"))
     movies = p.select(F.col("p_partkey").alias("movieId"), F.col("p_name").alias("title"),
                       F.col("p_type").alias("genres"))
+    # the public file's nine columns, in an order of its own
     basics = p.select(imdb_key(F.col("p_partkey") * 4099 + F.col("p_size")).alias("tconst"),
                       F.col("p_type").alias("titleType"),
+                      F.concat(F.lit('"'), F.col("p_name")).alias("primaryTitle"), F.col("p_name").alias("originalTitle"),
+                      F.lit("0").alias("isAdult"),
                       F.when(F.col("p_size") % 7 == 0, F.lit("\\N"))
                        .otherwise((F.lit(1990) + F.col("p_size") % 35).cast("string")).alias("startYear"),
                       F.lit("\\N").alias("endYear"), F.col("p_size").cast("string").alias("runtimeMinutes"),
                       F.col("p_brand").alias("genres"))
     path = K.scratch_dir(spark, "basics_tsv")
-    basics.write.option("header", True).option("sep", "\t").csv(path)
+    basics.write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
     return links, movies, R.read_tsv(spark, path)
 
 
@@ -970,14 +966,18 @@ def q_monthly(spark, sf_dir):
 
 
 @register("dataset_summary_events", O.with_(O.all_ctes("events"))
-          + """SELECT part, count(*) AS n_rows, max(uid) + 1 AS n_users, max(iid) + 1 AS n_items,
-  round(count(*) / ((max(uid) + 1) * (max(iid) + 1)), 6) AS density FROM splits_events GROUP BY part""")
+          + """SELECT n_train, n_valid, n_test, n_users, n_items, round((n_train + n_valid + n_test) / (n_users * n_items), 6) AS density FROM (
+  SELECT CAST(sum(CASE WHEN part = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS n_train, CAST(sum(CASE WHEN part = 'valid' THEN 1 ELSE 0 END) AS BIGINT) AS n_valid,
+  CAST(sum(CASE WHEN part = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS n_test, max(uid) + 1 AS n_users, max(iid) + 1 AS n_items FROM splits_events)""")
 def q_summary(spark, sf_dir):
-    """Rows per split, users = 1 + max(uid), items = 1 + max(iid), density."""
-    s = shared.splits(spark, sf_dir, "events")
-    g = s.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), (F.max("uid") + 1).alias("n_users"),
-                              (F.max("iid") + 1).alias("n_items"))
-    return g.withColumn("density", r6(F.col("n_rows") / (F.col("n_users") * F.col("n_items"))))
+    """users = 1 + max(uid) and items = 1 + max(iid) over train, valid and
+    test together; density = all rows / users / items. One aggregate."""
+    rows = lambda p: F.count_if(F.col("part") == p)
+    g = shared.splits(spark, sf_dir, "events").agg(
+        rows("train").alias("n_train"), rows("valid").alias("n_valid"), rows("test").alias("n_test"),
+        (F.max("uid") + 1).alias("n_users"), (F.max("iid") + 1).alias("n_items"))
+    total = F.col("n_train") + F.col("n_valid") + F.col("n_test")
+    return g.withColumn("density", r6(total / F.col("n_users") / F.col("n_items")))
 
 
 @register("mixed_eval_orders", O.with_(O.all_ctes("orders"), f"""
@@ -1095,3 +1095,108 @@ def q_hvp(spark, sf_dir):
     m = IF.Model(adj, e0, LAYERS, DIM)
     hv = IF.hvp(m, tr.select("uid", "iid", "label"), v, 0.01, _z(spark, sf_dir))
     return hv.select("node", _vtext("vec", 12).alias("hv"))
+
+
+# ---------------------------------------------------------------- month-window cohorts, closed evaluation range, variants
+_MONTHS_RANGE = ("1996-01-01", "2001-06-30")
+
+
+@register("month_samples_orders", O.with_(O.base_ctes("orders"), O.samples_ctes("orders", cohorts=O.cohort_ctes(
+    "orders", fake_cold=O.fake_cold_ctes("orders"), env=O.month_env("orders", *_MONTHS_RANGE))))
+          + f"SELECT uid, iid, env, label, {O.ts_text('ts')} AS ts, array_to_string(his, ',') AS his FROM samples_orders WHERE env <> 2")
+def q_month_samples(spark, sf_dir):
+    """Closed date range, the last 12 months of the month index as test
+    window, fake cold items held out; their rows (env 2) stay in the histories
+    but are not exported."""
+    s = prep.samples(spark, sf_dir, "orders", prep.PrepOptions(date_range=_MONTHS_RANGE, fake_cold_ratio=0.2))
+    return s.where(F.col("env") != cohorts.ENV_FAKE_COLD).select(
+        "uid", "iid", "env", "label", ts_text("ts").alias("ts"), arr_text("his").alias("his"))
+
+
+@register("closed_cohorts_events", O.with_(O.base_ctes("events"), O.cohort_ctes("events", eval_end="2024-01-27", item_filter="iid % 11 <> 0"))
+          + f"SELECT uid, iid, env, {O.ts_text('ts')} AS ts FROM cohort_events")
+def q_closed_cohorts(spark, sf_dir):
+    """C1 with the closed end of the evaluation range (P8) and rows that any
+    missing value leaves incomplete dropped before the cold rule (P6): every
+    eleventh item has no metadata here."""
+    c = prep.cohort_rows(spark, sf_dir, "events", prep.PrepOptions(eval_end="2024-01-27", drop_incomplete=True),
+                         keep_items=F.col("iid") % 11 != 0)
+    return c.select("uid", "iid", "env", ts_text("ts").alias("ts"))
+
+
+@register("row_sample_exact_orders", O.with_(O.all_ctes("orders"))
+          + f"""SELECT uid, iid, rating FROM (SELECT *, row_number() OVER (ORDER BY {O.hash_key('2024', 'uid', 'iid', 'CAST(rating AS INTEGER)')}, uid, iid, rating) AS r,
+  count(*) OVER () AS n FROM {O.part_sql('orders', 'train')}) WHERE r <= CAST(floor(n * 0.3) AS BIGINT)""")
+def q_row_sample_exact(spark, sf_dir):
+    """Exactly floor(0.3 n) rows, first in md5 order."""
+    from ..operators.splits import sample_exact
+    tr = shared.part(spark, sf_dir, "orders", "train").withColumn("rating", F.col("rating").cast("int"))
+    return sample_exact(tr, int(tr.count() * 0.3), 2024, "uid", "iid", "rating").select("uid", "iid", F.col("rating").cast("double").alias("rating"))
+
+
+@register("accuracy_batches_orders", O.with_(O.all_ctes("orders"), _pred_sql())
+          + """SELECT round(avg(h), 6) AS acc_reported, round(avg(o), 6) AS acc FROM (
+  SELECT avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1.0 ELSE score END) = label THEN 1.0 ELSE 0.0 END) AS h,
+         avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1.0 ELSE 0.0 END) = label THEN 1.0 ELSE 0.0 END) AS o
+  FROM (SELECT *, row_number() OVER (ORDER BY split, uid, iid, score, label) AS rn FROM pred) GROUP BY (rn - 1) // 512)""")
+def q_accuracy_batches(spark, sf_dir):
+    """E5: the mean over batches of 512 rows in (split, uid, iid) order."""
+    p = global_positions(predictions(spark, sf_dir), ["split", "uid", "iid", "score", "label"], "row_id")
+    a = E.accuracy(p, batch=512)
+    return a.select(r6("acc_reported").alias("acc_reported"), r6("acc").alias("acc"))
+
+
+@register("influence_samples_orders", O.with_(O.all_ctes("orders"))
+          + f"""SELECT uid, iid, trim(title) AS title_text, 1 AS label, 1 AS pos_label, 0 AS neg_label,
+  round({O.hash_unit('61', 'uid', 'iid')}, 6) AS pos_if, round({O.hash_unit('62', 'uid', 'iid')}, 6) AS neg_if,
+  round(abs({O.hash_unit('61', 'uid', 'iid')} - {O.hash_unit('62', 'uid', 'iid')}), 6) AS dpo_weight FROM {O.part_sql('orders', 'valid')}""")
+def q_influence_samples(spark, sf_dir):
+    """T-10, third projection: pairs of answers with their influences."""
+    v = shared.part(spark, sf_dir, "orders", "valid")
+    x = v.withColumn("pos_if", hash_unit(61, "uid", "iid")).withColumn("neg_if", hash_unit(62, "uid", "iid"))
+    x = x.withColumn("dpo_weight", F.abs(F.col("pos_if") - F.col("neg_if")))
+    out = T.influence_sample(x)
+    return out.select("uid", "iid", "title_text", "label", "pos_label", "neg_label", *[r6(c).alias(c) for c in ("pos_if", "neg_if", "dpo_weight")])
+
+
+@register("vocabulary_scores_events", O.with_(O.all_ctes("events"), f"""
+lg AS (SELECT uid, iid, {', '.join(f"({O.hash_unit(str(70 + k), 'uid', 'iid')} * 6.0 - 3.0) AS l{k}" for k in range(4))} FROM {O.part_sql('events', 'valid')}),
+sm AS (SELECT *, exp(l0) + exp(l1) + exp(l2) + exp(l3) AS t FROM lg)""")
+          + f"SELECT uid, iid, round({O.sigmoid_sql('(exp(l1) / t - exp(l2) / t)')}, 6) AS prob, round(l1, 6) AS raw FROM sm")
+def q_vocabulary_scores(spark, sf_dir):
+    """P10 options: two-class form after a softmax over the vocabulary; the raw positive logit."""
+    from ..functions.exprs import raw_logit, vocabulary_prob
+    v = shared.part(spark, sf_dir, "events", "valid")
+    x = v.select("uid", "iid", F.array(*[hash_unit(70 + k, "uid", "iid") * 6.0 - 3.0 for k in range(4)]).alias("logits"))
+    return x.select("uid", "iid", r6(vocabulary_prob("logits", 1, 2)).alias("prob"), r6(raw_logit("logits", 1)).alias("raw"))
+
+
+@register("what_if_scores_events", O.with_(
+    O.all_ctes("events"), O.adjacency_ctes(f"(SELECT * FROM {O.part_sql('events', 'train')} WHERE (uid + iid) % 5 <> 0)", "adj2"),
+    _g_sql_base()[2], O.propagate_ctes("adj2", "e0", "z2", LAYERS, DIM))
+          + f"""SELECT uid, iid, round({O.sigmoid_sql('logit')}, 6) AS prob FROM (SELECT p.uid, p.iid, {O.dot_sql('u.v', 'i.v', DIM)} AS logit
+  FROM {O.part_sql('events', 'valid')} p JOIN z2 u ON u.node = p.uid * 2 JOIN z2 i ON i.node = p.iid * 2 + 1)""")
+def q_what_if(spark, sf_dir):
+    """M4: scores if a fifth of the train rows were not in the graph."""
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    other = M.adjacency(tr.where((F.col("uid") + F.col("iid")) % 5 != 0))
+    return M.what_if_scores(other, e0, va.select("uid", "iid"), LAYERS, DIM).select("uid", "iid", r6("prob").alias("prob"))
+
+
+@register("template_choice_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"))
+          + f"SELECT row_id, ['A <title>', 'B <title>', 'C <title>'][CAST(least(floor({O.hash_unit('4', 'row_id')} * 3), 2) AS INTEGER) + 1] AS template FROM cand")
+def q_templates(spark, sf_dir):
+    """T-7: a template per training row."""
+    ts = ["A <title>", "B <title>", "C <title>"]
+    return _cands(spark, sf_dir, "orders", "v0").select("row_id", T.choose_template(ts, "train", seed=4).alias("template"))
+
+
+@register("train_files_events", O.with_(O.all_ctes("events"))
+          + f"SELECT uid, iid, label FROM {O.part_sql('events', 'train')} UNION ALL SELECT uid, iid, label FROM {O.part_sql('events', 'valid', 1)}")
+def q_train_files(spark, sf_dir):
+    """Train files and the valid files of all rounds but the last."""
+    path = {}
+    for part, num in (("train", 0), ("valid", 1), ("valid", 2)):
+        df = shared.part(spark, sf_dir, "events", part, num).select("uid", "iid", "label")
+        path[part, num] = K.write_parquet(df, K.scratch_dir(spark, f"{part}{num}"), [])
+    return R.read_train_files(spark, [path["train", 0]], [path["valid", 1], path["valid", 2]])

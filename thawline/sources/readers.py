@@ -1,4 +1,9 @@
-"""Raw-file readers with declared schemas (no inference)."""
+"""Raw-file readers with declared schemas (no inference).
+
+Delimited files are read by their header: columns are found by name, in any
+order, and cast to the declared types; columns that are not declared are never
+parsed out of the scan.
+"""
 
 from __future__ import annotations
 
@@ -16,19 +21,31 @@ BASICS = T.StructType([T.StructField(c, T.StringType()) for c in
                        ("tconst", "titleType", "startYear", "endYear", "runtimeMinutes", "genres")])
 REVIEWS = T.StructType([T.StructField("rating", T.DoubleType()), T.StructField("parent_asin", T.StringType()),
                         T.StructField("user_id", T.StringType()), T.StructField("timestamp", T.LongType())])
-META = T.StructType([T.StructField("title", T.StringType()), T.StructField("parent_asin", T.StringType()),
-                     T.StructField("details", T.MapType(T.StringType(), T.StringType()))])
+# the eleven metadata columns that are kept
+META = T.StructType([T.StructField("title", T.StringType()), T.StructField("subtitle", T.StringType()),
+                     T.StructField("author", T.StringType()), T.StructField("average_rating", T.DoubleType()),
+                     T.StructField("rating_number", T.LongType()), T.StructField("features", T.ArrayType(T.StringType())),
+                     T.StructField("price", T.StringType()), T.StructField("store", T.StringType()),
+                     T.StructField("categories", T.ArrayType(T.StringType())),
+                     T.StructField("details", T.MapType(T.StringType(), T.StringType())), T.StructField("parent_asin", T.StringType())])
+
+
+def _by_name(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"the header lacks {missing}; it has {raw.columns}")
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """CSV with header, declared schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with header; quoted fields may hold separators and doubled quotes."""
+    return _by_name(spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path), schema)
 
 
 def read_tsv(spark: SparkSession, path, schema: T.StructType = BASICS) -> DataFrame:
-    """TSV with '\\N' as null."""
-    return (spark.read.schema(schema).option("header", True).option("sep", "\t")
-            .option("nullValue", "\\N").csv(path))
+    """TSV with '\\N' as null; quotes are ordinary characters."""
+    return _by_name(spark.read.option("header", True).option("sep", "\t").option("quote", "")
+                    .option("nullValue", "\\N").csv(path), schema)
 
 
 def read_jsonl(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
@@ -57,3 +74,9 @@ def ts_to_epoch_millis(c) -> F.Column:
 def read_parquet_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Several files as one table (bag union)."""
     return spark.read.parquet(*paths)
+
+
+def read_train_files(spark: SparkSession, train_paths: list[str], valid_paths: list[str]) -> DataFrame:
+    """S5 as the fits read it: every train file and the valid files of all
+    rounds but the last (``valid_paths`` in the order of the rounds)."""
+    return read_parquet_many(spark, [*train_paths, *valid_paths[:-1]])
