@@ -83,7 +83,8 @@ def gather(pairs: DataFrame, z: DataFrame) -> DataFrame:
     zu = z.select(F.col("node").alias("_un"), F.col("vec").alias("zu"))
     zi = z.select(F.col("node").alias("_in"), F.col("vec").alias("zi"))
     x = pairs.withColumn("_un", user_node("uid")).withColumn("_in", item_node("iid"))
-    return x.join(zu, "_un").join(zi, "_in").drop("_un", "_in")
+    # a pair without a vector keeps its row (null vector, null score)
+    return x.join(zu, "_un", "left").join(zi, "_in", "left").drop("_un", "_in")
 
 
 def score_pairs(pairs: DataFrame, z: DataFrame, with_sigmoid: bool = False) -> DataFrame:

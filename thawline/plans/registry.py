@@ -410,6 +410,7 @@ def q_top_disagree(spark, sf_dir):
 
 # ---------------------------------------------------------------- graph (M1-M8), influence
 from ..operators import graph as M, influence as IF  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 
 DIM, LAYERS, EMB_SEED = 4, 2, 11
 
@@ -556,9 +557,9 @@ def q_cg_influence(spark, sf_dir):
     syn = L.apply_threshold(scored(spark, sf_dir), L.calibrate(scored(spark, sf_dir), tr))
     nodes = M.graph_nodes(tr, va, syn.select("uid", "iid"))
     m = IF.Model(M.adjacency(tr), M.hashed_embeddings(nodes, DIM, EMB_SEED), 1, DIM)
-    z = m.z()
+    z = cut_lineage(m.z())
     b = IF.gradient(m, va, z)
-    res = IF.conjugate_gradient(m, tr, b, damp=0.01, max_iter=8)
+    res = IF.solve(m, tr, b, damp=0.01, z=z)
     return IF.row_influence(m, syn, res.x, z).withColumn("cg_steps", F.lit(res.steps)) \
         .withColumn("cg_status", F.lit(res.status))
 
@@ -1029,13 +1030,14 @@ from . import iterate as C  # noqa: E402
 
 @register("iterated_selection_orders")
 def q_iterated(spark, sf_dir):
-    """C5 with two rounds (round 0 keeps all; round 1 selects by influence);
-    iterative, so rows-only check."""
+    """Sixteen rounds (round 0 keeps all, each later one selects by the
+    influence under the last model), every solve to its tolerance; iterative,
+    so rows-only check."""
     tr = shared.part(spark, sf_dir, "orders", "train")
     va = shared.part(spark, sf_dir, "orders", "valid")
     evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
     syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
-    opts = C.IterOptions(rounds=2, dim=4, layers=1, epochs=2, cg_max_iter=3)
+    opts = C.IterOptions(dim=4, layers=1, epochs=2)
     return C.iterated_selection(tr, va, evals, syn, opts, K.scratch_dir(spark, "influence_rounds"))
 
 

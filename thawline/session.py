@@ -80,3 +80,15 @@ def cut_lineage(df, eager: bool = True):
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def release(df) -> None:
+    """Delete the table behind a ``cut_lineage`` result that nothing reads any
+    more (superseded states of a loop); other frames are left alone."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if folder.getParent() is not None and folder.getParent().getName() == "tables":
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
