@@ -18,12 +18,17 @@ from . import prep
 _MEMO: dict = {}
 
 
-def _key(spark: SparkSession, *parts) -> tuple:
-    return (id(spark.sparkContext._jsc), *parts)
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the tables in ``folder``: other data, other key."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
 
 
 def memo(spark: SparkSession, parts: tuple, build) -> DataFrame:
-    k = _key(spark, *parts)
+    """The stored table of ``parts`` (what, folder, ...): built once per
+    application and state of the folder."""
+    k = (spark.sparkContext.applicationId, _stamp(spark, parts[1]), *parts)
     df = _MEMO.get(k)
     if df is None:
         df = cut_lineage(build())
@@ -31,6 +36,11 @@ def memo(spark: SparkSession, parts: tuple, build) -> DataFrame:
     return df
 
 
+def forget() -> None:
+    """Drop the memo: the next query pays for its whole chain."""
+    _MEMO.clear()
+
+
 def default_options(name: str) -> prep.PrepOptions:
     """Events follow the movie-ratings plan (warm eval items under-sampled to
     10%); orders follow the book plan (no under-sampling)."""
