@@ -68,3 +68,52 @@ def test_cg_converges_on_convex_case(spark):
     ax = IF.hvp(m, tr, res.x, damp=1.0)
     diff = IF.vlin(ax, b, 1.0, -1.0, 2)
     assert IF.vdot(diff, diff) < 1e-16
+
+
+def test_neural_scores_and_propagation_at_128_dimensions(spark):
+    """The reference's size: 128 dimensions, 64 hidden units, two layers."""
+    import numpy as np
+    dim, hidden = 128, 64
+    pairs = spark.createDataFrame([(u, i, int((u + i) % 3 == 0)) for u in range(8) for i in range(6)], "uid long, iid long, label int")
+    nodes = M.graph_nodes(pairs)
+    emb = M.hashed_embeddings(nodes, dim, 3)
+    e = {r.node: np.array(r.vec) for r in emb.collect()}
+    w1, b1, w2, b2 = M.ncf_weights(dim, hidden)
+    unknown = pairs.unionByName(spark.createDataFrame([(99, 0, 0)], "uid long, iid long, label int"))
+    for r in M.ncf_score(unknown, emb, (w1, b1, w2, b2)).collect():
+        if r.uid == 99:
+            assert r.logit is None
+            continue
+        x = np.concatenate([e[2 * r.uid], e[2 * r.iid + 1]])
+        assert r.logit == pytest.approx(float(np.maximum(np.array(w1) @ x + b1, 0) @ np.array(w2) + b2), abs=1e-9)
+    adj = M.adjacency(pairs)
+    index = {n: k for k, n in enumerate(sorted(e))}
+    a = np.zeros((len(e), len(e)))
+    for r in adj.collect():
+        a[index[r.dst], index[r.src]] = r.w
+    e0 = np.stack([e[n] for n in sorted(e)])
+    want = (e0 + a @ e0 + a @ a @ e0) / 3
+    for r in M.propagate(adj, emb, 2, dim).collect():
+        assert np.allclose(r.vec, want[index[r.node]], atol=1e-12)
+
+
+def test_a_solve_that_does_not_converge_raises(spark):
+    pairs = spark.createDataFrame([(u, i, int((u * i) % 2)) for u in range(5) for i in range(4)], "uid long, iid long, label int")
+    nodes = M.graph_nodes(pairs)
+    m = IF.Model(M.adjacency(pairs), M.hashed_embeddings(nodes, 2, scale=0.1), 1, 2)
+    b = IF.gradient(m, pairs)
+    with pytest.raises(RuntimeError):
+        IF.solve(m, pairs, b, damp=1.0, tol=1e-30, max_iter=1)
+
+
+def test_early_stop_returns_the_best_epoch(spark):
+    pairs = spark.createDataFrame([(u, i, int((u + i) % 3 == 0)) for u in range(7) for i in range(6)], "uid long, iid long, label int")
+    m = IF.Model(M.adjacency(pairs), M.hashed_embeddings(M.graph_nodes(pairs), 3, scale=0.2), 1, 3)
+    best, log = IF.fit_early(m, pairs, pairs, max_epochs=6, patience=2, lr=4.0)
+    values = [v for _, v in log]
+    top = values.index(max(values))
+    assert len(log) == min(6, top + 3) and [e for e, _ in log] == list(range(len(log)))
+    same = IF.fit(m, pairs, epochs=top + 1, lr=4.0)
+    a = {r.node: r.vec for r in best.emb.collect()}
+    b = {r.node: r.vec for r in same.emb.collect()}
+    assert a.keys() == b.keys() and all(a[n] == pytest.approx(b[n], abs=1e-12) for n in a)

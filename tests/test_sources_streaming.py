@@ -58,7 +58,7 @@ def test_metric_log_follower(spark):
     df = spark.createDataFrame(rows, "run int, epoch int, valid_auc double")
     K.append_json(df.where("epoch < 2"), path)
     K.append_json(df.where("epoch >= 2"), path)
-    out = {r.run: r for r in follow(spark, path, K.scratch_dir(spark, "t_ckpt"), "t_follow").collect()}
+    out = {r.run: r for r in follow(spark, path, K.scratch_dir(spark, "t_ckpt"), K.scratch_dir(spark, "t_follow")).collect()}
     assert (out[0].best_metric, out[0].best_epoch, out[0].last_epoch, out[0].n_epochs) == (0.6, 1, 3, 4)
     assert (out[1].best_metric, out[1].best_epoch, out[1].n_epochs) == (0.7, 0, 2)
 

@@ -9,6 +9,8 @@ a popular node is combined map-side before the shuffle).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,13 +143,22 @@ def ncf_weights(dim: int, hidden: int, seed: int = 5):
 
 
 def ncf_score(pairs: DataFrame, emb: DataFrame, weights) -> DataFrame:
-    """M8: concat(user, item) -> linear -> ReLU -> linear, weights as literals."""
-    w1, b1, w2, b2 = weights
-    g = gather(pairs, emb).withColumn("_x", F.concat("zu", "zi"))
-    hid = [F.greatest(dot("_x", F.array(*[F.lit(float(v)) for v in row])) + F.lit(float(b)), F.lit(0.0))
-           for row, b in zip(w1, b1)]
-    out = sum((h * F.lit(float(w)) for h, w in zip(hid, w2)), F.lit(float(b2)))
-    return g.withColumn("logit", out).drop("zu", "zi", "_x")
+    """M8: concat(user, item) -> linear -> ReLU -> linear, one matrix product
+    per Arrow batch. The weights (2 * dim * hidden numbers) travel with the
+    function. A pair without a vector has a null logit."""
+    w1, b1, w2, b2 = (np.asarray(w, dtype=np.float64) for w in weights)
+
+    @F.pandas_udf("double")
+    def logit(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        out = pd.Series(np.nan, index=x.index).astype("Float64")
+        if known.any():
+            hidden = np.maximum(np.stack(x[known].to_numpy()) @ w1.T + b1, 0.0)
+            out[known] = hidden @ w2 + b2
+        out[~known] = pd.NA
+        return out
+    g = gather(pairs, emb)
+    return g.withColumn("logit", logit(F.concat("zu", "zi"))).drop("zu", "zi")
 
 
 def fit_ncf(pairs: DataFrame, emb: DataFrame, hidden: int = 64, max_iter: int = 50, seed: int = 5):

@@ -1010,8 +1010,6 @@ def q_mixed(spark, sf_dir):
 def q_metric_stream(spark, sf_dir):
     """The metric log appended as JSON lines in epoch batches (S10), followed
     by a Structured Streaming aggregation (best so far per run)."""
-    import uuid
-
     from ..streaming.metric_log import follow
     log = metric_log(spark, sf_dir)
     path = K.scratch_dir(spark, "metric_stream")
@@ -1019,8 +1017,7 @@ def q_metric_stream(spark, sf_dir):
         K.append_json(log.where((F.col("epoch") >= lo) & (F.col("epoch") < lo + 10))
                       .select(F.col("run").cast("int").alias("run"), F.col("epoch").cast("int").alias("epoch"),
                               "valid_auc"), path)
-    name = f"metric_stream_{uuid.uuid4().hex[:8]}"
-    out = follow(spark, path, K.scratch_dir(spark, "metric_stream_ckpt"), name)
+    out = follow(spark, path, K.scratch_dir(spark, "metric_stream_ckpt"), K.scratch_dir(spark, "metric_stream_best"))
     return out.select("run", r6("best_metric").alias("best_metric"), "best_epoch", "last_epoch", "n_epochs")
 
 

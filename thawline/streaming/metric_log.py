@@ -24,11 +24,21 @@ def best_so_far(stream: DataFrame, metric: str = "valid_auc") -> DataFrame:
         F.count(F.lit(1)).alias("n_epochs"))
 
 
-def follow(spark: SparkSession, log_dir: str, checkpoint: str, table: str) -> DataFrame:
-    """Run the aggregation over everything currently in ``log_dir`` into an
-    in-memory table (complete mode) and return that table."""
-    src = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).json(log_dir)
-    q = (best_so_far(src).writeStream.outputMode("complete").format("memory").queryName(table)
+def follow(spark: SparkSession, log_dir: str, checkpoint: str, out_dir: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Run the aggregation over everything currently in ``log_dir``; each
+    micro-batch replaces the table in a new folder under ``out_dir`` from its
+    executors (nothing gathers on the driver) and the last one is returned."""
+    last = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{out_dir.rstrip('/')}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)  # a repeated batch writes the same rows again
+        last["path"] = path
+
+    src = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(log_dir)
+    q = (best_so_far(src).writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table)
+    if "path" not in last:
+        return best_so_far(spark.createDataFrame([], LOG_SCHEMA))
+    return spark.read.parquet(last["path"])
