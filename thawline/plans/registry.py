@@ -285,14 +285,17 @@ def q_calibration(spark, sf_dir):
     return b.select("k", r6("t").alias("t"), r6("diff").alias("diff"), r6("p1").alias("p1"), r6("share").alias("share"))
 
 
-@register("synthetic_train_rows_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"), _calib_ctes(), """
-lk AS (SELECT iid, min(title) AS title FROM samples_orders GROUP BY iid),
-lab AS (SELECT row_id, uid, iid, CAST(predicted_logit >= (SELECT t FROM best) AS INTEGER) AS label,
-   CASE WHEN len(list_filter(his, lambda x: x <> 0)) = 0 THEN [CAST(0 AS BIGINT)] ELSE list_filter(his, lambda x: x <> 0) END AS his FROM sc),
-ex AS (SELECT row_id, unnest(his) AS e, generate_subscripts(his, 1) AS pos FROM lab),
-ht AS (SELECT row_id, list(coalesce(l.title, '') ORDER BY pos) AS his_title FROM ex LEFT JOIN lk l ON l.iid = ex.e GROUP BY row_id)""")
-          + f"""SELECT lab.row_id, uid, lab.iid, label, array_to_string(his, ',') AS his, coalesce(lk.title, '') AS title,
-  array_to_string(his_title, '|') AS his_title, '2022-10-01 00:00:00.000000' AS ts, 0 AS env
+@register("synthetic_train_rows_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0", out="cand0"),
+          "cand AS MATERIALIZED (SELECT row_id, uid, iid, his FROM cand0)",
+          _calib_ctes().replace("best AS (", "best AS MATERIALIZED ("), """
+lk AS MATERIALIZED (SELECT iid, min(title) AS title FROM samples_orders GROUP BY iid),
+zs AS MATERIALIZED (SELECT row_id, uid, iid, CAST(predicted_logit >= b.t AS INTEGER) AS label,
+   list_filter(his, lambda x: x <> 0) AS nz FROM sc, (SELECT t FROM best) b),
+lab AS MATERIALIZED (SELECT row_id, uid, iid, label, CASE WHEN len(nz) = 0 THEN [CAST(0 AS BIGINT)] ELSE nz END AS his FROM zs),
+ex AS MATERIALIZED (SELECT row_id, unnest(his) AS e, unnest(range(1, len(his) + 1)) AS pos FROM lab),
+ht AS MATERIALIZED (SELECT row_id, string_agg(coalesce(l.title, ''), '|' ORDER BY pos) AS his_title FROM ex LEFT JOIN lk l ON l.iid = ex.e GROUP BY row_id)""")
+          + """SELECT lab.row_id, uid, lab.iid, label, array_to_string(his, ',') AS his, coalesce(lk.title, '') AS title,
+  his_title, '2022-10-01 00:00:00.000000' AS ts, 0 AS env
 FROM lab LEFT JOIN lk USING (iid) LEFT JOIN ht USING (row_id)""")
 def q_synth_rows(spark, sf_dir):
     lk = L.titles_lookup(shared.samples(spark, sf_dir, "orders"))
