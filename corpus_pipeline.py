@@ -24,7 +24,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labels of ``docs``, does not reject."""
     rules = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, names = quality.featured(docs.select(F.struct("*").alias("__row")), ["__row"], text_of("__row.text"))
-    return rows.filter(rules.score([F.col(n) for n in names]) >= quality.THRESHOLD).select("__row.*")
+    good = rules.score([F.col(n) for n in names]) >= quality.THRESHOLD
+    # one element or none: a plain filter would be pushed below the statistics, which it
+    # would then compute anew for every rule
+    kept = rows.select("__row", F.explode(F.when(good, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))
+    return kept.select("__row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = stored(contents.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "shared-fp")
     if not shared.isEmpty():
         recipes = _ranked(base, pattern, recipes, shared, fingerprint_bits)
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # stored, so that both sides of the join are exchanged and a hot recipe's rows can be split
+    groups = stored(recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return recipes.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256", F.size("recipe").alias("n_chunks"))

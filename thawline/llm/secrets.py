@@ -78,6 +78,7 @@ def secret_scan(versions: DataFrame, ledger: str, path_col: str = "doc_id", text
     found = scan(one, ["blob"]).groupBy("blob").agg(F.max("findings").alias("findings"))
     found.select(F.lit(rules).alias("rules"), "blob", "findings").write.mode("append").parquet(ledger)
     held = read_ledger(spark, ledger).filter(F.col("rules") == rules).groupBy("blob").agg(F.max("findings").alias("findings"))
+    held = stored(held, "held")  # both sides of the join are exchanged: a hot blob's paths can be split
     return narrow.join(held, "blob").select("path", "blob", "findings")
 
 

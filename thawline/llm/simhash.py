@@ -73,7 +73,9 @@ def links(prints: DataFrame, bucket: int = BUCKET, max_bits: int = MAX_BITS) ->
 
     ``prints`` has one column ``fp`` of distinct fingerprints.
     """
-    variants = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    # 66 rows come of one: deal the few bytes out first, in as many parts as a shuffle has
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = prints.repartition(parts, "fp").select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     crowd = variants.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     members = stored(variants.join(crowd, "key").select("key", "fp", "held"), "simhash-members")
     small = members.filter(F.col("held") <= bucket)
@@ -124,10 +126,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if max_bits > 2:
         raise ValueError("two segments with one wild bit find at most two differing bits")
     prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(text_of(text_col)).alias("fp")), "simhash")
-    heads = prints.groupBy("fp").agg(F.min("doc_id").alias("head"))
+    heads = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     roots = components(links(heads.select("fp"), bucket, max_bits))
     named = heads.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("head").alias("component_id"))
-    of_print = named.join(names, "root").select("fp", "component_id")
+    of_print = stored(named.join(stored(names, "names"), "root").select("fp", "component_id"), "of-print")
     return prints.join(of_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

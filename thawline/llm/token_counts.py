@@ -121,5 +121,6 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache: str, limit: int =
     found.write.mode("append").parquet(cache)
     counts = (read_cache(spark, cache).filter(F.col("tokenizer") == version)
               .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+    counts = stored(counts, "counts")  # both sides of the join are exchanged: a hot digest's rows can be split
     return narrow.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
