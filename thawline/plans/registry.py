@@ -1065,30 +1065,31 @@ def q_ncf_fit(spark, sf_dir):
     return model.transform(x).select("uid", "iid", "label", vector_to_array("probability")[1].alias("prob"))
 
 
-def _hvp_sql(pairs: str, damp: float = 0.01) -> str:
+def _hvp_sql(pairs: str, damp: float = 0.01, v: str = "vv", out: str = "hv") -> str:
     """M12 restated: D = P v; per-row h and c; scatter; P; + damp v."""
-    dv = ", ".join(f"dv{k}" for k in range(DIM))
     uvec = ", ".join(f"h * zi{k} + c * di{k} AS v{k}" for k in range(DIM))
     ivec = ", ".join(f"h * zu{k} + c * du{k} AS v{k}" for k in range(DIM))
     sums = ", ".join(f"sum(v{k}) AS v{k}" for k in range(DIM))
     dot_dz = " + ".join(f"du{k} * zi{k}" for k in range(DIM))
     dot_zd = " + ".join(f"zu{k} * di{k}" for k in range(DIM))
-    return f"""vv AS {O.emb0_sql("(SELECT node FROM e0)", DIM, 17, 1.0)},
-{O.propagate_ctes('adj', 'vv', 'dd', LAYERS, DIM)},
-ht AS (SELECT p.uid * 2 AS un, p.iid * 2 + 1 AS inn, CAST(p.label AS DOUBLE) AS y,
+    return f"""{O.propagate_ctes('adj', v, f'{out}_d', LAYERS, DIM)},
+{out}_t AS (SELECT p.uid * 2 AS un, p.iid * 2 + 1 AS inn, CAST(p.label AS DOUBLE) AS y,
      {', '.join(f'zu.v{k} AS zu{k}, zi.v{k} AS zi{k}, du.v{k} AS du{k}, di.v{k} AS di{k}' for k in range(DIM))},
      {O.sigmoid_sql(O.dot_sql('zu.v', 'zi.v', DIM))} AS sig
    FROM {pairs} p JOIN z zu ON zu.node = p.uid * 2 JOIN z zi ON zi.node = p.iid * 2 + 1
-   JOIN dd du ON du.node = p.uid * 2 JOIN dd di ON di.node = p.iid * 2 + 1),
-ht2 AS (SELECT *, sig * (1 - sig) * (({dot_dz}) + ({dot_zd})) / (SELECT count(*) FROM {pairs}) AS h,
-     (sig - y) / (SELECT count(*) FROM {pairs}) AS c FROM ht),
-hs AS (SELECT node, {sums} FROM (SELECT un AS node, {uvec} FROM ht2 UNION ALL SELECT inn AS node, {ivec} FROM ht2) GROUP BY node),
-{O.propagate_ctes('adj', 'hs', 'ph', LAYERS, DIM)},
-hv AS (SELECT COALESCE(a.node, b.node) AS node, {', '.join(f'COALESCE(a.v{k}, 0.0) * 1.0 + COALESCE(b.v{k}, 0.0) * {damp} AS v{k}' for k in range(DIM))}
-   FROM ph a FULL JOIN vv b ON a.node = b.node)"""
+   JOIN {out}_d du ON du.node = p.uid * 2 JOIN {out}_d di ON di.node = p.iid * 2 + 1),
+{out}_c AS (SELECT *, sig * (1 - sig) * (({dot_dz}) + ({dot_zd})) / (SELECT count(*) FROM {pairs}) AS h,
+     (sig - y) / (SELECT count(*) FROM {pairs}) AS c FROM {out}_t),
+{out}_s AS (SELECT node, {sums} FROM (SELECT un AS node, {uvec} FROM {out}_c UNION ALL SELECT inn AS node, {ivec} FROM {out}_c) GROUP BY node),
+{O.propagate_ctes('adj', f'{out}_s', f'{out}_p', LAYERS, DIM)},
+{out} AS MATERIALIZED (SELECT COALESCE(a.node, b.node) AS node, {', '.join(f'COALESCE(a.v{k}, 0.0) * 1.0 + COALESCE(b.v{k}, 0.0) * {damp} AS v{k}' for k in range(DIM))}
+   FROM {out}_p a FULL JOIN {v} b ON a.node = b.node)"""
 
 
-@register("hvp_events", O.with_(*_g_sql_base(), _hvp_sql(O.part_sql("events", "train")))
+_VV_SQL = f"vv AS {O.emb0_sql('(SELECT node FROM e0)', DIM, 17, 1.0)}"
+
+
+@register("hvp_events", O.with_(*_g_sql_base(), _VV_SQL, _hvp_sql(O.part_sql("events", "train")))
           + f"SELECT node, {O.vec_text('v', DIM, 12)} AS hv FROM hv")
 def q_hvp(spark, sf_dir):
     """(H + damp I) v of the mean train BCE, v = md5 vector (seed 17)."""
@@ -1099,6 +1100,57 @@ def q_hvp(spark, sf_dir):
     return hv.select("node", _vtext("vec", 12).alias("hv"))
 
 
+CG_STEPS = 2
+
+
+def _cg_sql() -> str:
+    """M13 unrolled: x0 = b, r0 = p0 = b - H b, then CG_STEPS steps; cg_x is the solution so far."""
+    tr, va = O.part_sql("events", "train"), O.part_sql("events", "valid")
+    every = lambda f: ", ".join(f(k) for k in range(DIM))
+    dot = lambda a, b: " + ".join(f"{a}{k} * {b}{k}" for k in range(DIM))
+    full = lambda c: f"COALESCE({c}, 0.0)"
+    ctes = [_grad_sql(va, "gv"), _hvp_sql(tr, v="gv", out="h0"), f"""st0 AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k}')}, {every(lambda k: f'x{k} - a{k} AS r{k}')}, {every(lambda k: f'x{k} - a{k} AS p{k}')}
+   FROM (SELECT COALESCE(b.node, a.node) AS node, {every(lambda k: f'{full(f"b.v{k}")} AS x{k}, {full(f"a.v{k}")} AS a{k}')} FROM gv b FULL JOIN h0 a ON a.node = b.node))"""]
+    for i in range(CG_STEPS):
+        ctes += [f"pv{i} AS (SELECT node, {every(lambda k: f'p{k} AS v{k}')} FROM st{i})", _hvp_sql(tr, v=f"pv{i}", out=f"ap{i}"), f"""
+bo{i} AS MATERIALIZED (SELECT COALESCE(s.node, a.node) AS node, {every(lambda k: f'{full(f"s.x{k}")} AS x{k}, {full(f"s.r{k}")} AS r{k}, {full(f"s.p{k}")} AS p{k}, {full(f"a.v{k}")} AS a{k}')}
+   FROM st{i} s FULL JOIN ap{i} a ON a.node = s.node),
+al{i} AS MATERIALIZED (SELECT sum({dot('r', 'r')}) / sum({dot('p', 'a')}) AS alpha, sum({dot('r', 'r')}) AS rr FROM bo{i}),
+mv{i} AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k} + p{k} * alpha AS x{k}, r{k} - a{k} * alpha AS r{k}, p{k}')} FROM bo{i}, al{i}),
+be{i} AS MATERIALIZED (SELECT sum({dot('r', 'r')}) / (SELECT rr FROM al{i}) AS beta FROM mv{i}),
+st{i + 1} AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k}, r{k}, r{k} + p{k} * beta AS p{k}')} FROM mv{i}, be{i})"""]
+    ctes.append(f"cg_x AS (SELECT node, {every(lambda k: f'x{k} AS v{k}')} FROM st{CG_STEPS})")
+    return ",\n".join(ctes)
+
+
+def _cg_solution(spark, sf_dir):
+    def build():
+        tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+        m = IF.Model(adj, e0, LAYERS, DIM)
+        b = IF.gradient(m, va.select("uid", "iid", "label"), _z(spark, sf_dir))
+        return IF.conjugate_gradient(m, tr.select("uid", "iid", "label"), b, damp=0.01, tol=0.0, max_iter=CG_STEPS, z=_z(spark, sf_dir)).x
+    return shared.memo(spark, ("cg_x", sf_dir), build)
+
+
+@register("cg_steps_events", O.with_(*_g_sql_base(), _cg_sql()) + f"SELECT node, {O.vec_text('v', DIM, 10)} AS x FROM cg_x")
+def q_cg_steps(spark, sf_dir):
+    """The conjugate-gradient solution after two steps from the valid gradient."""
+    return _cg_solution(spark, sf_dir).select("node", _vtext("vec", 10).alias("x"))
+
+
+@register("row_influence_events", O.with_(*_g_sql_base(), _cg_sql(), O.propagate_ctes("adj", "cg_x", "xp", LAYERS, DIM))
+          + f"""SELECT uid, iid, round(-(sig - label) * s, 9) AS score FROM (
+  SELECT p.uid, p.iid, p.label, {O.sigmoid_sql(O.dot_sql('zu.v', 'zi.v', DIM))} AS sig, {O.dot_sql('xu.v', 'zi.v', DIM)} + {O.dot_sql('zu.v', 'xi.v', DIM)} AS s
+  FROM {O.part_sql('events', 'test')} p JOIN z zu ON zu.node = p.uid * 2 JOIN z zi ON zi.node = p.iid * 2 + 1
+  JOIN xp xu ON xu.node = p.uid * 2 JOIN xp xi ON xi.node = p.iid * 2 + 1)""")
+def q_row_influence(spark, sf_dir):
+    """Influence of every test row under that solution."""
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    rows = te.select(F.struct("uid", "iid").alias("row_id"), "uid", "iid", "label")
+    s = IF.row_influence(IF.Model(adj, e0, LAYERS, DIM), rows, _cg_solution(spark, sf_dir), _z(spark, sf_dir))
+    return s.select("row_id.uid", "row_id.iid", F.round("score", 9).alias("score"))
+
+
 # ---------------------------------------------------------------- month-window cohorts, closed evaluation range, variants
 _MONTHS_RANGE = ("1996-01-01", "2001-06-30")
 
