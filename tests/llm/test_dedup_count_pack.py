@@ -275,3 +275,18 @@ def test_top_k_shards_ties_and_awkward_vectors(spark):
     assert got_top(topk.top_k(df, shard_rows=60, query_rows=3)) == brute_top(rows, 50, 5)
     assert topk.top_k(df.limit(0)).count() == 0
     assert got_top(topk.top_k(df.filter("vec_id in (0, 1, 2)"))) == brute_top(rows[:3], 50, 5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_max_score_keeps_every_vector_that_can_win(seed):
+    rng = np.random.default_rng(seed)
+    for dim, n in ((2, 40), (6, 300), (32, 200)):
+        rows = rng.integers(-60, 60, (n, dim)) * (rng.random((n, dim)) < rng.choice([0.3, 0.9]))
+        rows[: n // 10] *= 8  # a few strong vectors make high thresholds
+        shard = topk.Shard(np.arange(n), rows.astype(np.int64))
+        for q in rows[:: 7].astype(np.int64):
+            near, score = shard.best(q, -1, 5)
+            best = np.lexsort((near, -score))[:5]
+            full = rows @ q
+            want = np.lexsort((np.arange(n), -full))[:5]
+            assert near[best].tolist() == want.tolist() and score[best].tolist() == full[want].tolist()

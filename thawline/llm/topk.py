@@ -85,6 +85,7 @@ class Shard:
         for d, posting in zip(terms[:essential], postings[:essential]):
             met[posting] = True
             if met.sum() > len(met) * 0.9:
+                met[:] = True  # the postings to come would add little: take every vector
                 break
         if essential == len(terms):
             met[:] = True  # a vector without any match may be among the k best
