@@ -1,4 +1,4 @@
-"""Registered queries of the document operators and their SQL."""
+"""Registered queries of the document operators; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, exact_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
 from .common import documents, shared_path
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,18 +60,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_topk_search, op5_pii, op6_quality_classifier,
     op7_secret_scan, op8_simhash_dedup, op9_byte_bpe, op10_suffix_dedup)}
-
-ORACLE = {
-    "op3_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
-        FROM t""",
-    "op4_topk_search": r"""
-        WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-              FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
-}
