@@ -36,12 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 17
 #: Longer words are not counted: the fold's copies grow with the square of the length.
 LONG = 256
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 200_000
 NONE = 1 << 17
 #: Between the values of a literal table; words that hold it are folded in the task.
 SEPARATOR = "\x1f"
@@ -283,6 +283,7 @@ def _apply(ranks: dict[bytes, int], known: dict[str, list[int]], at_once: int):
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text",
            hot_words: int = HOT_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """(doc_id, ids, decoded) per row: little-endian unsigned 32-bit ids and the bytes they decode to."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("body"))
     known = {r["word"]: r["ids"] for r in frequent_codes(rows, ranks, hot_words).collect()}  # at most ``hot_words`` rows
     return rows.select("doc_id", words_of(F.col("body")).alias("words")).mapInArrow(

@@ -52,3 +52,19 @@ def squeezed(text: Column) -> Column:
     replacement.
     """
     return F.regexp_replace(text, r"[\t-\r][ \t-\r]*| [ \t-\r]+", " ")
+
+
+#: Bytes of an Arrow batch between Spark and Python workers.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES`` where it is larger.
+
+    Rows here are whole texts; a task holds a batch several times over (both
+    processes, strings, arrays), so its size bounds the memory of the task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key, "-1b").removesuffix("b")
+    if not size.lstrip("-").isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, text_of
+from .common import discard, small_batches, stored, text_of
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -125,6 +125,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, fingerprint, component_id) per row of ``docs``."""
     if max_bits > 2:
         raise ValueError("two segments with one wild bit find at most two differing bits")
+    small_batches(docs.sparkSession)
     prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(text_of(text_col)).alias("fp")), "simhash")
     heads = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     roots = components(links(heads.select("fp"), bucket, max_bits))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 from .suffix_sort import Hashes, sorted_suffixes
 
 SPAN = 400
@@ -275,6 +275,7 @@ def _merged(intervals: Column) -> Column:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **limits) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) per row; ``removed`` lists the byte runs."""
+    small_batches(docs.sparkSession)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("body"))
     found = stored(repeated_intervals(rows, span, **limits), "repeated")

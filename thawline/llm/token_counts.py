@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 #: Distinct words whose counts a task remembers before it starts afresh.
@@ -109,6 +109,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache: str, limit: int =
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, digest) per row; appends misses to ``cache``."""
     spark = docs.sparkSession
+    small_batches(spark)
     version = tokenizer_version(tokenizer_file)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", F.sha2("text", 256))
     narrow = stored(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
