@@ -65,6 +65,6 @@ def small_batches(spark: SparkSession) -> None:
     processes, strings, arrays), so its size bounds the memory of the task.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark.conf.get(key, "-1b").removesuffix("b")
-    if not size.lstrip("-").isdigit() or not 0 < int(size) <= BATCH_BYTES:
+    size = spark.conf.get(key).removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
