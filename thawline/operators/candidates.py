@@ -100,30 +100,23 @@ def add_row_id(df: DataFrame) -> DataFrame:
     return global_positions(df, ["iid", "uid"], "row_id", start=1)
 
 
-def stub_scorer(seed: int = 7):
-    """A deterministic stand-in for the language-model scorer: maps each
-    batch of rendered rows to a logit in [0, 1] from md5(seed:row_id).
-    Any callable pandas.DataFrame -> pandas.Series of floats plugs in."""
-    import hashlib
-
-    def score(pdf):
-        import pandas as pd
-        vals = [int(hashlib.md5(f"{seed}:{r}".encode()).hexdigest()[:8], 16) / 4294967295.0
-                for r in pdf["row_id"].tolist()]
-        return pd.Series(vals, index=pdf.index, dtype="float64")
-    return score
-
-
-def score_candidates(df: DataFrame, scorer=None, text_col: str = "prompt") -> DataFrame:
-    """Batch scoring through ``mapInPandas`` (Arrow batches per partition).
-    Output keyed by row_id: (row_id, uid, iid, his, predicted_logit)."""
-    scorer = scorer or stub_scorer()
+def score_candidates(df: DataFrame, scorer=None, text_col: str = "prompt", seed: int = 7) -> DataFrame:
+    """A logit per rendered text, keyed by row_id: (row_id, uid, iid, his,
+    predicted_logit).
+
+    The default scorer is a native column: a number in [0, 1] drawn from md5
+    of the whole text, so the rendering decides every score. ``scorer``, any
+    callable from a list of texts to floats (a language model), runs on Arrow
+    batches instead.
+    """
+    if scorer is None:
+        return df.select("row_id", "uid", "iid", "his", hash_unit(seed, text_col).alias("predicted_logit"))
     keep = df.select("row_id", "uid", "iid", "his", text_col)
 
     def run(batches):
         for pdf in batches:
             out = pdf[["row_id", "uid", "iid", "his"]].copy()
-            out["predicted_logit"] = scorer(pdf).astype("float64").values
+            out["predicted_logit"] = [float(v) for v in scorer(pdf[text_col].tolist())]
             yield out
 
     schema = "row_id long, uid long, iid long, his array<long>, predicted_logit double"

@@ -251,7 +251,7 @@ def q_if_targets(spark, sf_dir):
 
 
 def scored(spark, sf_dir, name="orders"):
-    """Candidates -> prompts -> scorer (mapInPandas), keyed by row_id."""
+    """Candidates -> prompts -> scores of the rendered texts, keyed by row_id."""
     def build():
         c = _cands(spark, sf_dir, name, "v0")
         ml = T.max_history_length(c)
@@ -260,8 +260,12 @@ def scored(spark, sf_dir, name="orders"):
     return shared.memo(spark, ("scored", sf_dir, name), build)
 
 
-@register("scored_candidates_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"))
-          + f"SELECT row_id, uid, iid, array_to_string(his, ',') AS his, round({O.hash_unit('7', 'row_id')}, 6) AS predicted_logit FROM cand")
+_SCORED_SQL = f"""sc AS MATERIALIZED (SELECT c.row_id, c.uid, c.iid, c.his, {O.hash_unit('7', 'p.prompt')} AS predicted_logit
+   FROM cand c JOIN ({_prompt_sql('cand')}) p USING (uid, iid))"""
+
+
+@register("scored_candidates_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0"), _SCORED_SQL)
+          + "SELECT row_id, uid, iid, array_to_string(his, ',') AS his, round(predicted_logit, 6) AS predicted_logit FROM sc")
 def q_scored(spark, sf_dir):
     s = scored(spark, sf_dir)
     return s.select("row_id", "uid", "iid", arr_text("his").alias("his"), r6("predicted_logit").alias("predicted_logit"))
@@ -270,7 +274,7 @@ def q_scored(spark, sf_dir):
 # ---------------------------------------------------------------- calibration (L1, L2)
 def _calib_ctes(name="orders") -> str:
     tr = O.part_sql(name, "train")
-    return f"""sc AS (SELECT row_id, uid, iid, his, {O.hash_unit('7', 'row_id')} AS predicted_logit FROM cand),
+    return f"""{_SCORED_SQL},
 gr AS (SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 99 THEN CAST(5 AS DOUBLE) ELSE k * (CAST(5 AS DOUBLE) / 99) END AS t FROM range(100) r(k)),
 ge AS (SELECT k, t, (SELECT count(*) FROM sc WHERE predicted_logit >= t) AS n_ge FROM gr),
 st AS (SELECT (SELECT count(*) FROM sc) AS n, (SELECT avg(CAST(label AS DOUBLE)) FROM {tr}) AS p1),
@@ -286,7 +290,7 @@ def q_calibration(spark, sf_dir):
 
 
 @register("synthetic_train_rows_orders", O.with_(O.all_ctes("orders"), O.candidates_ctes("orders", "v0", out="cand0"),
-          "cand AS MATERIALIZED (SELECT row_id, uid, iid, his FROM cand0)",
+          "cand AS MATERIALIZED (SELECT * FROM cand0)",
           _calib_ctes().replace("best AS (", "best AS MATERIALIZED ("), """
 lk AS MATERIALIZED (SELECT iid, min(title) AS title FROM samples_orders GROUP BY iid),
 zs AS MATERIALIZED (SELECT row_id, uid, iid, CAST(predicted_logit >= b.t AS INTEGER) AS label,
@@ -1028,29 +1032,40 @@ def q_metric_stream(spark, sf_dir):
 from . import iterate as C  # noqa: E402
 
 
+_ROUNDS: dict = {}
+
+
+def _iterated(spark, sf_dir):
+    """(report, folder of the rounds' scores) of one run of C5."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROUNDS:
+        tr = shared.part(spark, sf_dir, "orders", "train")
+        va = shared.part(spark, sf_dir, "orders", "valid")
+        evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
+        syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
+        path = K.scratch_dir(spark, "influence_rounds")
+        _ROUNDS[key] = C.iterated_selection(tr, va, evals, syn, C.IterOptions(dim=4, layers=1, epochs=2), path), path
+    return _ROUNDS[key]
+
+
 @register("iterated_selection_orders")
 def q_iterated(spark, sf_dir):
     """Sixteen rounds (round 0 keeps all, each later one selects by the
-    influence under the last model), every solve to its tolerance; iterative,
-    so rows-only check."""
-    tr = shared.part(spark, sf_dir, "orders", "train")
-    va = shared.part(spark, sf_dir, "orders", "valid")
-    evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
-    syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
-    opts = C.IterOptions(dim=4, layers=1, epochs=2)
-    return C.iterated_selection(tr, va, evals, syn, opts, K.scratch_dir(spark, "influence_rounds"))
+    influence under the last model), every solve to its tolerance, scores
+    written per round; iterative, so rows-only check."""
+    return _iterated(spark, sf_dir)[0]
 
 
 @register("ensemble_inference_orders")
 def q_ensemble(spark, sf_dir):
-    """Cumulative fold of the per-iteration scores, selection, one fit, report."""
+    """Reads the scores that C5 wrote, cumulative fold, selection, one fit, report."""
     tr = shared.part(spark, sf_dir, "orders", "train").select("uid", "iid", "label")
     evals = {"valid_0": shared.part(spark, sf_dir, "orders", "valid"),
              "test_0": shared.part(spark, sf_dir, "orders", "test")}
     syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
     nodes = M.graph_nodes(tr, syn.select("uid", "iid"), *[e.select("uid", "iid") for e in evals.values()])
-    opts = C.IterOptions(dim=4, layers=1, epochs=2)
-    return C.ensemble_inference(syn, influence_by_iter(spark, sf_dir), tr, nodes, evals, opts)
+    scores = spark.read.parquet(_iterated(spark, sf_dir)[1]).select("iter", "row_id", "score")
+    return C.ensemble_inference(syn, scores, tr, nodes, evals, C.IterOptions(dim=4, layers=1, epochs=2))
 
 
 @register("ncf_fit_events")
