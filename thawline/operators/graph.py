@@ -168,7 +168,7 @@ def fit_ncf(pairs: DataFrame, emb: DataFrame, hidden: int = 64, max_iter: int =
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    g = gather(pairs, emb)
+    g = gather(pairs, emb).na.drop("any", ["zu", "zi"])  # no vector, nothing to fit or score
     dim2 = 2 * len(g.select("zu").first()["zu"])
     x = g.withColumn("features", array_to_vector(F.concat("zu", "zi"))).withColumn(
         "y", F.col("label").cast("double"))
