@@ -700,21 +700,22 @@ RUNS, EPOCHS, LOG_SEED = 3, 40, 37
 
 
 def metric_log(spark, sf_dir):
-    """Per (run, epoch): valid AUC of that epoch's scores (md5(seed:run:epoch:uid:iid))."""
+    """A metric log out of the valid rows, each used once: run = uid mod 3,
+    epoch = iid mod 40, valid_auc of the md5 scores of the rows of that run and
+    epoch (0.5 where they hold one class)."""
     def build():
-        v = shared.part(spark, sf_dir, "orders", "valid", 0).select("uid", "iid", "label")
-        x = (v.select("*", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
-              .select("*", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch")))
-        x = x.withColumn("score", hash_unit(LOG_SEED, "run", "epoch", "uid", "iid"))
-        return E.auc(x, ["run", "epoch"]).select("run", "epoch", F.col("auc").alias("valid_auc"))
+        v = shared.part(spark, sf_dir, "orders", "valid", 0).select(
+            (F.col("uid") % RUNS).cast("int").alias("run"), (F.col("iid") % EPOCHS).cast("int").alias("epoch"), "label", hash_unit(LOG_SEED, "uid", "iid").alias("score"))
+        return E.auc(v, ["run", "epoch"]).select("run", "epoch", F.coalesce("auc", F.lit(0.5)).alias("valid_auc"))
     return shared.memo(spark, ("metric_log", sf_dir), build)
 
 
-_LOG_SQL = f"""lg AS (SELECT run, epoch, auc AS valid_auc FROM (
-   SELECT run, epoch, (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) AS auc
+_LOG_SQL = f"""lg AS (SELECT run, epoch, coalesce(auc, 0.5) AS valid_auc FROM (
+   SELECT run, epoch, CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
+     (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) END AS auc
    FROM (SELECT *, rank() OVER (PARTITION BY run, epoch ORDER BY score) + (count(*) OVER (PARTITION BY run, epoch, score) - 1) / 2.0 AS rk
-     FROM (SELECT v.uid, v.iid, v.label, r.run, e.epoch, {O.hash_unit(str(LOG_SEED), 'r.run', 'e.epoch', 'v.uid', 'v.iid')} AS score
-       FROM {O.part_sql('orders', 'valid', 0)} v, range({RUNS}) r(run), range({EPOCHS}) e(epoch)))
+     FROM (SELECT label, uid % {RUNS} AS run, iid % {EPOCHS} AS epoch, {O.hash_unit(str(LOG_SEED), 'uid', 'iid')} AS score
+       FROM {O.part_sql('orders', 'valid', 0)}))
    GROUP BY run, epoch))"""
 
 
@@ -725,11 +726,11 @@ def q_metric_log(spark, sf_dir):
 
 
 @register("early_stop_orders", O.with_(O.all_ctes("orders"), _LOG_SQL, """
-x1 AS (SELECT run, epoch, valid_auc, max(valid_auc) OVER (PARTITION BY run ORDER BY epoch
+x1 AS (SELECT run, epoch, valid_auc, row_number() OVER (PARTITION BY run ORDER BY epoch) AS rn, max(valid_auc) OVER (PARTITION BY run ORDER BY epoch
      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM lg),
-x2 AS (SELECT *, max(CASE WHEN pb IS NULL OR valid_auc > pb THEN epoch END) OVER w AS li,
+x2 AS (SELECT *, max(CASE WHEN pb IS NULL OR valid_auc > pb THEN rn END) OVER w AS li,
      max(valid_auc) OVER w AS best FROM x1 WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING)),
-x3 AS (SELECT *, epoch - li AS cnt FROM x2),
+x3 AS (SELECT *, rn - li AS cnt FROM x2),
 f1 AS (SELECT run, min(epoch) AS fe FROM x3 WHERE cnt >= 5 GROUP BY run),
 fb AS (SELECT f1.run, f1.fe, x3.best AS fbst FROM f1 JOIN x3 ON x3.run = f1.run AND x3.epoch = f1.fe),
 e2 AS (SELECT x3.run, min(x3.epoch) AS se FROM x3 JOIN fb ON fb.run = x3.run WHERE x3.cnt >= 20 AND x3.epoch > fb.fe GROUP BY x3.run),
