@@ -290,3 +290,10 @@ def test_max_score_keeps_every_vector_that_can_win(seed):
             full = rows @ q
             want = np.lexsort((np.arange(n), -full))[:5]
             assert near[best].tolist() == want.tolist() and score[best].tolist() == full[want].tolist()
+
+
+def test_simhash_links_one_bit_apart_in_a_crowd(spark):
+    # 6 and 7 are one bit apart, but 2 is the smallest holder of point 6 and 5 of point 7
+    prints = [2, 5, 6, 7]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), bucket=1, max_bits=1).collect()}
+    assert got == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() == 1}

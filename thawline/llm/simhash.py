@@ -87,6 +87,8 @@ def links(prints: DataFrame, bucket: int = BUCKET, max_bits: int = MAX_BITS) ->
                         lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     balls = large.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
     heads = balls.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("held")).filter("held > 1").drop("held")
+    if max_bits < 2:  # holders of a point may be two bits apart: only a flip that is a fingerprint links
+        heads = large.select(F.col("fp").alias("point"), F.col("fp").alias("a"))
     stars = (balls.join(heads, "point").filter("a < fp").select("a", F.col("fp").alias("b"))
              .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return pairs.unionByName(stars).distinct()
