@@ -117,3 +117,41 @@ def test_early_stop_returns_the_best_epoch(spark):
     a = {r.node: r.vec for r in best.emb.collect()}
     b = {r.node: r.vec for r in same.emb.collect()}
     assert a.keys() == b.keys() and all(a[n] == pytest.approx(b[n], abs=1e-12) for n in a)
+
+
+def _small_model(spark, dim=3, scale=0.2):
+    pairs = spark.createDataFrame([(u, i, int((u + i) % 3 == 0)) for u in range(7) for i in range(6)], "uid long, iid long, label int")
+    return pairs, IF.Model(M.adjacency(pairs), M.hashed_embeddings(M.graph_nodes(pairs), dim, scale=scale), 1, dim)
+
+
+def test_a_fit_ends_by_the_valid_auc_or_raises(spark):
+    pairs, m = _small_model(spark)
+    m = IF.Model(m.edges, m.emb, 0, m.dim)
+    _, log = IF.fit_valid(m, pairs, pairs, patience=1, lr=4.0)
+    assert len(log) == IF.best_epoch(log) + 2
+    with pytest.raises(RuntimeError, match="ceiling"):
+        IF.fit_valid(m, pairs, pairs, patience=1, lr=4.0, max_epochs=1)
+    with pytest.raises(RuntimeError, match="no AUC"):
+        IF.fit_valid(m, pairs, pairs.where("label = 1"), patience=1, lr=4.0)
+
+
+def test_rounds_and_ensemble_fit_until_the_valid_auc_stops(spark):
+    from thawline.plans import iterate as C
+    pairs, _ = _small_model(spark)
+    syn = pairs.withColumn("row_id", F.col("uid") * 6 + F.col("iid")).where("uid < 3")
+    opts = C.IterOptions(rounds=1, dim=3, layers=0, patience=1)
+    rows = C.iterated_selection(pairs, pairs, {"valid_0": pairs}, syn, opts).collect()
+    assert [r.epochs for r in rows] == [rows[0].best_epoch + 2]
+    with pytest.raises(RuntimeError, match="ceiling"):
+        C.iterated_selection(pairs, pairs, {"valid_0": pairs}, syn, C.IterOptions(rounds=1, dim=3, layers=0, patience=1, max_epochs=1))
+    scores = syn.select(F.lit(1).alias("iter"), "row_id", (F.col("label") - 0.5).alias("score"))
+    rows = C.ensemble_inference(syn, scores, pairs, pairs, M.graph_nodes(pairs), {"valid_0": pairs}, opts).collect()
+    assert [r.epochs for r in rows] == [rows[0].best_epoch + 2]
+
+
+def test_a_neural_fit_that_does_not_settle_raises(spark):
+    pairs, m = _small_model(spark)
+    with pytest.raises(RuntimeError, match="not settled"):
+        M.fit_ncf(pairs, m.emb, hidden=4, max_iter=2)
+    model, _ = M.fit_ncf(pairs, m.emb, hidden=4)
+    assert model.summary().totalIterations > 2

@@ -601,6 +601,18 @@ def q_fit(spark, sf_dir):
     return s.select("uid", "iid", "label", r6("logit").alias("logit"), r6("prob").alias("prob"))
 
 
+@register("fit_early_events")
+def q_fit_early(spark, sf_dir):
+    """M9 in full: descent on the train split until the valid AUC has not
+    improved for 20 epochs, then valid logits and probabilities under the best
+    epoch; the number of epochs depends on the data, so rows-only check."""
+    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+    m, log = IF.fit_valid(IF.Model(adj, e0, LAYERS, DIM), tr, va, lr=FIT_LR)
+    s = M.score_pairs(va.select("uid", "iid", "label"), m.z(), with_sigmoid=True)
+    return s.select("uid", "iid", "label", r6("logit").alias("logit"), r6("prob").alias("prob"),
+                    F.lit(len(log)).alias("epochs"), F.lit(IF.best_epoch(log)).alias("best_epoch"))
+
+
 # ---------------------------------------------------------------- evaluation (E1-E6), metric logs
 from ..operators import metrics as E  # noqa: E402
 
@@ -1045,36 +1057,37 @@ def _iterated(spark, sf_dir):
         evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
         syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
         path = K.scratch_dir(spark, "influence_rounds")
-        _ROUNDS[key] = C.iterated_selection(tr, va, evals, syn, C.IterOptions(dim=4, layers=1, epochs=2), path), path
+        _ROUNDS[key] = C.iterated_selection(tr, va, evals, syn, C.IterOptions(dim=4, layers=1), path), path
     return _ROUNDS[key]
 
 
 @register("iterated_selection_orders")
 def q_iterated(spark, sf_dir):
     """Sixteen rounds (round 0 keeps all, each later one selects by the
-    influence under the last model), every solve to its tolerance, scores
-    written per round; iterative, so rows-only check."""
+    influence under the last model), every fit until the valid AUC stops
+    improving, every solve to its tolerance, scores written per round;
+    iterative, so rows-only check."""
     return _iterated(spark, sf_dir)[0]
 
 
 @register("ensemble_inference_orders")
 def q_ensemble(spark, sf_dir):
-    """Reads the scores that C5 wrote, cumulative fold, selection, one fit, report."""
+    """Reads the scores that C5 wrote, cumulative fold, selection, one fit ended by the valid AUC, report."""
     tr = shared.part(spark, sf_dir, "orders", "train").select("uid", "iid", "label")
     evals = {"valid_0": shared.part(spark, sf_dir, "orders", "valid"),
              "test_0": shared.part(spark, sf_dir, "orders", "test")}
     syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
     nodes = M.graph_nodes(tr, syn.select("uid", "iid"), *[e.select("uid", "iid") for e in evals.values()])
     scores = spark.read.parquet(_iterated(spark, sf_dir)[1]).select("iter", "row_id", "score")
-    return C.ensemble_inference(syn, scores, tr, nodes, evals, C.IterOptions(dim=4, layers=1, epochs=2))
+    return C.ensemble_inference(syn, scores, tr, evals["valid_0"], nodes, evals, C.IterOptions(dim=4, layers=1))
 
 
 @register("ncf_fit_events")
 def q_ncf_fit(spark, sf_dir):
     """M10 (re-aimed): MLlib perceptron on [user, item] vectors of the train
-    split, scored on valid; iterative fit, rows-only check."""
+    split, fitted to its tolerance, scored on valid; rows-only check."""
     tr, va, te, adj, e0 = _g_base(spark, sf_dir)
-    model, _ = M.fit_ncf(tr.select("uid", "iid", "label"), e0, hidden=16, max_iter=20)
+    model, _ = M.fit_ncf(tr.select("uid", "iid", "label"), e0, hidden=16)
     g = M.gather(va.select("uid", "iid", "label"), e0)
     from pyspark.ml.functions import array_to_vector, vector_to_array
     x = g.withColumn("features", array_to_vector(F.concat("zu", "zi")))
