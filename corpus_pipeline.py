@@ -7,13 +7,15 @@ written as Parquet and read again as the next one's documents; all but the last
 return the columns of ``documents``.
 
 Defined cases: null texts are empty texts; extra columns pass through
-unharmed whatever their names; rows that repeat an id and a text share their
-fate; an empty table gives an empty result.
+unharmed whatever their names; of each group of copies or near copies exactly
+one row stays, also where ids are null or repeated (smallest id, null ids last,
+then the smallest text hash, then the smallest row); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thawline.llm import exact_dedup, packing, pii, quality, simhash
@@ -31,18 +33,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("__row.*")
 
 
+def _one_each(docs: DataFrame, chosen: DataFrame, sha: Column) -> DataFrame:
+    """One row of ``docs`` for each row (doc_id, sha, held) of ``chosen``; where
+    ``held`` rows share id and ``sha``, the first in order of text and JSON."""
+    chosen = stored(chosen, "chosen")
+    rows = docs.select(F.struct("*").alias("__row"), sha.alias("__sha"))
+    same = F.expr("__row.doc_id <=> doc_id and __sha = sha")
+    out = rows.join(chosen.filter("held = 1"), same, "left_semi").select("__row")
+    many = chosen.filter("held > 1")
+    if not many.isEmpty():
+        repeats = rows.join(many, same, "left_semi")
+        # a ranked window: Spark applies its limit before the shuffle, so a hot group is one row per task
+        place = F.row_number().over(Window.partitionBy("__sha", "__row.doc_id").orderBy("__row.text", F.to_json("__row")))
+        out = out.unionByName(repeats.withColumn("__place", place).filter("__place = 1").select("__row"))
+    return out.select("__row.*")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256")
-    same = F.expr("__row.doc_id <=> doc_id and __sha = text_sha256")
-    rows = docs.select(F.struct("*").alias("__row"), F.sha2(squeezed(text_of("text")), 256).alias("__sha"))
-    return rows.join(kept, same, "left_semi").select("__row.*")
+    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.count("*").alias("held"))
+    return _one_each(docs, kept, F.sha2(squeezed(text_of("text")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its SimHash component."""
-    kept = simhash.simhash_dedup(docs).filter("doc_id <=> component_id").select("doc_id")
-    return docs.select(F.struct("*").alias("__row")).join(kept, F.expr("__row.doc_id <=> doc_id"), "left_semi").select("__row.*")
+    """The row with the smallest id of each SimHash component."""
+    return _one_each(docs, simhash.representatives(docs), F.sha2(text_of("text"), 256))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,23 @@ def test_awkward_documents_through_all_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, SF01), name.replace(" ", ""))
     assert empty.count() == 0
+
+
+LONG = " ".join(f"word{k}" for k in range(400))
+
+
+def test_one_copy_stays_with_null_and_repeated_ids(spark):
+    texts = ["same a", "same  a", "same a", "null only", "null only", "twice", "twice", "other"]
+    got = corpus_pipeline.drop_copies(spark, frame(spark, texts, [None, 4, 4, None, None, 7, 7, 7]), SF01).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, " ".join(r.text.split())) for r in got) == [
+        (False, 4, "same a"), (False, 7, "other"), (False, 7, "twice"), (True, 0, "null only")]
+
+
+def test_one_row_of_a_component_stays_with_null_and_repeated_ids(spark):
+    far, lone = " ".join(f"thing{k}" for k in range(400)), " ".join(f"lone{k}" for k in range(400))
+    # copies link as near copies do: 5 names the second component, and its other text is a copy of 1's;
+    # the null id of the first component is a copy too, the last component has null ids only
+    texts = [LONG, LONG.upper(), LONG, far, far.upper(), lone, lone.upper(), lone]
+    docs = frame(spark, texts, [1, 5, None, 5, 6, None, None, None])
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF01).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == sorted([(1, LONG), (5, far), (0, lone)])

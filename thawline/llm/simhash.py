@@ -122,6 +122,26 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
+def rooted(heads: DataFrame, bucket: int = BUCKET, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, head, root) of (fp, head), one row per fingerprint: root names the component."""
+    roots = components(links(heads.select("fp"), bucket, max_bits))
+    return heads.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, sha, held): one row per component, naming its row of ``docs`` by
+    id and SHA-256 of the text (smallest id, nulls last, then smallest SHA);
+    ``held`` rows of ``docs`` share both."""
+    small_batches(docs.sparkSession)
+    text = text_of(text_col)
+    prints = stored(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), fingerprint_udf(shingle)(text).alias("fp")), "simhash")
+    rows = prints.groupBy("fp", "doc_id", "sha").agg(F.count("*").alias("held"))
+    head = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha", "held")
+    named = rooted(stored(rows.groupBy("fp").agg(F.min(head).alias("head")), "heads"), bucket, max_bits)
+    return named.groupBy("root").agg(F.min("head").alias("head")).select("head.doc_id", "head.sha", "head.held")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``."""
@@ -130,8 +150,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(docs.sparkSession)
     prints = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(text_of(text_col)).alias("fp")), "simhash")
     heads = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    roots = components(links(heads.select("fp"), bucket, max_bits))
-    named = heads.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    named = rooted(heads, bucket, max_bits)
     names = named.groupBy("root").agg(F.min("head").alias("component_id"))
     of_print = stored(named.join(stored(names, "names"), "root").select("fp", "component_id"), "of-print")
     return prints.join(of_print, "fp").select(
