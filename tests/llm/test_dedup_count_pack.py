@@ -297,3 +297,14 @@ def test_simhash_links_one_bit_apart_in_a_crowd(spark):
     prints = [2, 5, 6, 7]
     got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), bucket=1, max_bits=1).collect()}
     assert got == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() == 1}
+
+
+def test_topk_scores_large_components_exactly_or_raises(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 0.0]), (1, [70000.0, 1.0]), (2, [90000.0, 1.0]), (3, [-80000.0, 2.0])]
+    got = topk.top_k(spark.createDataFrame(rows, schema), every=50, k=3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [
+        (2, 90000 * 256 * 256), (1, 70000 * 256 * 256), (3, -80000 * 256 * 256)]
+    for large in (1e15, 1e300):
+        with pytest.raises(Exception, match="too large"):
+            topk.top_k(spark.createDataFrame([*rows, (50, [large, 0.0]), (4, [large, 0.0])], schema), every=50, k=3).collect()

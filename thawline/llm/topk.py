@@ -25,7 +25,8 @@ shuffle.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part; a missing trailing component counts as zero;
-quantised components are held to +-2**24 so that sums stay whole; rows that
+a quantised component that no 64-bit integer holds, or a shard and block whose
+sums could leave 64 bits, is an error; rows that
 repeat a vec_id count one by one and a query skips all rows with its own
 id; a null vec_id takes no part; other columns are ignored.
 """
@@ -42,7 +43,6 @@ from .common import stored
 SHARD_ROWS = 8_192
 QUERY_ROWS = 1_024
 OUT = "query_id long, vec_id long, score long"
-HELD = 1 << 24
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -107,9 +107,13 @@ def _search(k: int):
         if not len(vectors) or not len(queries):
             return empty
         width = max(max(map(len, vectors["v"])), max(map(len, queries["v"])))
-        shard = Shard(vectors["vec_id"].to_numpy(), _matrix(vectors["v"], width))
+        rows, asked = _matrix(vectors["v"], width), _matrix(queries["v"], width)
+        most = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+        if most(rows) * most(asked) * width >= 1 << 63:
+            raise ValueError("top-k: the components are too large for exact scores of 64 bits")
+        shard = Shard(vectors["vec_id"].to_numpy(), rows)
         out = []
-        for own, query in zip(queries["vec_id"].to_numpy(), _matrix(queries["v"], width)):
+        for own, query in zip(queries["vec_id"].to_numpy(), asked):
             near, score = shard.best(query, own, k)
             best = np.lexsort((shard.ids[near], -score))[:k]
             out.append(pd.DataFrame({"query_id": own, "vec_id": shard.ids[near[best]], "score": score[best]}))
@@ -118,12 +122,14 @@ def _search(k: int):
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part; v is array<int>."""
+    """(vec_id, v) of the rows that take part; v is array<bigint>."""
     x = F.col(vector_col).cast("array<double>")
     fine = (F.col(id_col).isNotNull() & (F.size(x) > 0)
             & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
-    held = F.transform(x, lambda c: F.floor(F.least(F.greatest(c * 256.0, F.lit(float(-HELD))), F.lit(float(HELD)))).cast("int"))
-    return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), held.alias("v"))
+    fits = lambda c: F.abs(c * 256.0) < F.lit(float(1 << 63))
+    whole = F.transform(x, lambda c: F.when(fits(c), F.floor(c * 256.0)).otherwise(
+        F.raise_error(F.lit("top-k: a component is too large for 64 bits")).cast("long")))
+    return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
