@@ -41,3 +41,29 @@ def test_generation_properties(spark):
     c = candidates.generate(train, test, n=30, seed=1, version="v0")
     per = c.groupBy("iid").agg(F.count("*").alias("n"), F.countDistinct("uid").alias("u"))
     assert per.where((F.col("n") != 30) | (F.col("u") != 30)).count() == 0
+
+
+def test_closed_range_over_the_whole_item_table(spark):
+    import duckdb
+    import __spark_entry__ as E
+    from conftest import SF001
+    got = sorted(tuple(map(str, r)) for r in E.queries()["closed_range_events"](spark, SF001).select("uid", "iid", "env", "ts").collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF001}/events.parquet'")
+    assert got == sorted(tuple(map(str, r)) for r in con.sql(f"SELECT uid, iid, env, ts FROM ({E.oracle_sql()['closed_range_events']})").fetchall())
+
+
+def test_a_null_in_any_column_drops_the_row(spark, monkeypatch):
+    from thawline.plans import prep
+    cols = "uid long, iid long, rating double, ts timestamp_ntz, title string, title_idx string, publish_time date"
+    import datetime as dt
+    full = (1, 1, 5.0, dt.datetime(2024, 1, 20), "t", "t", dt.date(2000, 1, 1))
+    rows = [full] + [full[:k] + (None,) + full[k + 1:] for k in range(len(full))]
+    data = spark.createDataFrame(rows, cols)
+    seen = []
+    monkeypatch.setattr(prep.adapters, "interactions", lambda *a: data.select("uid", "iid", "rating", "ts").limit(1))
+    monkeypatch.setattr(prep.adapters, "items_for", lambda *a: data.select("iid", "title", "publish_time").limit(1))
+    monkeypatch.setattr(prep.cohorts, "join_items", lambda *a: data)
+    monkeypatch.setattr(prep.cohorts, "cold_titles", lambda d, p: seen.append(d.collect()) or data.select("title_idx").limit(0))
+    prep.cohort_rows(spark, "", "events", prep.PrepOptions(drop_incomplete=True))
+    assert [tuple(r) for r in seen[0]] == [full]

@@ -1283,3 +1283,14 @@ def q_train_files(spark, sf_dir):
         df = shared.part(spark, sf_dir, "events", part, num).select("uid", "iid", "label")
         path[part, num] = K.write_parquet(df, K.scratch_dir(spark, f"{part}{num}"), [])
     return R.read_train_files(spark, [path["train", 0]], [path["valid", 1], path["valid", 2]])
+
+
+# ---------------------------------------------------------------- whole-job forms beside the twins above
+@register("closed_range_events", O.with_(O.base_ctes("events"), O.cohort_ctes("events", eval_end="2024-01-27"))
+          + f"SELECT uid, iid, env, {O.ts_text('ts')} AS ts FROM cohort_events "
+            "WHERE title IS NOT NULL AND title_idx IS NOT NULL AND publish_time IS NOT NULL")
+def q_closed_range(spark, sf_dir):
+    """C1 with the closed end of the evaluation range and the drop of
+    incomplete rows over the whole item table."""
+    c = prep.cohort_rows(spark, sf_dir, "events", prep.PrepOptions(eval_end="2024-01-27", drop_incomplete=True))
+    return c.select("uid", "iid", "env", ts_text("ts").alias("ts"))
