@@ -56,4 +56,18 @@ SUFFIX_DEDUP = """
            sha256(unhex(rest)) AS kept_sha256
     FROM n JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
-ORACLE = {"op3_exact_dedup": EXACT_DEDUP, "op4_topk_search": TOP_K, "op7_secret_scan": secret_scan(), "op10_suffix_dedup": SUFFIX_DEDUP}
+DECONTAMINATE = r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS t
+           FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT m FROM iw),
+    dw AS (SELECT rid, m, i, array_to_string(w[i:i + m - 1], ' ') AS t FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+    h AS (SELECT rid, i, dw.m, item FROM dw JOIN iw ON dw.m = iw.m AND dw.t = iw.t),
+    hw AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + m)) AS p FROM h) GROUP BY rid),
+    hi AS (SELECT rid, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM h GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(hi.n, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, hw.n IS NOT NULL AS contaminated
+    FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)"""
+
+ORACLE = {"op11_decontaminate": DECONTAMINATE, "op3_exact_dedup": EXACT_DEDUP, "op4_topk_search": TOP_K, "op7_secret_scan": secret_scan(), "op10_suffix_dedup": SUFFIX_DEDUP}

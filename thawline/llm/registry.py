@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
+from . import byte_bpe, decontaminate, exact_dedup, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
 from .common import documents, shared_path
 from .oracle import ORACLE  # noqa: F401
 
@@ -57,6 +57,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("removed")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest", "items", "runs")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_topk_search, op5_pii, op6_quality_classifier,
-    op7_secret_scan, op8_simhash_dedup, op9_byte_bpe, op10_suffix_dedup)}
+    op7_secret_scan, op8_simhash_dedup, op9_byte_bpe, op10_suffix_dedup, op11_decontaminate)}
