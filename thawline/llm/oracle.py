@@ -70,4 +70,15 @@ DECONTAMINATE = r"""
            sha256(coalesce(ids, '')) AS items_sha256, hw.n IS NOT NULL AS contaminated
     FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)"""
 
-ORACLE = {"op11_decontaminate": DECONTAMINATE, "op3_exact_dedup": EXACT_DEDUP, "op4_topk_search": TOP_K, "op7_secret_scan": secret_scan(), "op10_suffix_dedup": SUFFIX_DEDUP}
+HARD_NEGATIVES = """
+    WITH t AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+          FROM t a JOIN t b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+    n AS (SELECT p.a, p.b, p.score AS ps, s.b AS negative, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+          FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3"""
+
+ORACLE = {"op13_hard_negatives": HARD_NEGATIVES, "op11_decontaminate": DECONTAMINATE, "op3_exact_dedup": EXACT_DEDUP, "op4_topk_search": TOP_K, "op7_secret_scan": secret_scan(), "op10_suffix_dedup": SUFFIX_DEDUP}
