@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
+from . import byte_bpe, conversations, decontaminate, exact_dedup, hard_negatives, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
 from .common import documents, shared_path
 from .oracle import ORACLE  # noqa: F401
 
@@ -61,6 +61,10 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest", "items", "runs")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), copies="copies")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -68,4 +72,4 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_topk_search, op5_pii, op6_quality_classifier,
     op7_secret_scan, op8_simhash_dedup, op9_byte_bpe, op10_suffix_dedup, op11_decontaminate,
-    op13_hard_negatives)}
+    op12_conversation_repair, op13_hard_negatives)}
