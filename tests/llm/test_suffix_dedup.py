@@ -49,7 +49,7 @@ def planted(rng, n, shared, length=160, alphabet="abc"):
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"group": 1}, {"group": 3}, {"broadcast_rows": 0, "chunk": 100, "block_rows": 10}])
+@pytest.mark.parametrize("limits", [{}, {"group": 1}, {"group": 3}, {"chunk": 100, "block_rows": 10}, {"chunk": 45, "group": 3}])
 def test_repeats_of_every_kind(spark, limits):
     rng = random.Random(11)
     texts = planted(rng, 120, 4) + ["", None, "x" * 300, "ab" * 200, "é" * 90, "short"]
@@ -79,6 +79,59 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def colliding_pair(rng):
+    """Two different texts of 400 bytes with equal polynomial hashes: signs s with sum(s[i] * BASE**i) = 0 modulo 2**64, by pairwise matching of eight lists."""
+    power = suffix_sort.powers(suffix_sort.BASE, 400)
+    lists = []
+    for k in range(8):
+        signs = rng.integers(-1, 2, size=(1 << 17, 25), dtype=np.int64)
+        at = 200 + 25 * k
+        lists.append((signs.view(np.uint64) @ power[at:at + 25], [signs]))
+
+    def joined(a, b, bits, shift):
+        low = lambda x: (x >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        order = np.argsort(low(b[0]), kind="stable")
+        keys, want = low(b[0])[order], (np.uint64(0) - low(a[0])) & np.uint64((1 << bits) - 1)
+        first = np.searchsorted(keys, want)
+        found = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == want)
+        other = order[first[found]]
+        return a[0][found] + b[0][other], [x[found] for x in a[1]] + [x[other] for x in b[1]]
+    for bits, shift in ((16, 0), (16, 16), (32, 32)):
+        lists = [joined(a, b, bits, shift) for a, b in zip(lists[::2], lists[1::2])]
+    total, signs = lists[0]
+    s = next(r for r in np.concatenate(signs, axis=1)[total == 0] if r.any())
+    head = bytes(rng.integers(97, 123, size=200, dtype=np.uint8))
+    return head + bytes(np.where(s > 0, 98, 97).astype(np.uint8)), head + bytes(np.where(s < 0, 98, 97).astype(np.uint8))
+
+
+def test_texts_whose_hashes_collide_are_not_repeats(spark):
+    one, two = colliding_pair(np.random.default_rng(1))
+    sums = [suffix_sort.Hashes(np.frombuffer(t, dtype=np.uint8)).sums[-1] for t in (one, two)]
+    assert one != two and sums[0] == sums[1]
+    texts = [one.decode(), two.decode(), two.decode() + one.decode()]
+    assert got(suffix_dedup.suffix_dedup(frame(spark, texts[:2]))) == brute(texts[:2], 400)
+    assert got(suffix_dedup.suffix_dedup(frame(spark, texts))) == brute(texts, 400)
+
+
+def test_long_text_in_stretches(spark):
+    """Texts over one stretch, with repeats over its edge; 400-byte windows."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(1500)
+    long = noise((1 << 20) - 700) + passage + noise(300_000) + passage[200:900] + noise(50)
+    texts = [long, noise(100) + passage[:450] + noise(100), noise(20) + passage[900:] + "é" * 300, "x" * 5000]
+    assert got(suffix_dedup.suffix_dedup(frame(spark, texts))) == brute(texts, 400)
+
+
+def test_many_runs_in_one_text(spark):
+    """Thousands of removed runs of one text: the merge is a sort, not a growing list."""
+    rng = random.Random(10)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    part = noise(40)
+    text = "".join(part + noise(60) for _ in range(3000))
+    assert got(suffix_dedup.suffix_dedup(frame(spark, [text]), span=40)) == brute([text], 40)
+
+
 def test_table(spark):
     texts = texts_of(spark, SF01)
     assert got(registry.op10_suffix_dedup(spark, SF01)) == brute([texts[i] for i in sorted(texts)], 400)

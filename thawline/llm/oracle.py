@@ -51,9 +51,9 @@ SUFFIX_DEDUP = """
     k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM u
           UNION ALL SELECT n.doc_id, coalesce(max(u.b), 0) AS a, any_value(n.size) AS b FROM n LEFT JOIN u USING (doc_id) GROUP BY n.doc_id),
     kept AS (SELECT doc_id, string_agg(substr(body, 2 * k.a + 1, 2 * (k.b - k.a)), '' ORDER BY k.a, k.b) AS rest FROM k JOIN n USING (doc_id) GROUP BY doc_id),
-    gone AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS runs FROM u GROUP BY doc_id)
+    gone AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS runs, string_agg(a || ':' || b, ',' ORDER BY a) AS places FROM u GROUP BY doc_id)
     SELECT n.doc_id, n.size AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
-           sha256(unhex(rest)) AS kept_sha256
+           sha256(unhex(rest)) AS kept_sha256, coalesce(places, '') AS removed
     FROM n JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
 
 DECONTAMINATE = r"""

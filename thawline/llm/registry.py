@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, conversations, decontaminate, exact_dedup, hard_negatives, packing, pii, quality, secrets, simhash, suffix_dedup, token_counts, topk
 from .common import documents, shared_path
@@ -54,7 +55,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("removed")
+    out = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    runs = F.transform("removed", lambda r: F.concat_ws(":", r["from"], r["to"]))
+    return out.withColumn("removed", F.array_join(runs, ","))
 
 
 def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ times; here only suffixes that can have a partner are sorted:
 1. Anchors. Of the 201 200-byte strings in every 400-byte window the one
    with the smallest hash is an anchor. Equal windows have equal anchors at
    equal places, so each repeated window holds an anchor whose hash occurs
-   twice. An anchor row carries a second hash of its context: up to 200 bytes
+   twice. An anchor row carries a digest of its context: up to 200 bytes
    before it and 400 from it.
 2. Anchors with a hash that occurs once leave. A context that occurs twice
    under the same anchor is repeated as a whole; its rows need no text.
+   Contexts are compared by 128 bits of their SHA-256, which no two different
+   ones are known to share, not by the polynomial hashes.
 3. What is left are contexts that occur once beside others with the same
    anchor: the ends of repeated regions. One row per distinct context fetches
    its bytes, and blocks of anchors go to tasks. A task merge-sorts the
@@ -20,28 +22,29 @@ times; here only suffixes that can have a partner are sorted:
    hashes which share the part before it. The farthest repeated windows to
    either side bound the bytes that repeat around the anchor.
 4. Anchors with over ``GROUP`` such contexts never meet in a task: their
-   windows are counted by a partial aggregate over a digest of their bytes.
+   windows are counted by a partial aggregate over the SHA-256 of their bytes.
 
-Equal contexts are recognised by two independent 64-bit hashes together
-(the anchor's and the context's); everything decided in step 3 is verified
-on the bytes.
+Polynomial hashes only propose: equal ones that differ in their bytes cost work,
+never a byte. Everything decided in step 3 is verified on the bytes.
 
 Defined cases: null text is empty; texts under 400 bytes lose nothing; rows
 that repeat a doc_id stand for themselves, so two rows with the same text
-of 400 bytes or more lose all of it; null ids stay; other columns are ignored.
+of 400 bytes or more lose all of it; null ids stay; an empty table gives an empty
+result; other columns are ignored; long texts are read in stretches of ``CHUNK`` bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_of
+from .common import discard, small_batches, stored, text_of
 from .suffix_sort import Hashes, sorted_suffixes
 
 SPAN = 400
@@ -49,9 +52,7 @@ GROUP = 20_000
 BLOCK_ROWS = 12_000
 #: Bytes hashed at once in a task; longer texts go piece by piece.
 CHUNK = 1 << 20
-#: Anchor hashes that may be broadcast (eight bytes each); beyond it their join shuffles.
-BROADCAST_ROWS = 3_000_000
-ANCHORS = "doc_id long, digest long, pos int, lf int, rt int, h long, c long"
+ANCHORS = "doc_id long, digest long, pos int, lf int, rt int, h long, c long, d long"
 
 
 def _sliding(values: np.ndarray, width: int, pick, neutral) -> np.ndarray:
@@ -65,6 +66,12 @@ def _sliding(values: np.ndarray, width: int, pick, neutral) -> np.ndarray:
     return pick(back[:n], ahead[width - 1:width - 1 + n])
 
 
+def _digest(context: memoryview, left: int) -> bytes:
+    out = sha256(context)
+    out.update(b"%d" % left)
+    return out.digest()[:16]
+
+
 class Finder:
     """Anchors of texts laid end to end."""
 
@@ -75,9 +82,9 @@ class Finder:
     def __call__(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray):
         """Anchors in [begin, end) of pieces data[lo:hi] whose windows start in [first, last).
 
-        Returns (piece, place, left, right, gram hash, context hash)."""
+        Returns (piece, place, left, right, gram hash, two halves of the context's digest)."""
         n, window, gram = len(data), self.window, self.gram
-        one, two = Hashes(data), Hashes(data, salt=1)
+        one = Hashes(data)
         h = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
         if n >= gram:
             g = (one.sums[gram:] - one.sums[:-gram]) * one.inverse[:n - gram + 1]
@@ -97,9 +104,11 @@ class Finder:
         at, piece = at[own], piece[own]
         left = np.minimum(at - lo[piece], self.span - gram)
         right = np.minimum(hi[piece] - at, self.span)
-        c = two.of(at - left, left + right)
-        c = (c ^ (c >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64)
-        return piece, at, left, right, h[at], c
+        raw = memoryview(data)
+        # the place in the context belongs to it
+        digests = b"".join(_digest(raw[a - b:a + c], b) for a, b, c in zip(at.tolist(), left.tolist(), right.tolist()))
+        c = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+        return piece, at, left, right, h[at], c[:, 0], c[:, 1]
 
 
 def _pieces(lengths: np.ndarray, span: int, chunk: int) -> Iterator[list[tuple]]:
@@ -136,12 +145,12 @@ def _find(span: int, chunk: int):
                 size = hi - lo
                 base = np.concatenate([[0], np.cumsum(size)])[:-1]
                 joined = np.concatenate([data[offsets[r] + a:offsets[r] + b] for r, a, b in zip(row, lo, hi)])
-                piece, at, left, right, h, c = finder(joined, base, base + size, *(base + x - lo for x in (w0, w1, a0, a1)))
+                piece, at, left, right, h, c, d = finder(joined, base, base + size, *(base + x - lo for x in (w0, w1, a0, a1)))
                 take = pa.array(row[piece])
                 yield pa.RecordBatch.from_arrays([
                     ids.take(take), digests.take(take), pa.array((at - base[piece] + lo[piece]).astype(np.int32)), pa.array(left.astype(np.int32)),
-                    pa.array(right.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))],
-                    names=["doc_id", "digest", "pos", "lf", "rt", "h", "c"])
+                    pa.array(right.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(c)), pa.array(np.ascontiguousarray(d))],
+                    names=["doc_id", "digest", "pos", "lf", "rt", "h", "c", "d"])
     return run
 
 
@@ -220,31 +229,38 @@ def _slowly(bodies, lf, h, k, left, right, found, span) -> None:
     found[k] = right[k] > 0
 
 
-def _same(a: str, b: str) -> Column:
-    return F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.digest = {b}.digest")
+def _stretches(rows: DataFrame, chunk: int, margin: int) -> DataFrame:
+    """(id, known, digest, stretch, low, bytes): each text in overlapping stretches of ``chunk`` bytes."""
+    body = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "digest", F.col("body").cast("binary").alias("bytes"))
+    last = F.greatest(F.lit(0), (F.octet_length("bytes") - 1)) / chunk
+    cut = body.select("*", F.explode(F.sequence(F.lit(0), F.floor(last).cast("int"))).alias("stretch"))
+    low = F.greatest(F.lit(0), F.col("stretch") * chunk - margin)
+    return cut.select("id", "known", "digest", "stretch", low.alias("low"),
+                      F.when(F.octet_length("bytes") <= chunk, F.col("bytes")).otherwise(F.substring("bytes", low + 1, F.lit(chunk + 2 * margin))).alias("bytes"))
 
 
-def repeated_intervals(rows: DataFrame, span: int = SPAN, group: int = GROUP, chunk: int = CHUNK,
-                       block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def repeated_intervals(rows: DataFrame, span: int = SPAN, group: int = GROUP, chunk: int = CHUNK, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, digest, from, to): byte intervals of (doc_id, digest, body) whose union is what repeats."""
     found = stored(anchors(rows, span, chunk), "anchors")
     twice = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors-twice")
-    held = stored(found.join(F.broadcast(twice) if twice.count() <= broadcast_rows else twice, "h", "left_semi"), "anchors-held")
+    held = stored(found.join(twice, "h", "left_semi"), "anchors-held")
+    discard(found)
     one = F.min(F.struct("doc_id", "digest", "pos", "lf", "rt"))
-    kinds = stored(held.groupBy("h", "c").agg(F.count("*").alias("n"), one.alias("one")), "contexts")
-    whole = kinds.filter(F.expr(f"n > 1 and one.lf + one.rt >= {span}")).select("h", "c")
-    done = held.join(whole, ["h", "c"], "left_semi").select(
+    kinds = stored(held.groupBy("h", "c", "d").agg(F.count("*").alias("n"), one.alias("one")), "contexts")
+    whole = kinds.filter(F.expr(f"n > 1 and one.lf + one.rt >= {span}")).select("h", "c", "d")
+    done = held.join(whole, ["h", "c", "d"], "left_semi").select(
         "doc_id", "digest", (F.col("pos") - F.col("lf")).cast("long").alias("from"), (F.col("pos") + F.col("rt")).cast("long").alias("to"))
     mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("h", "kinds"), "mixed")
-    open_ = stored(kinds.join(mixed, "h").select("h", "c", "n", "kinds", "one.*"), "open")
+    opened = kinds.join(mixed, "h").select("h", "n", "kinds", F.coalesce("one.doc_id", F.lit(0)).alias("id"), F.col("one.doc_id").isNotNull().alias("known"),
+                                           "one.digest", "one.pos", "one.lf", "one.rt", F.floor(F.col("one.pos") / chunk).cast("int").alias("stretch"))
+    open_ = stored(opened, "open")
     open_count = open_.count()
-    wanted = open_.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("h", "n", "kinds", "pos", "lf", "rt")).alias("places"))
-    cut = F.transform("places", lambda p: F.struct(p["h"].alias("h"), p["n"].alias("n"), p["kinds"].alias("kinds"), p["pos"].alias("pos"), p["lf"].alias("lf"),
-                                                   p["rt"].alias("rt"), F.substring(F.col("bytes"), p["pos"] - p["lf"] + 1, p["lf"] + p["rt"]).alias("body")))
-    texts = (rows.select("doc_id", "digest", F.col("body").cast("binary").alias("bytes")).alias("r")
-             .join(wanted.alias("w"), _same("r", "w")))
-    fetched = stored(texts.select("r.doc_id", "r.digest", F.explode(cut).alias("p")).select(
-        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "digest", "p.*"), "context-bytes")
+    # one text per id and digest, the stretches that are asked for; then each place takes its own bytes
+    key = ["id", "known", "digest", "stretch"]
+    asked = _stretches(rows, chunk, span).join(open_.select(*key).distinct(), key, "left_semi")
+    texts = asked.groupBy(*key).agg(F.first(F.struct("low", "bytes")).alias("text"))
+    body = F.substring(F.col("text.bytes"), F.col("pos") - F.col("lf") - F.col("text.low") + 1, F.col("lf") + F.col("rt"))
+    fetched = stored(open_.join(texts, key).select(F.col("id").alias("doc_id"), "known", "digest", "h", "n", "kinds", "pos", "lf", "rt", body.alias("body")), "context-bytes")
     few = fetched.filter(F.col("kinds") <= group)
     blocks = max(1, -(-open_count // block_rows))
     ends = (few.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"))
@@ -252,7 +268,7 @@ def repeated_intervals(rows: DataFrame, span: int = SPAN, group: int = GROUP, ch
     crowd = fetched.filter(F.col("kinds") > group)
     reach = F.sequence(F.greatest(F.lit(0), F.lit(span) - F.col("rt")), F.col("lf"))
     windows = (crowd.filter(F.col("lf") + F.col("rt") >= span).select("*", F.explode(reach).alias("o"))
-               .select(F.expr("if(known, doc_id, null)").alias("doc_id"), "digest", "pos", "n", "h", "o", F.md5(F.substring("body", F.col("lf") - F.col("o") + 1, F.lit(span))).alias("m")).distinct())
+               .select(F.expr("if(known, doc_id, null)").alias("doc_id"), "digest", "pos", "n", "h", "o", F.unhex(F.sha2(F.substring("body", F.col("lf") - F.col("o") + 1, F.lit(span)), 256)).alias("m")).distinct())
     classes = stored(windows.groupBy("h", "o", "m").agg(F.sum("n").alias("all")).filter("`all` > 1").drop("all"), "window-classes")
     wide = (windows.filter("n = 1").join(classes, ["h", "o", "m"]).groupBy("doc_id", "digest", "pos")
             .agg(F.max("o").alias("most"), F.min("o").alias("least"))
@@ -260,17 +276,18 @@ def repeated_intervals(rows: DataFrame, span: int = SPAN, group: int = GROUP, ch
     return done.unionByName(ends).unionByName(wide)
 
 
-def _merged(intervals: Column) -> Column:
-    """Sorted (from, to) structs as maximal runs."""
-    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+def _merged(intervals: DataFrame) -> DataFrame:
+    """(doc_id, digest, runs): the intervals of each text as maximal runs."""
+    before = Window.partitionBy("doc_id", "digest").orderBy("from", "to")
+    reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = intervals.withColumn("fresh", F.when(F.col("from") <= reach, 0).otherwise(1))
+    runs = (fresh.withColumn("run", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("doc_id", "digest", "run").agg(F.min("from").alias("from"), F.max("to").alias("to")))
+    return runs.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
-    def step(runs, x):
-        last = F.element_at(runs, -1)
-        grown = F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))
-        joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(grown))
-        apart = F.concat(runs, F.array(F.struct(x["from"].alias("from"), x["to"].alias("to"))))
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["to"] >= x["from"]), joined).otherwise(apart)
-    return F.aggregate(intervals, none, step)
+
+def _same(a: str, b: str) -> Column:
+    return F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.digest = {b}.digest")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **limits) -> DataFrame:
@@ -279,8 +296,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("body"))
     found = stored(repeated_intervals(rows, span, **limits), "repeated")
-    runs = stored(found.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("all"))
-                  .select("doc_id", "digest", _merged(F.col("all")).alias("runs")), "runs")
+    runs = stored(_merged(found), "runs")
     joined = (rows.select("doc_id", "digest", F.col("body").cast("binary").alias("bytes")).alias("r")
               .join(runs.alias("s"), _same("r", "s"), "left")
               .select("r.doc_id", "r.bytes", F.coalesce("s.runs", F.array().cast("array<struct<from:bigint,to:bigint>>")).alias("runs")))
