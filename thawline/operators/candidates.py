@@ -73,17 +73,17 @@ def generate(train: DataFrame, test: DataFrame, n: int = 80, seed: int = 2000,
     if fresh:
         p = cubing_prime(u_count)
         draw = lambda letter: F.floor(hash_unit(seed, F.lit(version), F.lit(letter), "iid") * F.lit(p)).cast("long") % p
-        y = (F.col("_j") + F.col("_b")) % p
-        number = (F.greatest(F.col("_a"), F.lit(1)) * ((y * y % p) * y % p) + F.col("_c")) % p
+
+        def number(j):
+            y = (j + F.col("_b")) % p
+            return (F.greatest(F.col("_a"), F.lit(1)) * ((y * y % p) * y % p) + F.col("_c")) % p
         drawn = [draw("a").alias("_a"), draw("b").alias("_b"), draw("c").alias("_c")]
     else:
-        p, number, drawn = u_count, F.col("_j"), []
-    slots = items.select("iid", "title", "_ipos", *drawn,
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1 + p - u_count).cast("long"))).alias("_j"))
-    slots = slots.select("iid", "title", "_ipos", "_j", number.alias("_r")).where(F.col("_r") < u_count)
-    # the first n numbers of an item's walk (a window over at most n + p - U rows)
-    walk = Window.partitionBy("iid").orderBy("_j")
-    slots = slots.withColumn("_k", F.row_number().over(walk)).where(F.col("_k") <= n).drop("_j", "_k")
+        p, number, drawn = u_count, lambda j: j, []
+    # the walk is arithmetic on one row per item: no shuffle before the equi-join
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1 + p - u_count).cast("long")), number)
+    slots = (items.select("iid", "title", "_ipos", *drawn)
+             .select("iid", "title", "_ipos", F.explode(F.slice(F.filter(steps, lambda r: r < u_count), 1, n)).alias("_r")))
     # row_id = dense rank of (iid, uid): every item has exactly n users, so it
     # is item position * n + the user's rank inside the item (a window over a
     # group of exactly n rows; no global sort). Numbered on narrow rows first,

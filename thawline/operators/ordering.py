@@ -119,6 +119,59 @@ def position_quantile(df: DataFrame, value: str, q: float) -> float | None:
     return float(ends["lo"] + ends["part"] * (ends["hi"] - ends["lo"]))
 
 
+BINS = 4096  # of one refinement pass; so many rows reach the driver
+
+
+def nth_largest(df: DataFrame, value: str, x: int, tie: str | None = None):
+    """(v, t): the x largest rows of ``df`` by (value, tie) are those with a
+    larger value than v, or v itself and a tie of at least t; None, None when
+    there are no more than x rows. The values must be finite and not null.
+
+    Selection by histograms: each pass counts the open interval in ``BINS`` bins
+    and goes on in the bin that holds the x-th row, so no row moves or is sorted.
+    ``t`` is None when every row with value v belongs to the x (or without ``tie``)."""
+    ends = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if ends["n"] <= x:
+        return None, None
+    lo, hi, want, v = ends["lo"], ends["hi"], x, F.col(value)
+    while lo < hi:
+        inside, width = df.filter((v >= F.lit(lo)) & (v <= F.lit(hi))), (float(hi) - float(lo)) / BINS
+        if width == 0.0:
+            lo, hi, want = _split_values(inside, value, want)
+            break
+        # the ends fall into different bins, so every pass leaves less
+        place = F.least(F.floor((v.cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(BINS - 1))
+        bins = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
+        for b in sorted(bins, key=lambda b: -b["bin"]):
+            if want <= b["n"]:
+                break
+            want -= b["n"]
+        if len(bins) == 1:  # doubles that the bins cannot tell apart
+            lo, hi, want = _split_values(inside, value, want)
+        elif want == b["n"]:
+            return b["lo"], None
+        else:
+            lo, hi = b["lo"], b["hi"]
+    held = df.filter(v == F.lit(lo))
+    return lo, nth_largest(held, tie, want)[0] if tie else None
+
+
+def _split_values(df: DataFrame, value: str, want: int):
+    """The value of the want-th largest row where values are neighbours: counted one by one."""
+    for r in df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc(value)).toLocalIterator():
+        if want <= r["n"]:
+            return r[value], r[value], want
+        want -= r["n"]
+    raise AssertionError
+
+
+def among_largest(value, tie, v, t):
+    """Condition of ``nth_largest``'s rows; without a threshold every row holds it."""
+    if v is None:
+        return F.lit(True)
+    return (value > F.lit(v)) | ((value == F.lit(v)) & (F.lit(True) if t is None else tie >= F.lit(t)))
+
+
 def top_rows(df: DataFrame, order: list[str], x: int) -> DataFrame:
     """The first ``x`` rows of ``df`` in ``order`` (a total order), exact, by
     range positions: no task sees more than its range."""

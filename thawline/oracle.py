@@ -61,15 +61,13 @@ items_{name} AS (SELECT i.*, t.title_idx FROM items0_{name} i JOIN
     FROM (SELECT DISTINCT title FROM items0_{name})) t USING (title))"""
 
 
-def cohort_ctes(name: str, fake_cold: str | None = None, env: str | None = None, eval_end: str | None = None,
-                item_filter: str | None = None) -> str:
+def cohort_ctes(name: str, fake_cold: str | None = None, env: str | None = None, eval_end: str | None = None) -> str:
     """... -> cohort_<name>(uid, iid, rating, ts, title, title_idx, publish_time, env)."""
     p = profile(name)
     pub = "min(publish_time)" if p.publish_rule == "min" else "max(publish_time)"
     end = eval_end or p.eval_end
     ev_end = f" AND ts <= TIMESTAMP '{end}'" if end else ""
-    # items without metadata: their rows are incomplete and go
-    join = f"JOIN (SELECT * FROM items_{name} WHERE {item_filter}) i USING (iid)" if item_filter else f"LEFT JOIN items_{name} i USING (iid)"
+    join = f"LEFT JOIN items_{name} i USING (iid)"
     default_env = f"""env_{name} AS (SELECT * FROM (SELECT j.*, CASE
      WHEN c.title_idx IS NOT NULL AND ts >= TIMESTAMP '{p.eval_start}'{ev_end} THEN 3
      WHEN c.title_idx IS NULL AND ts >= TIMESTAMP '{p.train_start}' AND ts < TIMESTAMP '{p.eval_start}' THEN 0

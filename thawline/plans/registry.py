@@ -3,11 +3,14 @@ DuckDB twins. Output columns are aliased identically on both sides."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import oracle as O
-from ..functions.exprs import arr_text, r6, ts_text
+from ..functions.exprs import arr_text, r6, sigmoid, ts_text
 from . import prep
 
 QUERIES: dict = {}
@@ -1045,59 +1048,96 @@ def q_metric_stream(spark, sf_dir):
 from . import iterate as C  # noqa: E402
 
 
-_ROUNDS: dict = {}
+ITER = C.IterOptions(dim=8, layers=2)
 
 
 def _iterated(spark, sf_dir):
-    """(report, folder of the rounds' scores) of one run of C5."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ROUNDS:
-        tr = shared.part(spark, sf_dir, "orders", "train")
-        va = shared.part(spark, sf_dir, "orders", "valid")
-        evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
-        syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
-        path = K.scratch_dir(spark, "influence_rounds")
-        _ROUNDS[key] = C.iterated_selection(tr, va, evals, syn, C.IterOptions(dim=4, layers=1), path), path
-    return _ROUNDS[key]
+    """(report, folder of the rounds) of C5. The folder is named by the data and the
+    options, so a run that was ended goes on where it stopped."""
+    from ..session import ensure_checkpoint_dir
+    key = hashlib.md5(repr((shared.stamp(spark, sf_dir), ITER)).encode()).hexdigest()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rounds/{key}"
+    tr = shared.part(spark, sf_dir, "orders", "train")
+    va = shared.part(spark, sf_dir, "orders", "valid")
+    evals = {"valid_0": va, "test_0": shared.part(spark, sf_dir, "orders", "test")}
+    syn = _labelled_synthetic(spark, sf_dir)
+    return shared.memo(spark, ("iterated", sf_dir, key), lambda: C.iterated_selection(tr, va, evals, syn, ITER, path)), path
+
+
+def _labelled_synthetic(spark, sf_dir):
+    tr = shared.part(spark, sf_dir, "orders", "train")
+    return shared.memo(spark, ("labelled_synthetic", sf_dir), lambda: C.labelled_synthetic(scored(spark, sf_dir), tr))
 
 
 @register("iterated_selection_orders")
 def q_iterated(spark, sf_dir):
     """Sixteen rounds (round 0 keeps all, each later one selects by the
-    influence under the last model), every fit until the valid AUC stops
-    improving, every solve to its tolerance, scores written per round;
+    influence under the last model), every fit from the last round's vectors until the
+    valid AUC stops improving, every solve to its tolerance, every round committed;
     iterative, so rows-only check."""
     return _iterated(spark, sf_dir)[0]
 
 
 @register("ensemble_inference_orders")
 def q_ensemble(spark, sf_dir):
-    """Reads the scores that C5 wrote, cumulative fold, selection, one fit ended by the valid AUC, report."""
+    """Reads the committed scores of C5's rounds, cumulative fold, selection, one fit ended by the valid AUC, report."""
     tr = shared.part(spark, sf_dir, "orders", "train").select("uid", "iid", "label")
     evals = {"valid_0": shared.part(spark, sf_dir, "orders", "valid"),
              "test_0": shared.part(spark, sf_dir, "orders", "test")}
-    syn = C.labelled_synthetic(scored(spark, sf_dir), tr)
+    syn = _labelled_synthetic(spark, sf_dir)
     nodes = M.graph_nodes(tr, syn.select("uid", "iid"), *[e.select("uid", "iid") for e in evals.values()])
-    scores = spark.read.parquet(_iterated(spark, sf_dir)[1]).select("iter", "row_id", "score")
-    return C.ensemble_inference(syn, scores, tr, evals["valid_0"], nodes, evals, C.IterOptions(dim=4, layers=1))
+    scores = C.Rounds(spark, _iterated(spark, sf_dir)[1]).all("scores", ITER.rounds).select("iter", "row_id", "score")
+    return C.ensemble_inference(syn, scores, tr, evals["valid_0"], nodes, evals, ITER)
+
+
+from ..operators import strata as S, topitems  # noqa: E402
+
+NCF = S.FitOptions(dim=16, hidden=16, lr=0.01, batch=1024)
+FACTORS = S.FitOptions(dim=16, lr=0.02, batch=1024)
+
+
+def _strata_fit(spark, sf_dir, options):
+    """Valid rows scored by a model that was fitted on the train rows, with the log's ends."""
+    tr, va = (shared.part(spark, sf_dir, "events", p).select("uid", "iid", "label") for p in ("train", "valid"))
+    model = S.fit(tr, va, options)
+    top = max((v, -k) for k, v in model.log if v is not None)
+    return S.scored(model, va).select("uid", "iid", "label", r6("logit").alias("logit"), r6(sigmoid("logit")).alias("prob"),
+                                      F.lit(len(model.log)).alias("passes"), F.lit(-top[1]).alias("best_pass"), F.lit(round(top[0], 6)).alias("valid_auc"))
 
 
 @register("ncf_fit_events")
 def q_ncf_fit(spark, sf_dir):
-    """M10 (re-aimed): MLlib perceptron on [user, item] vectors of the train
-    split, fitted to its tolerance, scored on valid; rows-only check."""
-    tr, va, te, adj, e0 = _g_base(spark, sf_dir)
-    model, _ = M.fit_ncf(tr.select("uid", "iid", "label"), e0, hidden=16)
-    g = M.gather(va.select("uid", "iid", "label"), e0)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    x = g.withColumn("features", array_to_vector(F.concat("zu", "zi")))
-    return model.transform(x).select("uid", "iid", "label", vector_to_array("probability")[1].alias("prob"))
+    """The neural scorer with trained user and item embeddings, mini-batch
+    Adam over strata until the valid AUC stops improving; rows-only check."""
+    return _strata_fit(spark, sf_dir, NCF)
+
+
+@register("fit_strata_events")
+def q_fit_strata(spark, sf_dir):
+    """M9 in mini-batches: embeddings of the dot-product model, Adam over strata
+    until the valid AUC stops improving; rows-only check."""
+    return _strata_fit(spark, sf_dir, FACTORS)
+
 
+TOP_ITEMS = 10
 
-def _hvp_sql(pairs: str, damp: float = 0.01, v: str = "vv", out: str = "hv") -> str:
-    """M12 restated: D = P v; per-row h and c; scatter; P; + damp v."""
-    uvec = ", ".join(f"h * zi{k} + c * di{k} AS v{k}" for k in range(DIM))
-    ivec = ", ".join(f"h * zu{k} + c * du{k} AS v{k}" for k in range(DIM))
+
+@register("top_items_events", O.with_(*_g_sql_base()) + f"""SELECT uid, CAST(rank AS INTEGER) AS rank, iid, round(score, 9) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, iid) AS rank FROM (
+    SELECT u.node // 2 AS uid, i.node // 2 AS iid, {O.dot_sql('u.v', 'i.v', DIM)} AS score FROM z u JOIN z i ON u.node % 2 = 0 AND i.node % 2 = 1)) WHERE rank <= {TOP_ITEMS}""")
+def q_top_items(spark, sf_dir):
+    """M5: the ten best items of every user under the propagated vectors, by blocks of falling norm."""
+    z = _z(spark, sf_dir)
+    users = z.filter("node % 2 = 0").select(F.expr("node div 2").alias("uid"))
+    items = z.filter("node % 2 = 1").select(F.expr("node div 2").alias("iid"))
+    return topitems.top_items(users, items, z, TOP_ITEMS).select("uid", "rank", "iid", F.round("score", 9).alias("score"))
+
+
+def _hvp_sql(pairs: str, damp: float = 0.01, v: str = "vv", out: str = "hv", gauss_newton: bool = False) -> str:
+    """M12 restated: D = P v; per-row h and c; scatter; P; + damp v. The Gauss-Newton form has no c."""
+    cross = (lambda k, o: "") if gauss_newton else (lambda k, o: f" + c * d{o}{k}")
+    uvec = ", ".join(f"h * zi{k}{cross(k, 'i')} AS v{k}" for k in range(DIM))
+    ivec = ", ".join(f"h * zu{k}{cross(k, 'u')} AS v{k}" for k in range(DIM))
     sums = ", ".join(f"sum(v{k}) AS v{k}" for k in range(DIM))
     dot_dz = " + ".join(f"du{k} * zi{k}" for k in range(DIM))
     dot_zd = " + ".join(f"zu{k} * di{k}" for k in range(DIM))
@@ -1130,25 +1170,30 @@ def q_hvp(spark, sf_dir):
 
 
 CG_STEPS = 2
+GN_STEPS = 6  # of the SQL twin: more than the solve needs to reach its tolerance
 
 
-def _cg_sql() -> str:
-    """M13 unrolled: x0 = b, r0 = p0 = b - H b, then CG_STEPS steps; cg_x is the solution so far."""
+def _cg_sql(steps: int = CG_STEPS, gauss_newton: bool = False) -> str:
+    """M13 unrolled: x0 = b (b / damp for Gauss-Newton), r0 = p0 = b - A x0, then the steps; cg_x is the solution so far."""
     tr, va = O.part_sql("events", "train"), O.part_sql("events", "valid")
     every = lambda f: ", ".join(f(k) for k in range(DIM))
     dot = lambda a, b: " + ".join(f"{a}{k} * {b}{k}" for k in range(DIM))
     full = lambda c: f"COALESCE({c}, 0.0)"
-    ctes = [_grad_sql(va, "gv"), _hvp_sql(tr, v="gv", out="h0"), f"""st0 AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k}')}, {every(lambda k: f'x{k} - a{k} AS r{k}')}, {every(lambda k: f'x{k} - a{k} AS p{k}')}
-   FROM (SELECT COALESCE(b.node, a.node) AS node, {every(lambda k: f'{full(f"b.v{k}")} AS x{k}, {full(f"a.v{k}")} AS a{k}')} FROM gv b FULL JOIN h0 a ON a.node = b.node))"""]
-    for i in range(CG_STEPS):
-        ctes += [f"pv{i} AS (SELECT node, {every(lambda k: f'p{k} AS v{k}')} FROM st{i})", _hvp_sql(tr, v=f"pv{i}", out=f"ap{i}"), f"""
+    grow = "/ 0.01" if gauss_newton else "* 1.0"
+    hvp = functools.partial(_hvp_sql, tr, gauss_newton=gauss_newton)
+    ctes = [_grad_sql(va, "gv"), f"x0 AS (SELECT node, {every(lambda k: f'v{k} {grow} AS v{k}')} FROM gv)", hvp(v="x0", out="h0"),
+            f"""st0 AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k}')}, {every(lambda k: f'b{k} - a{k} AS r{k}')}, {every(lambda k: f'b{k} - a{k} AS p{k}')}
+   FROM (SELECT COALESCE(b.node, a.node) AS node, {every(lambda k: f'{full(f"b.v{k}")} AS b{k}, {full(f"b.v{k}")} {grow} AS x{k}, {full(f"a.v{k}")} AS a{k}')} FROM gv b FULL JOIN h0 a ON a.node = b.node))"""]
+    for i in range(steps):
+        # a residual of zero ends the steps: nothing moves any more
+        ctes += [f"pv{i} AS (SELECT node, {every(lambda k: f'p{k} AS v{k}')} FROM st{i})", hvp(v=f"pv{i}", out=f"ap{i}"), f"""
 bo{i} AS MATERIALIZED (SELECT COALESCE(s.node, a.node) AS node, {every(lambda k: f'{full(f"s.x{k}")} AS x{k}, {full(f"s.r{k}")} AS r{k}, {full(f"s.p{k}")} AS p{k}, {full(f"a.v{k}")} AS a{k}')}
    FROM st{i} s FULL JOIN ap{i} a ON a.node = s.node),
-al{i} AS MATERIALIZED (SELECT sum({dot('r', 'r')}) / sum({dot('p', 'a')}) AS alpha, sum({dot('r', 'r')}) AS rr FROM bo{i}),
+al{i} AS MATERIALIZED (SELECT COALESCE(sum({dot('r', 'r')}) / NULLIF(sum({dot('p', 'a')}), 0), 0.0) AS alpha, sum({dot('r', 'r')}) AS rr FROM bo{i}),
 mv{i} AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k} + p{k} * alpha AS x{k}, r{k} - a{k} * alpha AS r{k}, p{k}')} FROM bo{i}, al{i}),
-be{i} AS MATERIALIZED (SELECT sum({dot('r', 'r')}) / (SELECT rr FROM al{i}) AS beta FROM mv{i}),
+be{i} AS MATERIALIZED (SELECT COALESCE(sum({dot('r', 'r')}) / NULLIF((SELECT rr FROM al{i}), 0), 0.0) AS beta FROM mv{i}),
 st{i + 1} AS MATERIALIZED (SELECT node, {every(lambda k: f'x{k}, r{k}, r{k} + p{k} * beta AS p{k}')} FROM mv{i}, be{i})"""]
-    ctes.append(f"cg_x AS (SELECT node, {every(lambda k: f'x{k} AS v{k}')} FROM st{CG_STEPS})")
+    ctes.append(f"cg_x AS (SELECT node, {every(lambda k: f'x{k} AS v{k}')} FROM st{steps})")
     return ",\n".join(ctes)
 
 
@@ -1167,17 +1212,34 @@ def q_cg_steps(spark, sf_dir):
     return _cg_solution(spark, sf_dir).select("node", _vtext("vec", 10).alias("x"))
 
 
-@register("row_influence_events", O.with_(*_g_sql_base(), _cg_sql(), O.propagate_ctes("adj", "cg_x", "xp", LAYERS, DIM))
-          + f"""SELECT uid, iid, round(-(sig - label) * s, 9) AS score FROM (
+GN_TOL = 1e-18
+
+
+def _gn_solution(spark, sf_dir):
+    """(x, steps, r.r) of the Gauss-Newton solve, to its tolerance."""
+    def build():
+        tr, va, te, adj, e0 = _g_base(spark, sf_dir)
+        z = _z(spark, sf_dir)
+        b = IF.gradient(IF.Model(adj, e0, LAYERS, DIM), va.select("uid", "iid", "label"), z)
+        res = IF.solve(IF.Model(adj, e0, LAYERS, DIM), tr.select("uid", "iid", "label"), b, damp=0.01, tol=GN_TOL, z=z, gauss_newton=True)
+        return res.x.withColumn("steps", F.lit(res.steps)).withColumn("residual", F.lit(res.rr))
+    return shared.memo(spark, ("gn_x", sf_dir), build)
+
+
+@register("row_influence_events", O.with_(*_g_sql_base(), _cg_sql(GN_STEPS, True), O.propagate_ctes("adj", "cg_x", "xp", LAYERS, DIM))
+          + f"""SELECT uid, iid, round(-(sig - label) * s, 8) AS score, (SELECT sum({' + '.join(f'r{k} * r{k}' for k in range(DIM))}) FROM st{GN_STEPS}) <= {GN_TOL} AS converged FROM (
   SELECT p.uid, p.iid, p.label, {O.sigmoid_sql(O.dot_sql('zu.v', 'zi.v', DIM))} AS sig, {O.dot_sql('xu.v', 'zi.v', DIM)} + {O.dot_sql('zu.v', 'xi.v', DIM)} AS s
   FROM {O.part_sql('events', 'test')} p JOIN z zu ON zu.node = p.uid * 2 JOIN z zi ON zi.node = p.iid * 2 + 1
   JOIN xp xu ON xu.node = p.uid * 2 JOIN xp xi ON xi.node = p.iid * 2 + 1)""")
 def q_row_influence(spark, sf_dir):
-    """Influence of every test row under that solution."""
+    """Influence of every test row on the valid loss, under the Gauss-Newton
+    system solved to its tolerance; ``converged`` says that the residual is below it."""
     tr, va, te, adj, e0 = _g_base(spark, sf_dir)
     rows = te.select(F.struct("uid", "iid").alias("row_id"), "uid", "iid", "label")
-    s = IF.row_influence(IF.Model(adj, e0, LAYERS, DIM), rows, _cg_solution(spark, sf_dir), _z(spark, sf_dir))
-    return s.select("row_id.uid", "row_id.iid", F.round("score", 9).alias("score"))
+    x = _gn_solution(spark, sf_dir)
+    s = IF.row_influence(IF.Model(adj, e0, LAYERS, DIM), rows, x.select("node", "vec"), _z(spark, sf_dir))
+    residual = x.agg(F.max("residual")).first()[0]
+    return s.select("row_id.uid", "row_id.iid", F.round("score", 8).alias("score"), F.lit(residual <= GN_TOL).alias("converged"))
 
 
 # ---------------------------------------------------------------- month-window cohorts, closed evaluation range, variants
@@ -1196,17 +1258,6 @@ def q_month_samples(spark, sf_dir):
         "uid", "iid", "env", "label", ts_text("ts").alias("ts"), arr_text("his").alias("his"))
 
 
-@register("closed_cohorts_events", O.with_(O.base_ctes("events"), O.cohort_ctes("events", eval_end="2024-01-27", item_filter="iid % 11 <> 0"))
-          + f"SELECT uid, iid, env, {O.ts_text('ts')} AS ts FROM cohort_events")
-def q_closed_cohorts(spark, sf_dir):
-    """C1 with the closed end of the evaluation range (P8) and rows that any
-    missing value leaves incomplete dropped before the cold rule (P6): every
-    eleventh item has no metadata here."""
-    c = prep.cohort_rows(spark, sf_dir, "events", prep.PrepOptions(eval_end="2024-01-27", drop_incomplete=True),
-                         keep_items=F.col("iid") % 11 != 0)
-    return c.select("uid", "iid", "env", ts_text("ts").alias("ts"))
-
-
 @register("row_sample_exact_orders", O.with_(O.all_ctes("orders"))
           + f"""SELECT uid, iid, rating FROM (SELECT *, row_number() OVER (ORDER BY {O.hash_key('2024', 'uid', 'iid', 'CAST(rating AS INTEGER)')}, uid, iid, rating) AS r,
   count(*) OVER () AS n FROM {O.part_sql('orders', 'train')}) WHERE r <= CAST(floor(n * 0.3) AS BIGINT)""")

@@ -18,7 +18,7 @@ from . import prep
 _MEMO: dict = {}
 
 
-def _stamp(spark: SparkSession, folder: str) -> tuple:
+def stamp(spark: SparkSession, folder: str) -> tuple:
     """Names, sizes and times of the tables in ``folder``: other data, other key."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -28,7 +28,7 @@ def _stamp(spark: SparkSession, folder: str) -> tuple:
 def memo(spark: SparkSession, parts: tuple, build) -> DataFrame:
     """The stored table of ``parts`` (what, folder, ...): built once per
     application and state of the folder."""
-    k = (spark.sparkContext.applicationId, _stamp(spark, parts[1]), *parts)
+    k = (spark.sparkContext.applicationId, stamp(spark, parts[1]), *parts)
     df = _MEMO.get(k)
     if df is None:
         df = cut_lineage(build())
