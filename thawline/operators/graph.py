@@ -52,16 +52,18 @@ def spmm(edges: DataFrame, vecs: DataFrame, dim: int) -> DataFrame:
     return g.select(F.col("dst").alias("node"), F.array(*[F.col(f"_s{k}") for k in range(dim)]).alias("vec"))
 
 
-def propagate(edges: DataFrame, emb: DataFrame, layers: int, dim: int) -> DataFrame:
+def propagate(edges: DataFrame, emb: DataFrame, layers: int, dim: int, small: bool = False) -> DataFrame:
     """M2: mean of E_0, A E_0, ..., A^L E_0 (nodes without edges keep E_0/(L+1)).
 
     Horner's form E_0 + A (E_0 + A (...)): one product and one aggregate per
-    layer, the sum with E_0 inside the aggregate."""
+    layer, the sum with E_0 inside the aggregate. ``small``: the caller has
+    counted the nodes, and their vectors may be broadcast to the edges."""
+    near = F.broadcast if small else (lambda df: df)
     cur = emb
     for _ in range(layers):
-        moved = edges.join(cur.withColumnRenamed("node", "src"), "src").select(
-            F.col("dst").alias("node"), F.transform("vec", lambda v: v * F.col("w")).alias("vec"))
-        g = emb.select("node", "vec").unionByName(moved).groupBy("node").agg(*vec_sum("vec", dim))
+        moved = edges.join(near(cur.withColumnRenamed("node", "src")), "src").select(F.col("dst").alias("node"), "vec", "w")
+        both = emb.select("node", "vec", F.lit(1.0).alias("w")).unionByName(moved)
+        g = both.groupBy("node").agg(*[F.sum(F.col("vec")[k] * F.col("w")).alias(f"_s{k}") for k in range(dim)])
         cur = g.select("node", F.array(*[F.col(f"_s{k}") for k in range(dim)]).alias("vec"))
     inv = 1.0 / (layers + 1)
     return cur.select("node", F.transform("vec", lambda v: v * inv).alias("vec"))

@@ -67,6 +67,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def may_broadcast(spark: SparkSession, rows: int, row_bytes: int) -> bool:
+    """Whether a counted table stays below the session's own broadcast threshold."""
+    return rows * row_bytes <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def cut_lineage(df, eager: bool = True):
     """Cut lineage with a table written to the shared checkpoint folder.
 
@@ -79,7 +84,7 @@ def cut_lineage(df, eager: bool = True):
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # a given schema saves the job that reads one
 
 
 def release(df) -> None:
