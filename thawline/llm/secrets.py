@@ -11,7 +11,9 @@ The copies of a blob (a third of all rows may be one) meet as partial
 aggregates of narrow rows. The text that is scanned joins on (blob, path),
 so copies never gather in one task.
 
-Defined cases: null text is empty; rows that repeat a path and a text get the
+Defined cases: null and empty texts hold nothing; texts of any length and with any number of
+matches are scanned whole; spans of different kinds may overlap and are all listed, by start and
+then kind; an empty table gives an empty result and leaves the ledger as it is; rows that repeat a path and a text get the
 same findings; a null path keeps its row; blanks in a table are texts like
 any other; other columns are ignored.
 """
@@ -72,12 +74,14 @@ def secret_scan(versions: DataFrame, ledger: str, path_col: str = "doc_id", text
     spark, rules = versions.sparkSession, rule_version()
     rows = versions.select(F.col(path_col).alias("path"), text_of(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
     narrow = stored(rows.select("path", "blob"), "blobs")
-    known = read_ledger(spark, ledger).filter(F.col("rules") == rules).select("blob")
-    unseen = narrow.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
+    blobs = stored(narrow.groupBy("blob").agg(F.min("path").alias("path")), "distinct-blobs")
+    # only the ledger's rows of these blobs go on: an old ledger costs its scan, no shuffle of its history
+    known = read_ledger(spark, ledger).filter(F.col("rules") == rules).join(blobs.select("blob"), "blob", "left_semi")
+    unseen = blobs.join(known.select("blob"), "blob", "left_anti")
     one = rows.alias("r").join(unseen.alias("u"), F.expr("r.blob = u.blob and r.path <=> u.path"), "left_semi")
     found = scan(one, ["blob"]).groupBy("blob").agg(F.max("findings").alias("findings"))
     found.select(F.lit(rules).alias("rules"), "blob", "findings").write.mode("append").parquet(ledger)
-    held = read_ledger(spark, ledger).filter(F.col("rules") == rules).groupBy("blob").agg(F.max("findings").alias("findings"))
+    held = read_ledger(spark, ledger).filter(F.col("rules") == rules).join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.max("findings").alias("findings"))
     held = stored(held, "held")  # both sides of the join are exchanged: a hot blob's paths can be split
     return narrow.join(held, "blob").select("path", "blob", "findings")
 
