@@ -135,23 +135,106 @@ def test_a_fit_ends_by_the_valid_auc_or_raises(spark):
         IF.fit_valid(m, pairs, pairs.where("label = 1"), patience=1, lr=4.0)
 
 
-def test_rounds_and_ensemble_fit_until_the_valid_auc_stops(spark):
-    from thawline.plans import iterate as C
+def _chain(spark):
     pairs, _ = _small_model(spark)
-    syn = pairs.withColumn("row_id", F.col("uid") * 6 + F.col("iid")).where("uid < 3")
-    opts = C.IterOptions(rounds=1, dim=3, layers=0, patience=1)
-    rows = C.iterated_selection(pairs, pairs, {"valid_0": pairs}, syn, opts).collect()
-    assert [r.epochs for r in rows] == [rows[0].best_epoch + 2]
+    syn = pairs.withColumn("row_id", F.col("uid") * 6 + F.col("iid")).where("uid < 4")
+    return pairs, syn
+
+
+def test_a_run_goes_on_behind_its_last_committed_round(spark, tmp_path):
+    """Rounds, a break in the middle of one, the rest of them: the same report as in one go; a second run changes nothing."""
+    from dataclasses import replace
+
+    from thawline.plans import iterate as C
+    pairs, syn = _chain(spark)
+    opts = C.IterOptions(rounds=3, dim=3, layers=1, patience=1, min_item_num=1, ratio=0.2)
+    run = lambda path, o=opts: sorted(map(tuple, C.iterated_selection(pairs, pairs, {"valid_0": pairs}, syn, o, str(tmp_path / path)).select(
+        "round", "split", F.round("auc", 9), F.round("logloss", 9), "delete_ratio", "epochs", "best_epoch", "cg_steps").collect()))
+    whole = run("a")
+    assert [r[0] for r in whole] == [0, 1, 2] and run("a") == whole
+    run("b", replace(opts, rounds=2))
+    rounds = C.Rounds(spark, str(tmp_path / "b"))
+    broken = rounds.get("scores", 1).withColumn("score", F.col("score") * 0 + 7.0)
+    rounds.put("scores", 2, broken.unionByName(broken))  # half a round: scores without its commit
+    assert len(rounds.done()) == 2 and run("b") == whole
+    scores = rounds.all("scores", 3)
+    assert scores.groupBy("iter", "row_id").count().filter("count > 1").isEmpty() and scores.count() == 2 * syn.count()
+    report = C.ensemble_inference(syn, scores.select("iter", "row_id", "score"), pairs, pairs, M.graph_nodes(pairs), {"valid_0": pairs}, opts).collect()
+    assert len(report) == 1 and report[0].epochs >= report[0].best_epoch
+
+
+def test_fits_end_by_the_valid_auc_and_go_on_from_vectors(spark):
+    pairs, m = _small_model(spark)
+    fit = IF.fit_adam(m, pairs, pairs, patience=2, lr=0.1)
+    values = [v for _, v in fit.log]
+    assert len(values) == values.index(max(values)) + 3 and fit.clock == values.index(max(values))
+    again = IF.fit_adam(m, pairs, pairs, patience=1, lr=0.1, start=fit)
+    assert again.log[0][1] == pytest.approx(max(values), abs=1e-9)
     with pytest.raises(RuntimeError, match="ceiling"):
-        C.iterated_selection(pairs, pairs, {"valid_0": pairs}, syn, C.IterOptions(rounds=1, dim=3, layers=0, patience=1, max_epochs=1))
-    scores = syn.select(F.lit(1).alias("iter"), "row_id", (F.col("label") - 0.5).alias("score"))
-    rows = C.ensemble_inference(syn, scores, pairs, pairs, M.graph_nodes(pairs), {"valid_0": pairs}, opts).collect()
-    assert [r.epochs for r in rows] == [rows[0].best_epoch + 2]
+        IF.fit_adam(m, pairs, pairs, patience=1, lr=0.1, max_epochs=1)
+    with pytest.raises(RuntimeError, match="no AUC"):
+        IF.fit_adam(m, pairs, pairs.where("label = 1"), patience=1)
 
 
-def test_a_neural_fit_that_does_not_settle_raises(spark):
+def test_an_adam_step_of_the_propagated_model_equals_numpy(spark):
     pairs, m = _small_model(spark)
-    with pytest.raises(RuntimeError, match="not settled"):
-        M.fit_ncf(pairs, m.emb, hidden=4, max_iter=2)
-    model, _ = M.fit_ncf(pairs, m.emb, hidden=4)
-    assert model.summary().totalIterations > 2
+    zero = F.array_repeat(F.lit(0.0), m.dim)
+    state = m.emb.select("node", "vec", zero.alias("m"), zero.alias("v"))
+    g = {r.node: np.array(r.vec) for r in IF.gradient(m, pairs).collect()}
+    e = {r.node: np.array(r.vec) for r in m.emb.collect()}
+    for r in IF._adam(state, IF.gradient(m, pairs), 1, 0.1, 0.01, m.dim).collect():
+        d = g.get(r.node, np.zeros(m.dim)) + 0.01 * e[r.node]
+        assert np.allclose(r.vec, e[r.node] - 0.1 * d / (np.abs(d) + 1e-8), atol=1e-10)
+
+
+def test_gauss_newton_solve_equals_a_dense_one(spark):
+    """On a model whose Hessian is indefinite the Gauss-Newton solve converges to the dense solution."""
+    pairs, m = _small_model(spark, scale=1.5)
+    nodes = sorted(r.node for r in m.emb.collect())
+    index = {n: k for k, n in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for r in m.edges.collect():
+        a[index[r.dst], index[r.src]] = r.w
+    p = (np.eye(len(nodes)) + a) / 2
+    e = np.zeros((len(nodes), 3))
+    for r in m.emb.collect():
+        e[index[r.node]] = r.vec
+    z, rows = p @ e, pairs.collect()
+    g, b = np.zeros((z.size, z.size)), np.zeros_like(z)
+    for r in rows:
+        u, i = index[2 * r.uid], index[2 * r.iid + 1]
+        s = 1 / (1 + np.exp(-z[u] @ z[i]))
+        j = np.zeros_like(z)
+        j[u], j[i] = z[i], z[u]
+        j = (p @ j).ravel()
+        g += s * (1 - s) / len(rows) * np.outer(j, j)
+        b += ((s - r.label) / len(rows) * j).reshape(z.shape)
+    want = np.linalg.solve(g + 0.01 * np.eye(z.size), b.ravel()).reshape(z.shape)
+    res = IF.solve(m, pairs, IF.gradient(m, pairs), damp=0.01, tol=1e-22, gauss_newton=True)
+    got = np.zeros_like(z)
+    for r in res.x.collect():
+        got[index[r.node]] = r.vec
+    assert res.status == "converged" and np.allclose(got, want, atol=1e-8)
+
+
+def test_top_items_equal_brute_force_and_prune(spark):
+    from thawline.operators.topitems import top_items
+    rng = np.random.default_rng(5)
+    rows = [(2 * u, rng.normal(size=4).tolist()) for u in range(40)]
+    rows += [(2 * i + 1, (rng.integers(-2, 3, size=4) * 10.0 ** -(i // 50)).tolist()) for i in range(300)]  # ties, and ever shorter vectors
+    z = spark.createDataFrame(rows, "node long, vec array<double>")
+    users = spark.createDataFrame([(u,) for u in range(41)], "uid long")  # one without a vector
+    items = spark.createDataFrame([(i,) for i in range(300)], "iid long")
+    v = {n: np.array(x) for n, x in rows}
+    want = {}
+    for u in range(40):
+        s = sorted((-float(v[2 * u] @ v[2 * i + 1]), i) for i in range(300))[:7]
+        want[u] = [(i, pytest.approx(-x, abs=1e-12)) for x, i in s]
+    for sizes in ({}, {"user_rows": 7, "item_rows": 20}):
+        log, got = [], {}
+        for r in sorted(top_items(users, items, z, 7, log=log, **sizes).collect(), key=lambda r: (r.uid, r.rank)):
+            got.setdefault(r.uid, []).append((r.iid, r.score))
+        assert {u: [i for i, _ in x] for u, x in got.items()} == {u: [i for i, _ in x] for u, x in want.items()} and got == want
+    met = sum(users_ * items_ for _, users_, items_, _ in log)
+    assert met < log[0][3] * 15  # item blocks that no open user block met
+    assert top_items(users, items.limit(0), z, 7).count() == 0

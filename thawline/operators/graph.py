@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bce_with_logits, dot, hash_signed, sigmoid
-from ..session import cut_lineage
 
 
 def user_node(c) -> Column:
@@ -162,25 +161,3 @@ def ncf_score(pairs: DataFrame, emb: DataFrame, weights) -> DataFrame:
         return out
     g = gather(pairs, emb)
     return g.withColumn("logit", logit(F.concat("zu", "zi"))).drop("zu", "zi")
-
-
-def fit_ncf(pairs: DataFrame, emb: DataFrame, hidden: int = 64, max_iter: int = 5000, seed: int = 5):
-    """M10 (re-aimed): the neural pair scorer fitted with MLlib's multilayer
-    perceptron over assembled [user vector, item vector] features until its
-    loss settles (MLlib's tolerance); an error when ``max_iter`` ended it.
-    Returns (model, scored pairs with ``prob``)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    g = gather(pairs, emb).na.drop("any", subset=["zu", "zi"])  # no vector, nothing to fit or score
-    dim2 = 2 * len(g.select("zu").first()["zu"])
-    x = g.withColumn("features", array_to_vector(F.concat("zu", "zi"))).withColumn(
-        "y", F.col("label").cast("double"))
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[dim2, hidden, 2],
-                                         maxIter=max_iter, seed=seed)
-    model = mlp.fit(cut_lineage(x.select("uid", "iid", "label", "features", "y")))
-    steps = model.summary().totalIterations
-    if steps >= max_iter:
-        raise RuntimeError(f"neural fit: not settled after {steps} iterations")
-    out = model.transform(x).withColumn("prob", vector_to_array("probability")[1])
-    return model, out.select("uid", "iid", "label", "prob")
