@@ -9,12 +9,12 @@
 4. The rules with weight are compiled into one Spark column expression;
    scoring a document is a projection without a shuffle.
 
-The fit may use a bounded sample of the labelled rows (``MAX_TRAIN``, the
-rows with the smallest hashes). Labels, language, source and id are never
-inputs of a score.
+The fit may use a bounded sample of the labelled texts (``MAX_TRAIN``, the
+ones with the smallest hashes of id and text; rows that repeat both are one). Labels,
+language, source and id are never inputs of a score.
 
-Defined cases: null text is empty and scored like any other; documents that
-repeat an id are scored one by one; several labels of an id count as the
+Defined cases: null text is empty and scored like any other; texts of any length are
+read whole; documents that repeat an id are scored one by one; an empty table gives an empty result; several labels of an id count as the
 largest; a null id is scored and held out; with no labels of both classes every score
 is the share of good labels (1.0 without labels); other columns are ignored.
 """
@@ -120,12 +120,19 @@ def fit(rows: DataFrame, names: list[str], max_train: int = MAX_TRAIN) -> Rules:
     return Rules(float(lasso.intercept), weights)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality") -> tuple[DataFrame, list[str]]:
-    """Features and label of the labelled rows that may be learnt from."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", max_train: int = MAX_TRAIN) -> tuple[DataFrame, list[str]]:
+    """Features and label of at most ``max_train`` labelled texts that may be learnt from.
+
+    Which ones is decided on ids and text hashes, so statistics are computed for them alone."""
     known = (labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("double").alias("label")).filter("label is not null and __id is not null")
              .groupBy("__id").agg(F.max("label").alias("label")).filter(fold(F.col("__id")) != 0))
-    rows, names = featured(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__raw")), ["__id"], text_of("__raw"))
-    return rows.join(known, "__id"), names
+    rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__raw")).withColumn("__hash", F.xxhash64("__raw"))
+    keys = rows.select("__id", "__hash").join(known, "__id").groupBy("__id", "__hash").agg(F.max("label").alias("label"))
+    picked = stored(keys.orderBy(F.xxhash64("__id", "__hash"), "__id", "__hash").limit(max_train), "quality-sample")
+    # max_train rows of three numbers: a proven bound
+    texts = rows.join(F.broadcast(picked), ["__id", "__hash"])
+    found, names = featured(texts, ["__id", "__hash", "label"], F.col("__raw"))
+    return found.dropDuplicates(["__id", "__hash"]).drop("__hash"), names
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Rules:
