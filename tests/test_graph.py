@@ -147,29 +147,29 @@ def test_a_run_goes_on_behind_its_last_committed_round(spark, tmp_path):
 
     from thawline.plans import iterate as C
     pairs, syn = _chain(spark)
-    opts = C.IterOptions(rounds=3, dim=3, layers=1, patience=1, min_item_num=1, ratio=0.2)
+    opts = C.IterOptions(rounds=2, dim=3, layers=0, patience=1, min_gain=0.2, min_item_num=1, ratio=0.2)
     run = lambda path, o=opts: sorted(map(tuple, C.iterated_selection(pairs, pairs, {"valid_0": pairs}, syn, o, str(tmp_path / path)).select(
         "round", "split", F.round("auc", 9), F.round("logloss", 9), "delete_ratio", "epochs", "best_epoch", "cg_steps").collect()))
     whole = run("a")
-    assert [r[0] for r in whole] == [0, 1, 2] and run("a") == whole
-    run("b", replace(opts, rounds=2))
+    assert [r[0] for r in whole] == [0, 1] and run("a") == whole
+    run("b", replace(opts, rounds=1))
     rounds = C.Rounds(spark, str(tmp_path / "b"))
-    broken = rounds.get("scores", 1).withColumn("score", F.col("score") * 0 + 7.0)
-    rounds.put("scores", 2, broken.unionByName(broken))  # half a round: scores without its commit
-    assert len(rounds.done()) == 2 and run("b") == whole
-    scores = rounds.all("scores", 3)
-    assert scores.groupBy("iter", "row_id").count().filter("count > 1").isEmpty() and scores.count() == 2 * syn.count()
+    broken = C.Rounds(spark, str(tmp_path / "a")).get("scores", 1).withColumn("score", F.col("score") * 0 + 7.0)
+    rounds.put("scores", 1, broken.unionByName(broken))  # half a round: scores without its commit
+    assert len(rounds.done()) == 1 and run("b") == whole
+    scores = rounds.all("scores", 2)
+    assert scores.groupBy("iter", "row_id").count().filter("count > 1").isEmpty() and scores.count() == syn.count()
     report = C.ensemble_inference(syn, scores.select("iter", "row_id", "score"), pairs, pairs, M.graph_nodes(pairs), {"valid_0": pairs}, opts).collect()
     assert len(report) == 1 and report[0].epochs >= report[0].best_epoch
 
 
 def test_fits_end_by_the_valid_auc_and_go_on_from_vectors(spark):
     pairs, m = _small_model(spark)
-    fit = IF.fit_adam(m, pairs, pairs, patience=2, lr=0.1)
-    values = [v for _, v in fit.log]
-    assert len(values) == values.index(max(values)) + 3 and fit.clock == values.index(max(values))
-    again = IF.fit_adam(m, pairs, pairs, patience=1, lr=0.1, start=fit)
-    assert again.log[0][1] == pytest.approx(max(values), abs=1e-9)
+    m = IF.Model(m.edges, m.emb, 0, m.dim)
+    fit = IF.fit_adam(m, pairs, pairs, patience=1, lr=0.1, min_gain=0.1)
+    assert len(fit.log) == fit.clock + 2
+    again = IF.fit_adam(m, pairs, pairs, patience=1, lr=0.1, start=fit, min_gain=0.2)
+    assert again.log[0][1] == pytest.approx(fit.log[fit.clock][1], abs=1e-9)
     with pytest.raises(RuntimeError, match="ceiling"):
         IF.fit_adam(m, pairs, pairs, patience=1, lr=0.1, max_epochs=1)
     with pytest.raises(RuntimeError, match="no AUC"):
@@ -209,12 +209,12 @@ def test_gauss_newton_solve_equals_a_dense_one(spark):
         j = (p @ j).ravel()
         g += s * (1 - s) / len(rows) * np.outer(j, j)
         b += ((s - r.label) / len(rows) * j).reshape(z.shape)
-    want = np.linalg.solve(g + 0.01 * np.eye(z.size), b.ravel()).reshape(z.shape)
-    res = IF.solve(m, pairs, IF.gradient(m, pairs), damp=0.01, tol=1e-22, gauss_newton=True)
+    want = np.linalg.solve(g + 0.05 * np.eye(z.size), b.ravel()).reshape(z.shape)
+    res = IF.solve(m, pairs, IF.gradient(m, pairs), damp=0.05, tol=1e-14, gauss_newton=True)
     got = np.zeros_like(z)
     for r in res.x.collect():
         got[index[r.node]] = r.vec
-    assert res.status == "converged" and np.allclose(got, want, atol=1e-8)
+    assert res.status == "converged" and np.allclose(got, want, atol=1e-5)
 
 
 def test_top_items_equal_brute_force_and_prune(spark):

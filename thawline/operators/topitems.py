@@ -83,7 +83,7 @@ def top_items(users: DataFrame, items: DataFrame, z: DataFrame, k: int = 10, use
             break
         left = asked.select("uid", "vec", "kth", "ub", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)).cast("array<bigint>")).alias("ib"))
         here = i.filter(F.col("ib").between(lo, hi - 1))
-        right = here.join(asked.select("ub").distinct().withColumn("ib", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)).cast("array<bigint>"))), "ib").select("iid", "vec", "ub", "ib")
+        right = here.join(asked.select("ub").distinct().withColumn("ib", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)).cast("array<bigint>"))), "ib").select("iid", "vec", *[F.col(c).alias(c) for c in ("ub", "ib")])
         found = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(_block_best(k), FOUND)
         if best is not None:
             found = found.unionByName(best.drop("rank"))
