@@ -17,8 +17,8 @@ lists, and a cut depends only on the characters since the last one.
 
 Defined cases: null text is empty; empty texts are copies of each other; a
 null doc_id is kept only when no copy has an id; rows that repeat a doc_id
-and its text count one by one in ``group_size`` and share ``kept``; other
-columns are ignored.
+and its text count one by one in ``group_size`` and share ``kept``; texts of
+any length are chunked whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Copies collapse to one fingerprint before any of this.
 Defined cases: null text is empty; a text without words has fingerprint
 zero and links like any other; rows that repeat a doc_id are fingerprinted
 one by one; rows with null doc_id belong to components, but never name
-one unless all ids are null; other columns are ignored.
+one unless all ids are null; texts of any length are read whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ digest gathers its copies in one task.
 
 Defined cases: null text is empty and has no tokens; rows that repeat a
 doc_id or a text count alike; a null doc_id keeps its row; special strings
-in a text are what the library makes of them by default; other columns are
-ignored.
+in a text are what the library makes of them by default; texts of any length are
+counted whole; an empty table gives an empty result and leaves the cache as it is; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ components take no part; a missing trailing component counts as zero;
 a quantised component that no 64-bit integer holds, or a shard and block whose
 sums could leave 64 bits, is an error; rows that
 repeat a vec_id count one by one and a query skips all rows with its own
-id; a null vec_id takes no part; other columns are ignored.
+id; a null vec_id takes no part; equal scores go to the smaller id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
