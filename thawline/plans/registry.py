@@ -1048,7 +1048,7 @@ def q_metric_stream(spark, sf_dir):
 from . import iterate as C  # noqa: E402
 
 
-ITER = C.IterOptions(dim=8, layers=2, lr=0.3, patience=1, min_gain=0.005)
+ITER = C.IterOptions(dim=8, layers=2, lr=0.3, patience=3, min_gain=0.002)
 
 
 def _iterated(spark, sf_dir):
