@@ -112,3 +112,36 @@ def test_hot_user_and_partition_invariance(spark):
     for variant in (base.repartition(1), base.repartition(13), base.orderBy(F.rand(5))):
         got = {(r.uid, r.iid, r.ts): list(r.his) for r in rolling_history(variant).collect()}
         assert got == exp
+
+
+def test_batches_continue_the_stored_state(spark):
+    import pytest
+
+    from thawline.operators.history import history_state, newest_state
+    rnd = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, seen = [], set()
+    for u in range(8):
+        for _ in range(rnd.choice([1, 3, 20, 60])):
+            ts, iid = t0 + dt.timedelta(hours=rnd.randint(0, 90)), rnd.randint(1, 40)
+            if (u, iid, ts) not in seen:
+                seen.add((u, iid, ts))
+                rows.append((u, iid, 3, ts, 0 if u == 7 else rnd.randint(0, 1)))     # user 7 has no positive
+    cuts = [t0 + dt.timedelta(hours=h) for h in (10, 30, 31, 60)]
+    parts = [[r for r in rows if sum(r[3] >= c for c in cuts) == k] for k in range(len(cuts) + 1)]
+    got, state = {}, None
+    for part in parts:
+        out = rolling_history(_frame(spark, part), state=state)
+        got.update({(r.uid, r.iid, r.ts): (list(r.his), list(r.his_title)) for r in out.collect()})
+        new = history_state(out)
+        state = new if state is None else newest_state(state, new)
+        state = spark.createDataFrame(state.collect(), state.schema)
+    assert got == reference_history(rows)
+    stored = {r.uid: r for r in state.collect()}
+    for u in range(8):
+        hits = sorted((r for r in rows if r[0] == u and r[4] == 1), key=lambda r: (r[3], r[1], r[2]))
+        assert stored[u].n_pos == len(hits)
+        assert [(x.iid, x.title) for x in stored[u].recent] == [(r[1], f"t{r[1]}") for r in hits[-15:]]
+    with pytest.raises(ValueError):
+        rolling_history(_frame(spark, parts[2]), state=state)
+    assert rolling_history(_frame(spark, []), state=state).count() == 0

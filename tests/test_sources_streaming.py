@@ -63,6 +63,34 @@ def test_metric_log_follower(spark):
     assert (out[1].best_metric, out[1].best_epoch, out[1].n_epochs) == (0.7, 0, 2)
 
 
+def test_stateful_stopper_equals_the_batch_form_across_restarts(spark):
+    import random
+
+    from thawline.operators.metrics import early_stop
+    from thawline.streaming.early_stop import watch
+    rnd = random.Random(4)
+    rows = []
+    for run in range(12):
+        best = 0.4 if run % 3 else 0.6
+        for e in range(rnd.choice([1, 4, 30, 45])):
+            value = None if run == 5 and e < 9 else round(best + rnd.choice([-0.05, -0.02, 0.0, 0.01 if e < 8 else -0.01]), 3)
+            rows.append((run, 2 * e, value))
+    rows += [(20, e, None) for e in range(30)] + [(21, e, 0.5) for e in range(30)] + [(22, e, 0.56) for e in range(7)]
+    log = spark.createDataFrame(rows, "run int, epoch int, valid_auc double")
+    path, ckpt, out = (K.scratch_dir(spark, f"t_stop_{x}") for x in ("log", "ckpt", "out"))
+    for lo, hi in ((0, 7), (7, 8), (8, 40), (40, 1000)):
+        K.append_json(log.where((F.col("epoch") >= lo) & (F.col("epoch") < hi)), path)
+        got = watch(spark, path, ckpt, out, patience=4, low=0.55, extra=6)
+        so_far = early_stop(log.where(F.col("epoch") < hi), patience=4, low=0.55, extra=6)
+        assert sorted(map(tuple, got.drop("n_epochs", "n_late").collect())) == sorted(map(tuple, so_far.collect()))
+    assert {r.run: r.n_epochs for r in got.collect()}[21] == 30
+    before = sorted(map(tuple, got.drop("n_late").collect()))
+    K.append_json(log.where("run = 21 and epoch < 3"), path)      # delivered twice
+    again = watch(spark, path, ckpt, out, patience=4, low=0.55, extra=6)
+    assert sorted(map(tuple, again.drop("n_late").collect())) == before
+    assert {r.run: r.n_late for r in again.collect()}[21] == 3
+
+
 @pytest.mark.skipif(not os.path.exists(SF01), reason="driver tables missing")
 def test_shared_sample_variants(spark):
     from thawline.operators import candidates

@@ -15,6 +15,11 @@ most max_len per range) are fetched by an equi-join on (uid, c); only the last
 max_len positives of each user and range take part in it. A hot user is
 spread over as many tasks as its share of the rows. Rows with a null ts come
 last in their user's order.
+
+Incremental form: ``history_state`` keeps one row per user (the number of positives,
+the last max_len of them, the last row's place in the order). ``rolling_history`` of
+newer rows with that ``state`` gives what one run over old and new rows gives for
+them; the old rows are not read again. ``newest_state`` merges the states of two runs.
 """
 
 from __future__ import annotations
@@ -28,17 +33,58 @@ from .ordering import RANGE, running_before
 ORDER = ["ts", "iid", "rating"]  # total order per user after the distinct
 
 
-def rolling_history(df: DataFrame, max_len: int = 15,
-                    order: list[str] | None = None, with_titles: bool = True) -> DataFrame:
+def _place(order: list[str]):
+    """A row's place in its user's order as one comparable value, nulls last."""
+    return F.struct(*[f for c in order for f in (F.col(c).isNull().alias(f"{c}_null"), F.col(c).alias(c))])
+
+
+def history_state(df: DataFrame, max_len: int = 15, order: list[str] | None = None) -> DataFrame:
+    """(uid, n_pos, last, recent) after the rows of a ``rolling_history`` result:
+    number of positives, place of the last row, the last ``max_len`` positives as
+    (c, iid, title) by rising number c. One row per user, also for users without a positive."""
+    order = order or ORDER
+    hit = F.col("label") == 1
+    users = df.groupBy("uid").agg(F.max(F.col("n_pos_before") + F.when(hit, 1).otherwise(0)).alias("n_pos"), F.max(_place(order)).alias("last"))
+    # at most max_len rows of a user meet in the list
+    recent = (df.where(hit).join(users.select("uid", "n_pos"), "uid").where(F.col("n_pos_before") >= F.col("n_pos") - max_len)
+                .groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.col("n_pos_before").cast("long").alias("c"), "iid", "title"))).alias("recent")))
+    return users.join(recent, "uid", "left").withColumn("recent", F.coalesce("recent", F.array().cast(recent.schema["recent"].dataType)))
+
+
+def newest_state(old: DataFrame, new: DataFrame, max_len: int = 15) -> DataFrame:
+    """The state after both runs: ``new`` comes from rows that continued ``old``."""
+    j = old.alias("o").join(new.alias("n"), "uid", "full")
+    both = F.concat(F.coalesce("o.recent", F.filter("n.recent", lambda r: F.lit(False))),
+                    F.coalesce("n.recent", F.filter("o.recent", lambda r: F.lit(False))))
+    j = j.select("uid", F.coalesce("n.n_pos", "o.n_pos").alias("n_pos"), F.coalesce("n.last", "o.last").alias("last"), both.alias("both"))
+    kept = F.when(F.size("both") > max_len, F.slice("both", F.size("both") - max_len + 1, F.lit(max_len))).otherwise(F.col("both"))
+    return j.select("uid", "n_pos", "last", kept.alias("recent"))
+
+
+def rolling_history(df: DataFrame, max_len: int = 15, order: list[str] | None = None,
+                    with_titles: bool = True, state: DataFrame | None = None) -> DataFrame:
     """Add ``his`` (array<long>), ``his_title`` (array<string>) and ``n_pos_before``.
 
-    ``df`` needs uid, iid, label, ts (+ rating / title).
+    ``df`` needs uid, iid, label, ts (+ rating / title). With ``state`` the rows
+    continue the histories it holds; a row that does not come after its user's
+    last stored one raises, its history would change rows already given out.
     """
     order = order or ORDER
     x = running_before(df, ["uid"], order, (F.col("label") == 1), "_c", range_stats=True)
     title = F.col("title") if with_titles else F.lit(None).cast("string")
+    x = x.withColumn("_t", title)
+    if state is not None:
+        x = x.join(state.select("uid", "n_pos", "last"), "uid", "left")
+        before = F.coalesce("n_pos", F.lit(0))
+        x = x.withColumn("_c", F.col("_c") + before).withColumn("_boff", F.col("_boff") + before)
+        x = x.withColumn("_late", F.coalesce(_place(order) <= F.col("last"), F.lit(False))).drop("n_pos", "last")
     # three consumers below (range starts, positives, own rows): cut once
-    x = cut_lineage(x.withColumn("_t", title))
+    x = cut_lineage(x)
+    if state is not None:
+        late = x.where("_late").count()
+        if late:
+            raise ValueError(f"{late} rows do not come after the stored history of their user")
+        x = x.drop("_late")
 
     # carry: for each (uid, range) the last max_len positives before the range
     b = x.groupBy("uid", RANGE).agg(F.min("_c").alias("_c0"))
@@ -49,6 +95,9 @@ def rolling_history(df: DataFrame, max_len: int = 15,
     # one, so at most max_len positives per user and range enter the shuffle
     pos = (x.where((F.col("label") == 1) & (F.col("_c") >= F.col("_boff") + F.col("_bsum") - max_len))
              .select("uid", "_c", "iid", "_t"))
+    if state is not None:
+        pos = pos.unionByName(state.select("uid", F.explode("recent").alias("r")).select(
+            "uid", F.col("r.c").alias("_c"), F.col("r.iid").alias("iid"), (F.col("r.title") if with_titles else F.lit(None).cast("string")).alias("_t")))
     carry = need.join(pos, ["uid", "_c"]).select(
         "uid", RANGE, "_c", "iid", "_t", F.lit(1).alias("label"), F.lit(True).alias("_carry"))
 

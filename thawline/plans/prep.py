@@ -39,10 +39,35 @@ def labelled(inter: DataFrame) -> DataFrame:
 
 def history_slice(spark: SparkSession, data_dir: str, name: str = "events", max_len: int = 15) -> DataFrame:
     """Minimum slice: adapter -> label -> distinct -> W1 (no cohort rules)."""
+    return history.rolling_history(labelled_titles(spark, data_dir, name), max_len=max_len)
+
+
+def labelled_titles(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    """Labelled rows with their item's title, stored."""
     inter = adapters.interactions(spark, data_dir, name)
     items = adapters.items_for(inter, adapters.PROFILES[name]).select("iid", "title")
-    x = cut_lineage(labelled(inter).join(items, "iid", "left"))
-    return history.rolling_history(x, max_len=max_len)
+    return cut_lineage(labelled(inter).join(items, "iid", "left"))
+
+
+def history_by_batches(spark: SparkSession, data_dir: str, name: str, cuts: list[str], max_len: int = 15) -> DataFrame:
+    """W1 as rows arrive: batches end before each of ``cuts`` (the last has no
+    end); a batch reads its own rows and the stored state of the one before."""
+    x = labelled_titles(spark, data_dir, name)
+    state, out = None, None
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges, edges[1:]):
+        here = F.lit(True)
+        if lo:
+            here = here & (F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi:
+            here = here & (F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        # a null ts is last in the order: it belongs to the last batch
+        here = F.coalesce(here, F.lit(hi is None))
+        got = cut_lineage(history.rolling_history(x.where(here), max_len=max_len, state=state))
+        out = got if out is None else out.unionByName(got)
+        new = history.history_state(got, max_len)
+        state = cut_lineage(new if state is None else history.newest_state(state, new, max_len))
+    return out
 
 
 def cohort_rows(spark: SparkSession, data_dir: str, name: str, opts: PrepOptions = PrepOptions()) -> DataFrame:

@@ -51,6 +51,13 @@ for _name in ("events", "orders"):
         O.history_ctes(f"lab_{_name}", f"hist_{_name}")) + _hist_sql(f"hist_{_name}"))(_q)
 
 
+@register("incremental_history_orders", ORACLE["rolling_history_orders"])
+def q_incremental_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 in three arrivals, each from its own rows and the stored state of the
+    users; the twin is the one run over all rows."""
+    return _hist_out(prep.history_by_batches(spark, sf_dir, "orders", ["1996-01-01", "1997-06-15"]))
+
+
 # ---------------------------------------------------------------- C1 / C2 samples
 def _samples_out(df: DataFrame) -> DataFrame:
     return df.select("uid", "iid", "label", ts_text("ts").alias("ts"), "title", "env",
@@ -1044,6 +1051,20 @@ def q_metric_stream(spark, sf_dir):
     return out.select("run", r6("best_metric").alias("best_metric"), "best_epoch", "last_epoch", "n_epochs")
 
 
+@register("early_stop_stream_orders", ORACLE["early_stop_orders"])
+def q_early_stop_stream(spark, sf_dir):
+    """W11 as a stateful stream: the log arrives in four appends, the stopper is
+    started anew after each of them and goes on from its checkpoint; the twin is
+    the batch form over the whole log."""
+    from ..streaming.early_stop import watch
+    log = metric_log(spark, sf_dir).select(F.col("run").cast("int").alias("run"), F.col("epoch").cast("int").alias("epoch"), "valid_auc")
+    path, ckpt, out = (K.scratch_dir(spark, f"early_stop_{part}") for part in ("log", "ckpt", "status"))
+    for lo in range(0, EPOCHS, 10):
+        K.append_json(log.where((F.col("epoch") >= lo) & (F.col("epoch") < lo + 10)), path)
+        s = watch(spark, path, ckpt, out, patience=5)
+    return s.select("run", "stop_epoch", "stopped", r6("best_metric").alias("best_metric"))
+
+
 # ---------------------------------------------------------------- C4-C6, M10
 from . import iterate as C  # noqa: E402
 
