@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -402,6 +403,19 @@ def q_delete_ratio(spark, sf_dir):
     return d.select("n", "kept", r6("delete_ratio").alias("delete_ratio"))
 
 
+SAMPLE_RATIO = 0.35
+
+
+@register("sample_ratio_orders", O.with_(*_SEL_BASE, _sel_sql(True, False))
+          + f"""SELECT row_id, iid, round(if_score, 6) AS if_score FROM kept WHERE if_score <= (SELECT quantile_cont(if_score, {SAMPLE_RATIO}) FROM kept)""")
+def q_sample_ratio(spark, sf_dir):
+    """I4 by a share of the rows: the threshold is the exact quantile (A6) of the guarded scores."""
+    st = I.fold_states(influence_by_iter(spark, sf_dir), SEL_RATIO, first_bounded=False, cumulative=True, ensemble_k=1.0)
+    syn = scored(spark, sf_dir).select("row_id", "iid")
+    k = I.guard_and_select(syn, cut_lineage(st), SEL_MIN_ITEM, sample_ratio=SAMPLE_RATIO)
+    return k.select("row_id", "iid", r6("if_score").alias("if_score"))
+
+
 @register("top_disagreements_orders", O.with_(*_SEL_BASE, f"""
 s0 AS (SELECT row_id, {O.hash_unit(str(SEL_SEED), '0', 'row_id')} * 2.0 - 1.0 AS score FROM cand),
 s1 AS (SELECT row_id, {O.hash_unit(str(SEL_SEED), '1', 'row_id')} * 2.0 - 1.0 AS score FROM cand),
@@ -1140,6 +1154,34 @@ def q_fit_strata(spark, sf_dir):
     return _strata_fit(spark, sf_dir, FACTORS)
 
 
+LEARNING_RATES = (0.02, 0.04, 0.08)
+
+
+def fit_log(spark, sf_dir):
+    """(run, epoch, valid_auc) of real fits: one run for each learning rate, every
+    AUC over the whole valid split, null where it is undefined."""
+    def build():
+        tr, va = (shared.part(spark, sf_dir, "events", p).select("uid", "iid", "label") for p in ("train", "valid"))
+        lines = [(k, epoch, value) for k, lr in enumerate(LEARNING_RATES) for epoch, value in S.fit(tr, va, replace(FACTORS, lr=lr)).log]
+        return spark.createDataFrame(lines, "run int, epoch int, valid_auc double")
+    return shared.memo(spark, ("fit_log", sf_dir), build)
+
+
+@register("fit_log_events")
+def q_fit_log(spark, sf_dir):
+    """W10-W12 on the log of real fits: per epoch its AUC and the rolling statistics,
+    per run where the early stopper stops, and the best run; the number of epochs
+    depends on the data, so rows-only check."""
+    log = fit_log(spark, sf_dir)
+    stop = E.early_stop(log, patience=FACTORS.patience, low=0.5, extra=FACTORS.patience)
+    per_run = log.groupBy(F.col("run").alias("config")).agg(F.max("valid_auc").alias("valid_auc"))
+    best = E.best_config(per_run).select(F.col("best_config").alias("best_run"))
+    rolled = E.rolling_stats(log, value="valid_auc", key="run", step="epoch", window=5)
+    rolled = rolled.select("run", "epoch", *(r6(c).alias(c) for c in ("valid_auc", "median", "avg", "max", "global_avg")))
+    stop = stop.select("run", "stop_epoch", "stopped", r6("best_metric").alias("best_metric"))
+    return L.one_row_join(rolled.join(stop, "run"), best)
+
+
 TOP_ITEMS = 10
 
 
