@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from thawline.operators import ordering
 from thawline.operators.history import rolling_history
 
 
@@ -145,3 +146,19 @@ def test_batches_continue_the_stored_state(spark):
     with pytest.raises(ValueError):
         rolling_history(_frame(spark, parts[2]), state=state)
     assert rolling_history(_frame(spark, []), state=state).count() == 0
+
+
+def test_only_users_of_several_ranges_travel(spark):
+    """400 users in eight ranges: the table that meets the rows holds the users at a border and the hot one."""
+    rows = [(u, k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)) for u in range(400) for k in range(300 if u == 7 else 3)]
+    df = spark.createDataFrame(rows, "uid long, k int, ts timestamp_ntz").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        x = ordering.by_range(df.withColumn("_v", F.lit(1).cast("long")), ["uid"], ["ts"])
+        ranges, held = x.select("_range").distinct().count(), ordering.straddling(x, ["uid"])
+        assert ranges > 1 and 0 < held.count() <= 2 * ranges
+        got = ordering.running_before(df, ["uid"], ["ts"], F.lit(1), "n", total="all")
+        assert all(r.n == r.k and r["all"] == (300 if r.uid == 7 else 3) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
