@@ -4,7 +4,9 @@ import datetime as dt
 
 import pytest
 
-from thawline.operators import candidates
+from pyspark.sql import functions as F
+
+from thawline.operators import calibrate, candidates, prompts
 
 
 def frames(spark, users, items):
@@ -44,3 +46,38 @@ def test_too_few_warm_users_raise(spark):
     for version in ("v0", "v1"):
         with pytest.raises(ValueError):
             candidates.generate(train, test, n=10, version=version, valid=train.limit(0), min_rows=1)
+
+
+def test_narrow_rows_hold_nothing_of_the_templates(spark):
+    train, test = frames(spark, 30, 4)
+    whole = sorted(map(str, candidates.generate(train, test, n=7, seed=3, min_rows=1).drop("ts").select("row_id", "uid", "iid", "title").collect()))
+    users = candidates.ranked_users(train, seed=3, min_rows=1)
+    rows = candidates.sampled_rows(users, test, n=7, seed=3)
+    assert sorted(rows.columns) == ["_r", "iid", "row_id", "title", "uid"]
+    assert sorted(map(str, rows.select("row_id", "uid", "iid", "title").collect())) == whole
+    # a column derived from the template on the way is the template's
+    derived = candidates.sampled_rows(users.withColumn("twice", F.col("uid") * 2), test, n=7, seed=3, derive=lambda r: r.select("iid", "_ipos", "_r", "uid", "twice"))
+    assert {(r.uid, r.twice) for r in derived.collect()} == {(r.uid, 2 * r.uid) for r in rows.collect()}
+
+
+def test_a_text_is_rendered_in_two_steps(spark):
+    df = spark.createDataFrame([([0, 5], ["", "a <title> b"], 1, 9, "new", 1), ([0], [""], 2, 9, None, 0)],
+                               "his array<long>, his_title array<string>, uid long, iid long, title string, label int")
+    whole = {r.uid: r.prompt for r in prompts.render_prompt(prompts.llm_sample(df, 15)).collect()}
+    h = prompts.render_history(prompts.llm_sample(df.withColumn("title", F.lit("")), 15)).select("uid", "prompt")
+    steps = prompts.render_title(h.join(df.select("uid", prompts.title_text("title").alias("title_text")), "uid"))
+    assert {r.uid: r.prompt for r in steps.collect()} == whole and '"a "new" b"' in whole[1] and whole[2] is None
+
+
+def test_titles_are_looked_up_once_per_user(spark):
+    users = spark.createDataFrame([(0, [0, 5, 6]), (1, [0]), (2, [6, 5, 5])], "_r long, his array<long>")
+    rows = spark.createDataFrame([(1, 10, 5, 0, 0.9), (2, 11, 6, 1, 0.1), (3, 12, 7, 2, 0.4), (4, 10, 7, 0, 0.2)], "row_id long, uid long, iid long, _r long, predicted_logit double")
+    train = spark.createDataFrame([(1,), (0,)], "label int")
+    lookup = spark.createDataFrame([(5, "five"), (6, "six")], "iid long, title string")
+    plain = calibrate.synthetic_training_rows(rows.join(users, "_r"), train, lookup)
+    by_user = calibrate.synthetic_training_rows(rows, train, lookup, users)
+    cols = ["row_id", "uid", "iid", "label", "his", "title", "his_title", "ts", "env"]
+    got = sorted(map(str, by_user.select(cols).collect()))
+    assert got == sorted(map(str, plain.select(cols).collect())) and "['five', 'six']" in got[0]
+    # the rows meet the titles' arrays, never one line per element
+    assert "posexplode" not in by_user._jdf.queryExecution().optimizedPlan().toString()

@@ -69,7 +69,7 @@ def llm_sample(df: DataFrame, max_length: int, keep: tuple = ()) -> DataFrame:
     return df.select(
         "uid", pad_history("his", max_length).alias("his_pad"),
         title_list_text(last_titles("his_title", n)).alias("his_title_text"),
-        "iid", F.concat(F.lit('"'), F.col("title"), F.lit('"')).alias("title_text"),
+        "iid", title_text("title").alias("title_text"),
         n.alias("interacted_num"), "label", *[c for c in ("row_id",) if c in df.columns], *keep)
 
 
@@ -101,16 +101,29 @@ def choose_template(templates: list[str], mode: str = "generate", seed: int = 0,
     return F.element_at(F.array(*[F.lit(t) for t in templates]), idx + 1)
 
 
-def render_prompt(sample: DataFrame, template=DEFAULT_TEMPLATE, placeholder: str = PLACEHOLDER) -> DataFrame:
-    """T-6: '<s>' + template; <uid>/<iid>/<DCNFeature> -> placeholder;
-    <his> -> placeholder x InteractedNum joined by ', '; <his_title> and
-    <title> filled. Chained native ``replace``; no Python per row.
-    ``template`` is a string or a Column (e.g. ``choose_template``)."""
+def title_text(title) -> Column:
+    """The quoted title of a row."""
+    return F.concat(F.lit('"'), F.col(title), F.lit('"'))
+
+
+def render_history(sample: DataFrame, template=DEFAULT_TEMPLATE, placeholder: str = PLACEHOLDER) -> DataFrame:
+    """T-6 up to the item: '<s>' + template; <uid>/<iid>/<DCNFeature> -> placeholder;
+    <his> -> placeholder x InteractedNum joined by ', '; <his_title> filled. Rows of
+    one history share this text, <title> is still open in it."""
     base = F.concat(F.lit("<s>"), template if isinstance(template, Column) else F.lit(template))
     for tag in ("<uid>", "<iid>", "<DCNFeature>"):
         base = F.replace(base, F.lit(tag), F.lit(placeholder))
     his = F.array_join(F.array_repeat(F.lit(placeholder), F.col("interacted_num").cast("int")), ", ")
     p = F.replace(base, F.lit("<his>"), his)
-    p = F.replace(p, F.lit("<his_title>"), F.col("his_title_text"))
-    p = F.replace(p, F.lit("<title>"), F.col("title_text"))
-    return sample.withColumn("prompt", p)
+    return sample.withColumn("prompt", F.replace(p, F.lit("<his_title>"), F.col("his_title_text")))
+
+
+def render_title(sample: DataFrame) -> DataFrame:
+    """The last step of T-6: <title> filled from ``title_text``."""
+    return sample.withColumn("prompt", F.replace(F.col("prompt"), F.lit("<title>"), F.col("title_text")))
+
+
+def render_prompt(sample: DataFrame, template=DEFAULT_TEMPLATE, placeholder: str = PLACEHOLDER) -> DataFrame:
+    """T-6: the whole text. Chained native ``replace``; no Python per row.
+    ``template`` is a string or a Column (e.g. ``choose_template``)."""
+    return render_title(render_history(sample, template, placeholder))
