@@ -238,3 +238,21 @@ def test_top_items_equal_brute_force_and_prune(spark):
     met = sum(users_ * items_ for _, users_, items_, _ in log)
     assert met < log[0][3] * 15  # item blocks that no open user block met
     assert top_items(users, items.limit(0), z, 7).count() == 0
+
+
+def test_a_solve_and_a_fit_hold_no_more_disk_after_more_steps(spark):
+    import os
+
+    from thawline.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:").rstrip("/") + "/tables"
+    pairs = spark.createDataFrame([(u, i, (u * 3 + i) % 2) for u in range(6) for i in range(5)], "uid long, iid long, label int")
+    m = IF.Model(M.adjacency(pairs), M.hashed_embeddings(M.graph_nodes(pairs), 2), 1, 2)
+    b = IF.gradient(m, pairs)
+
+    def left(job):
+        before = set(os.listdir(base))
+        job()
+        return len(set(os.listdir(base)) - before)
+    solve = lambda k: lambda: IF.conjugate_gradient(m, pairs, b, tol=0.0, max_iter=k, gauss_newton=True)
+    assert left(solve(1)) == left(solve(3)) <= 3
+    assert left(lambda: IF.fit(m, pairs, epochs=2)) == left(lambda: IF.fit(m, pairs, epochs=4))
