@@ -256,3 +256,12 @@ def test_a_solve_and_a_fit_hold_no_more_disk_after_more_steps(spark):
     solve = lambda k: lambda: IF.conjugate_gradient(m, pairs, b, tol=0.0, max_iter=k, gauss_newton=True)
     assert left(solve(1)) == left(solve(3)) <= 3
     assert left(lambda: IF.fit(m, pairs, epochs=2)) == left(lambda: IF.fit(m, pairs, epochs=4))
+
+
+def test_pairs_meet_only_their_own_kind_of_nodes(spark):
+    z = spark.createDataFrame([(2 * k + s, [float(k + s)]) for k in range(4) for s in (0, 1)], "node long, vec array<double>")
+    users, items = M.sides(z, "zu", "zi")
+    assert sorted(r._un for r in users.collect()) == [0, 2, 4, 6]
+    assert sorted(r._in for r in items.collect()) == [1, 3, 5, 7]
+    pairs = spark.createDataFrame([(1, 2), (9, 1), (None, 3)], "uid long, iid long")
+    assert {(r.uid, r.iid): r.logit for r in M.score_pairs(pairs, z).collect()} == {(1, 2): 3.0, (9, 1): None, (None, 3): None}
