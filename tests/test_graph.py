@@ -265,3 +265,15 @@ def test_pairs_meet_only_their_own_kind_of_nodes(spark):
     assert sorted(r._in for r in items.collect()) == [1, 3, 5, 7]
     pairs = spark.createDataFrame([(1, 2), (9, 1), (None, 3)], "uid long, iid long")
     assert {(r.uid, r.iid): r.logit for r in M.score_pairs(pairs, z).collect()} == {(1, 2): 3.0, (9, 1): None, (None, 3): None}
+
+
+def test_early_fit_takes_the_auc_of_several_epochs_in_one_job(spark, monkeypatch):
+    from thawline.operators import metrics
+    calls, auc = [], metrics.auc
+    monkeypatch.setattr(metrics, "auc", lambda *a, **k: calls.append(1) or auc(*a, **k))
+    pairs, m = _small_model(spark)
+    model, log = IF.fit_early(m, pairs, pairs, max_epochs=6, patience=9, lr=4.0)
+    assert len(log) == 6 and len(calls) == 2
+    alone = IF.fit(m, pairs, epochs=IF.best_epoch(log) + 1, lr=4.0)
+    diff = IF.vlin(alone.emb, model.emb, 1.0, -1.0, m.dim)
+    assert IF.vdot(diff, diff) < 1e-20
