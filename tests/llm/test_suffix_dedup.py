@@ -132,6 +132,28 @@ def test_many_runs_in_one_text(spark):
     assert got(suffix_dedup.suffix_dedup(frame(spark, [text]), span=40)) == brute([text], 40)
 
 
+def test_planted_passages_go_by_bytes_not_words(spark):
+    """Passages of 60 words: those of 400 bytes go, those of 399 stay; n_bytes is of the whole text."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts, want = [], []
+    for n in (373, 399, 400, 401, 480):
+        passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+        passage += "".join(rng.choice("abcdefgh") for _ in range(n - len(passage)))
+        assert len(passage.split()) == 60 and len(passage) == n
+        for a, z in ("<>", "[]"):
+            head = noise(rng.randint(0, 900)) + a
+            texts.append(head + passage + z + noise(500))
+            want.append([(len(head), len(head) + n)] if n >= 400 else [])
+    texts += [noise(1500), noise(700)]
+    want += [[], []]
+    rows = sorted(suffix_dedup.suffix_dedup(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [[tuple(run) for run in r.removed] for r in rows] == want
+    assert [r.n_bytes for r in rows] == [len(t) for t in texts]
+    assert [r.n_removed for r in rows] == [sum(b - a for a, b in runs) for runs in want]
+    assert got(suffix_dedup.suffix_dedup(frame(spark, texts))) == brute(texts, 400)
+
+
 def test_table(spark):
     texts = texts_of(spark, SF01)
     assert got(registry.op10_suffix_dedup(spark, SF01)) == brute([texts[i] for i in sorted(texts)], 400)
