@@ -308,3 +308,27 @@ def test_topk_scores_large_components_exactly_or_raises(spark):
     for large in (1e15, 1e300):
         with pytest.raises(Exception, match="too large"):
             topk.top_k(spark.createDataFrame([*rows, (50, [large, 0.0]), (4, [large, 0.0])], schema), every=50, k=3).collect()
+
+
+def test_simhash_links_broadcast_no_exploded_rows(spark, monkeypatch):
+    """The fingerprints are below the broadcast threshold, their 66 keys and 65 neighbours each are not."""
+    rng = random.Random(7)
+    prints = [rng.getrandbits(62) for _ in range(300)]
+    prints += [prints[0] ^ (1 << i) for i in range(40)] + [p ^ 1 for p in prints[1:50]]
+    plans = []
+
+    def watched(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    monkeypatch.setattr(simhash, "stored", watched)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(24 * len(prints) + 2000))
+    try:
+        links = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+        links.collect()
+    finally:
+        spark.conf.set(key, before)
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in plans)

@@ -73,14 +73,17 @@ def links(prints: DataFrame, bucket: int = BUCKET, max_bits: int = MAX_BITS) ->
     """(a, b) fingerprints, a < b, within ``max_bits``; connects all that link.
 
     ``prints`` has one column ``fp`` of distinct fingerprints.
+
+    Joins are sorted merges at every size: Spark sizes exploded rows as the rows they come of (66
+    and 65 keys of one here) and stored ones by their coded bytes, and would broadcast far more than its threshold.
     """
     # 66 rows come of one: deal the few bytes out first, in as many parts as a shuffle has
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = prints.repartition(parts, "fp").select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     crowd = variants.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
-    members = stored(variants.join(crowd, "key").select("key", "fp", "held"), "simhash-members")
+    members = stored(variants.hint("merge").join(crowd, "key").select("key", "fp", "held"), "simhash-members")
     small = members.filter(F.col("held") <= bucket)
-    pairs = (small.alias("x").join(small.alias("y"), F.expr("x.key = y.key and x.fp < y.fp"))
+    pairs = (small.alias("x").hint("merge").join(small.alias("y"), F.expr("x.key = y.key and x.fp < y.fp"))
              .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
              .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     large = members.filter(F.col("held") > bucket).select("fp").distinct()
@@ -90,7 +93,7 @@ def links(prints: DataFrame, bucket: int = BUCKET, max_bits: int = MAX_BITS) ->
     heads = balls.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("held")).filter("held > 1").drop("held")
     if max_bits < 2:  # holders of a point may be two bits apart: only a flip that is a fingerprint links
         heads = large.select(F.col("fp").alias("point"), F.col("fp").alias("a"))
-    stars = (balls.join(heads, "point").filter("a < fp").select("a", F.col("fp").alias("b"))
+    stars = (balls.hint("merge").join(heads, "point").filter("a < fp").select("a", F.col("fp").alias("b"))
              .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return pairs.unionByName(stars).distinct()
 
