@@ -113,3 +113,26 @@ def test_one_row_of_a_component_stays_with_null_and_repeated_ids(spark):
     docs = frame(spark, texts, [1, 5, None, 5, 6, None, None, None])
     got = corpus_pipeline.drop_near_copies(spark, docs, SF01).collect()
     assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == sorted([(1, LONG), (5, far), (0, lone)])
+
+
+def test_near_dedup_stage_broadcasts_no_exploded_fingerprints(spark, monkeypatch):
+    """Between the size of the fingerprints and that of their 66 keys each, the stage merges."""
+    from thawline.llm import simhash
+    plans, kept = [], simhash.stored
+
+    def watched(df, name):
+        if name == "simhash-members":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+    monkeypatch.setattr(simhash, "stored", watched)
+    texts = [f"word{i} other{i * i} third{i * 7} fourth{i}" for i in range(200)] + ["word0 other0 third0 fourth0"]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "9000")
+    try:
+        docs = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "")
+        assert 0 < docs.count() <= 200
+    finally:
+        spark.conf.set(key, before)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastExchange" not in plans[0]
